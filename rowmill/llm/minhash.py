@@ -143,23 +143,36 @@ def _enough(percent: int, common: str, m: str, n: str) -> str:
 
 
 def exact_links(ids: np.ndarray, labels: np.ndarray, rest: np.ndarray, values: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of the rows marked ``rest`` to rows of other labels, each from the true intersection size.
+    """Links that join the labels of rows marked ``rest`` to others, each from the true intersection size.
 
-    An inverted index of the block gives a row's intersections with all others in one count.
+    Every pair is judged; of the links between labels that others already join, none is returned, so
+    the result is smaller than the number of rows. An inverted index of the block gives a row's intersections with all others in one count.
     """
     sizes = np.array([len(v) for v in values], np.int64)
     owner = np.repeat(np.arange(len(values)), sizes)
     flat = np.concatenate(values)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
+    names, at = np.unique(labels, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     out = []
     for i in np.flatnonzero(rest):
         lo, hi = np.searchsorted(flat, values[i], "left"), np.searchsorted(flat, values[i], "right")
         n = hi - lo
         ends = np.cumsum(n)
         common = np.bincount(owner[np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)], minlength=len(values))
-        hit = (100 * common >= percent * (sizes + sizes[i] - common)) & (labels != labels[i])
-        out += [(int(ids[i]), int(ids[j])) for j in np.flatnonzero(hit)]
+        hit = np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & (labels != labels[i]))
+        for j in hit[np.unique(at[hit], return_index=True)[1]].tolist():
+            a, b = root(at[i]), root(at[j])
+            if a != b:
+                parent[a] = b
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
