@@ -91,7 +91,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     plan = plan.select("rank", "blocks", F.expr(f"least(cast(floor(blocks * {most}) as long), cast(round(target * blocks / source_size) as long))").alias("slots"))
     pieces = placed.where("size > 0").select("rank", "lo", "size", F.explode(F.expr(f"sequence(lo div {block}, (lo + size - 1) div {block})")).alias("block"))
     pieces = pieces.select("rank", "lo", "block", F.expr(f"greatest(0L, block * {block} - lo)").alias("first"), F.expr(f"least(size, (block + 1) * {block} - lo)").alias("last"))
-    taken = slots(plan, shards, seed).join(pieces, ["rank", "block"])
+    # slots come from a table of a row a source, whose estimated size must not let them be broadcast
+    taken = slots(plan, shards, seed).hint("merge").join(pieces, ["rank", "block"])
     return {"rows": placed, "taken": taken}
 
 
