@@ -1,9 +1,427 @@
 """One query per operator over the driver's tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import tempfile
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from rowmill.functions import metrics as M
+from rowmill.operators import ids, jobs, joins, state
+from rowmill.operators.checkpoint import Checkpoint
+from rowmill.operators.transform import RowJob, map_rows
+from rowmill.plans.run import OutputMode, joined, run
+from rowmill.sources import files
+from rowmill.streaming import health
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return files.read_dataset(spark, f"{d}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder under spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rowmill-")
+    return f"{base.rstrip('/')}/rowmill-{uuid.uuid4().hex}"
+
+
+class WordCount(RowJob):
+    """Number of words between blanks, and the length."""
+
+    schema = "n_words long, n_signs long"
+
+    def transform_items(self, items):
+        return [(len((x or "").split(" ")), len(x or "")) for x in items]
+
+
+class Length(RowJob):
+    schema = "result long"
+
+    def transform_items(self, items):
+        return [len(x or "") for x in items]
+
+
+class LengthDict(RowJob):
+    schema = "a long, b string"
+
+    async def transform_items(self, items):
+        return [{"b": (x or "")[:3], "a": len(x or "")} for x in items]
+
+
+@query("SELECT d.*, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_signs FROM documents d")
+def resumed_run(spark, d):
+    """The flagship: a third of the rows is done in an earlier run, the rest in a resumed one with two waves."""
+    docs, folder = t(spark, d, "documents"), work_folder(spark)
+    run(docs.where("doc_id % 3 = 0"), WordCount(input_column="text"), "doc_id", checkpoint=folder)
+    return run(docs, WordCount(input_column="text"), "doc_id", checkpoint=folder, waves=2)
+
+
+@query("SELECT * FROM documents")
+def scan_parquet(spark, d):
+    return t(spark, d, "documents")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def scan_pattern(spark, d):
+    a = files.read_dataset(spark, f"{d}/natio[n].parquet").select("n_nationkey", "n_name")
+    b = files.read_dataset(spark, f"{d}/regio?.parquet").select("r_regionkey", "r_name")
+    return a.union(b)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, d):
+    path = work_folder(spark) + "/x.csv"
+    files.write_dataset(t(spark, d, "nation"), path)
+    return files.read_dataset(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def jsonl_round_trip(spark, d):
+    path = work_folder(spark) + "/x.jsonl"
+    files.write_dataset(t(spark, d, "nation"), path)
+    return files.read_dataset(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CAST(floor(rn / ceil(n / 4.0)) AS INTEGER) AS shard FROM r")
+def sharded_write(spark, d):
+    path = work_folder(spark)
+    files.write_dataset(t(spark, d, "orders").select("o_orderkey"), path, 4, "o_orderkey")
+    return files.read_dataset(spark, path)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
+def limit_first_rows(spark, d):
+    return files.first_rows(t(spark, d, "documents").select("doc_id", "lang"), 50, "doc_id")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id FROM documents")
+def ensure_row_id(spark, d):
+    return ids.ensure_id(t(spark, d, "documents").select("doc_id"), default="row_id", order=("doc_id",))[0]
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id)")
+def resume_anti_join(spark, d):
+    return joins.pending(t(spark, d, "documents").select("doc_id", "lang"), t(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT * FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
+def stray_semi_join(spark, d):
+    return joins.known(t(spark, d, "labels"), t(spark, d, "documents").where("lang = 'en'"), "doc_id")
+
+
+@query("SELECT * FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
+def stray_anti_join(spark, d):
+    return joins.stray(t(spark, d, "labels"), t(spark, d, "documents").where("lang = 'en'"), "doc_id")
+
+
+def _labelled(spark, d, mode):
+    return joined(t(spark, d, "documents").select("doc_id", "text", "lang"), t(spark, d, "labels"), "doc_id", "text", mode)
+
+
+@query("SELECT d.doc_id, text, lang, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def append_mode(spark, d):
+    return _labelled(spark, d, OutputMode.APPEND)
+
+
+@query("SELECT d.doc_id, text, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def io_only_mode(spark, d):
+    return _labelled(spark, d, OutputMode.IO_ONLY)
+
+
+@query("SELECT doc_id, quality, toxic FROM labels")
+def replace_mode(spark, d):
+    return _labelled(spark, d, OutputMode.REPLACE)
+
+
+@query("SELECT d.doc_id, text, d.lang AS lang_x, upper(d.lang) AS lang_y FROM documents d")
+def append_collision_suffix(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text", "lang")
+    return joined(docs, docs.select("doc_id", F.upper("lang").alias("lang")), "doc_id", "text", OutputMode.APPEND)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels")
+def last_write_wins(spark, d):
+    rows = t(spark, d, "labels").select("doc_id", "quality")
+    store = Checkpoint(spark, work_folder(spark), "doc_id", rows.schema)
+    store.append(rows)
+    store.append(rows.where("doc_id % 2 = 0").withColumn("quality", F.expr("cast(1 - quality as int)")))
+    store.compact()
+    return store.latest()
+
+
+@query("WITH g AS (SELECT o_orderkey % 1000 AS k, o_orderkey % 7 AS shard, o_orderkey, o_totalprice FROM orders) SELECT k, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY shard DESC, o_orderkey DESC) AS rn FROM g) WHERE rn = 1")
+def cross_shard_merge(spark, d):
+    rows = t(spark, d, "orders").select(F.expr("o_orderkey % 1000 as k"), F.expr("o_orderkey % 7 as shard"), "o_orderkey", "o_totalprice")
+    return joins.latest(rows, "k", "shard", "o_orderkey").select("k", "o_totalprice")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT CAST(c_custkey AS INTEGER), NULL, c_mktsegment FROM customer")
+def union_by_name(spark, d):
+    a = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return joins.union_parts([a, t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("k"), F.col("c_mktsegment").alias("segment"))])
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels")
+def done_ids_union(spark, d):
+    return t(spark, d, "documents").where("lang = 'en'").select("doc_id").union(t(spark, d, "labels").select("doc_id")).distinct()
+
+
+@query("""WITH a AS (SELECT CAST(o_orderkey AS UHUGEINT) AS v FROM orders),
+b AS (SELECT (xor(v, v // 1073741824) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS v FROM a),
+c AS (SELECT (xor(v, v // 134217728) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS v FROM b),
+e AS (SELECT xor(v, v // 2147483648) AS v FROM c) SELECT CAST(v % 5 AS INTEGER) AS shard, count(*) AS n FROM e GROUP BY 1""")
+def shard_by_id_counts(spark, d):
+    return t(spark, d, "orders").groupBy(ids.shard_of("o_orderkey", 5, compatible=True).alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query()
+def shard_by_id_native(spark, d):
+    return t(spark, d, "orders").groupBy(ids.shard_of("o_orderkey", 5).alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders")
+def shard_by_index(spark, d):
+    return ids.index_shards(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@query("SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / len(embedding)), 6) AS perplexity, round(exp(list_sum(list_transform(list_sort(list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE))))[1:50], lambda x: -x)) / least(50, len(embedding))), 6) AS bottom FROM embeddings")
+def perplexity(spark, d):
+    logs = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: -F.abs(x.cast("double"))).alias("l"))
+    return logs.select("vec_id", F.round(M.perplexity("l"), 6).alias("perplexity"), F.round(M.bottom_perplexity("l"), 6).alias("bottom"))
+
+
+@query("SELECT n_nationkey, CAST('inf' AS DOUBLE) AS perplexity FROM nation")
+def perplexity_empty(spark, d):
+    return t(spark, d, "nation").select("n_nationkey", M.perplexity(F.array().cast("array<double>")).alias("perplexity"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")
+def content_hash(spark, d):
+    return t(spark, d, "documents").select("doc_id", M.content_hash("text").alias("sha"), M.content_hash("text", "md5").alias("md"))
+
+
+@query("SELECT n_nationkey, array_to_string(list_transform(range(0, n_nationkey + 1, 4), lambda s: array_to_string(range(s, least(s + 4, n_nationkey + 1)), ',')), ';') AS slices FROM nation")
+def device_slices(spark, d):
+    n = F.col("n_nationkey") + 1
+    return t(spark, d, "nation").select("n_nationkey", F.array_join(M.device_slices(n, F.lit(4)), ";").alias("slices"))
+
+
+LIMITS = ["90", "10:30", "01:02:03", "2-03", "2-03:04", "1-02:03:04", "x", ""]
+
+
+@query("SELECT n_nationkey, ([5400, 630, 3723, 183600, 183840, 93784, NULL, NULL])[n_nationkey % 8 + 1]::BIGINT AS seconds FROM nation")
+def time_limit_seconds(spark, d):
+    text = F.element_at(F.array(*[F.lit(x) for x in LIMITS]), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    return t(spark, d, "nation").select("n_nationkey", M.time_limit_seconds(text).alias("seconds"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM part")
+def slugify(spark, d):
+    return t(spark, d, "part").select("p_partkey", M.slug("p_type").alias("slug"))
+
+
+STATES = ["PENDING", "running", "COMPLETED ", "CANCELLED by 12", "TIMEOUT", "CONFIGURING", "NODE_FAIL", "OUT_OF_MEMORY", "COMPLETING", "", "odd", "RUNNING+", "PREEMPTED"]
+
+
+@query("SELECT n_nationkey, (['PENDING','RUNNING','SUCCEEDED','CANCELLED','FAILED','PENDING','FAILED','FAILED','RUNNING','PENDING','FAILED','RUNNING','CANCELLED'])[n_nationkey % 13 + 1] AS status FROM nation")
+def scheduler_state(spark, d):
+    raw = F.element_at(F.array(*[F.lit(x) for x in STATES]), (F.col("n_nationkey") % 13 + 1).cast("int"))
+    return t(spark, d, "nation").select("n_nationkey", M.job_status(raw).alias("status"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS job, CASE WHEN o_orderkey % 2 = 0 THEN '7.x' END AS step FROM orders")
+def split_step_id(spark, d):
+    raw = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".7.x").otherwise(""))
+    job, step = M.step_of(raw)
+    return t(spark, d, "orders").select("o_orderkey", job.alias("job"), step.alias("step"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events")
+def json_extract_props(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("")).alias("missing"))
+
+
+def _conversations(spark, d):
+    rows = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return rows.select("conv_id", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"), F.lit(None).cast("string").alias("reasoning_content"))).alias("messages"))
+
+
+def _flat(df, column):
+    return df.select("conv_id", F.posexplode(column).alias("at", "m")).select("conv_id", "at", "m.role", "m.content")
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS at, role, text AS content FROM conversations")
+def messages_from_conversations(spark, d):
+    return _flat(_conversations(spark, d), "messages")
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 2 AS INTEGER) AS at, role, 'echo:' || text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) > 1")
+def translation_echo(spark, d):
+    return _flat(map_rows(_conversations(spark, d), jobs.TranslationJob(), "conv_id"), "results")
+
+
+@query()
+def multi_turn_echo(spark, d):
+    asked = _conversations(spark, d).where(F.exists("messages", lambda m: m["role"].isin("user", "tool")))
+    return _flat(map_rows(asked, jobs.MultiTurnJob(), "conv_id"), "running_messages")
+
+
+@query("SELECT doc_id, 'echo1:' || text AS result_1, 'echo2:' || text AS result_2, 'echo3:' || text AS result_3 FROM documents")
+def multi_choice_echo(spark, d):
+    return map_rows(t(spark, d, "documents"), jobs.ChoicesJob(input_column="text"), "doc_id")
+
+
+@query("SELECT doc_id, 'echo:' || text AS completion FROM documents")
+def completion_echo(spark, d):
+    return map_rows(t(spark, d, "documents"), jobs.CompletionJob(input_column="text"), "doc_id")
+
+
+@query("""WITH l AS (SELECT doc_id, text, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: -length(w) / 8.0::DOUBLE) AS l FROM documents)
+SELECT doc_id, 'echo:' || text AS text, round(exp(-list_sum(l) / len(l)), 6) AS perplexity, round(exp(-list_sum(list_sort(l)[1:50]) / least(50, len(l))), 6) AS bottom50_perplexity FROM l""")
+def perplexity_job(spark, d):
+    out = map_rows(t(spark, d, "documents"), jobs.PerplexityJob(input_column="text"), "doc_id")
+    return out.withColumn("perplexity", F.round("perplexity", 6)).withColumn("bottom50_perplexity", F.round("bottom50_perplexity", 6))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS result FROM documents")
+def map_rows_scalar(spark, d):
+    return map_rows(t(spark, d, "documents"), Length(input_column="text"), "doc_id")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS a, left(text, 3) AS b FROM documents")
+def map_rows_dict(spark, d):
+    return map_rows(t(spark, d, "documents"), LengthDict(input_column="text"), "doc_id")
+
+
+REPLICAS = """r AS (SELECT 'swarm-' || user_id % 5 AS swarm_id, CAST(user_id // 5 AS INTEGER) AS replica_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' WHEN 'view' THEN 'unhealthy' WHEN 'signup' THEN 'starting' ELSE 'exited' END AS state,
+event_type = 'click' AS http_ready, CASE WHEN event_type = 'error' THEN 'reason ' || event_id % 3 END AS fail_reason, ts, event_id FROM events),
+s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY swarm_id, replica_id ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+def _replica_events(spark, d):
+    kind = F.col("event_type")
+    named = F.when(kind == "error", "failed").when(kind == "click", "running").when(kind == "view", "unhealthy").when(kind == "signup", "starting").otherwise("exited")
+    return t(spark, d, "events").select(
+        F.concat(F.lit("swarm-"), (F.col("user_id") % 5).cast("string")).alias("swarm_id"), F.expr("cast(user_id div 5 as int)").alias("replica_id"), named.alias("state"),
+        (kind == "click").alias("http_ready"), F.when(kind == "error", F.concat(F.lit("reason "), (F.col("event_id") % 3).cast("string"))).alias("fail_reason"), "ts", "event_id",
+    )
+
+
+def _replicas(spark, d):
+    return state.upsert(None, _replica_events(spark, d), ["swarm_id", "replica_id"], "ts", "event_id")
+
+
+@query(f"WITH {REPLICAS} SELECT swarm_id, replica_id, state, event_id FROM s")
+def latest_state_upsert(spark, d):
+    return _replicas(spark, d).select("swarm_id", "replica_id", "state", "event_id")
+
+
+@query(f"""WITH {REPLICAS} SELECT swarm_id, count(*) AS total, count(*) FILTER (state = 'running') AS running, count(*) FILTER (http_ready) AS http_ready, count(*) FILTER (state IN ('failed', 'exited')) AS failed FROM s GROUP BY 1""")
+def replica_summary(spark, d):
+    return state.replica_summary(_replicas(spark, d)).select("swarm_id", "total", "running", "http_ready", "failed")
+
+
+@query(f"""WITH {REPLICAS}, c AS (SELECT swarm_id, fail_reason, count(*) AS n, min(replica_id) AS first FROM s WHERE state IN ('failed', 'exited') AND fail_reason <> '' GROUP BY 1, 2)
+SELECT swarm_id, fail_reason AS example_fail_reason FROM c QUALIFY row_number() OVER (PARTITION BY swarm_id ORDER BY n DESC, first) = 1""")
+def fail_reason_top1(spark, d):
+    return state.replica_summary(_replicas(spark, d)).where("example_fail_reason is not null").select("swarm_id", "example_fail_reason")
+
+
+@query(f"WITH {REPLICAS} SELECT swarm_id, replica_id, state, fail_reason FROM s WHERE state IN ('failed', 'exited') OR coalesce(fail_reason, '') <> ''")
+def replica_failures(spark, d):
+    return state.replica_failures(_replicas(spark, d)).select("swarm_id", "replica_id", "state", "fail_reason")
+
+
+@query()
+def status_json(spark, d):
+    replicas = _replicas(spark, d).withColumn("node", F.lit("n1")).withColumn("port", F.lit(8000)).drop("ts", "event_id")
+    summary = state.replica_summary(replicas)
+    swarms = summary.select(F.col("swarm_id").alias("deployment_name"), F.lit("slurm").alias("backend"), F.lit("RUNNING").alias("phase"), F.lit("http://lb").alias("endpoint"), F.lit(None).cast("string").alias("started_at"), F.lit(None).cast("string").alias("expires_at"))
+    return state.status_json(swarms, summary, replicas)
+
+
+def _jobs(spark, d):
+    return t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.concat(F.lit("dep-"), (F.col("o_custkey") % 7).cast("string")).alias("deployment_name"),
+        F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("PENDING").alias("status"), F.col("o_orderdate").alias("creation_dt"),
+    )
+
+
+JOBS = "j AS (SELECT o_orderkey AS job_id, 'dep-' || o_custkey % 7 AS deployment_name, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'SUCCEEDED' ELSE 'PENDING' END AS status, o_orderdate AS creation_dt FROM orders)"
+
+
+@query(f"WITH {JOBS} SELECT job_id, deployment_name, status FROM j ORDER BY creation_dt DESC, job_id LIMIT 50")
+def jobs_newest(spark, d):
+    return state.list_jobs(_jobs(spark, d)).select("job_id", "deployment_name", "status")
+
+
+@query(f"WITH {JOBS} SELECT job_id, deployment_name, status FROM j WHERE deployment_name = 'dep-3' AND status IN ('RUNNING', 'PENDING') ORDER BY creation_dt DESC, job_id LIMIT 20")
+def jobs_by_status(spark, d):
+    return state.list_jobs(_jobs(spark, d), "dep-3", ["RUNNING", "PENDING"], 20).select("job_id", "deployment_name", "status")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand LIKE 'Brand#1%' ESCAPE '!'")
+def names_by_prefix(spark, d):
+    return t(spark, d, "part").where(F.col("p_brand").startswith("Brand#1")).select("p_partkey", "p_name")
+
+
+@query("""WITH p AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok FROM events),
+i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM p)
+SELECT event_id, CAST(CASE WHEN ok THEN 0 ELSE sum(1 - CAST(ok AS INTEGER)) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) END AS BIGINT) AS failures FROM i""")
+def consecutive_failures(spark, d):
+    probes = t(spark, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return health.failure_runs(probes, ["user_id"], ["ts", "event_id"]).select("event_id", F.col("failures").cast("long").alias("failures"))
+
+
+@query("WITH p AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT event_id, event_type FROM p WHERE b IS DISTINCT FROM event_type")
+def change_suppression(spark, d):
+    return health.changes(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id", "event_type")
+
+
+@query(f"WITH {REPLICAS} SELECT swarm_id, replica_id, state, http_ready FROM s")
+def streaming_upsert(spark, d):
+    """Messages as JSON files, read as a stream, normalised, and kept as the latest state of each replica."""
+    folder = work_folder(spark)
+    events = _replica_events(spark, d)
+    events.select("ts", "event_id", F.to_json(F.struct("swarm_id", "replica_id", "state", "http_ready", "fail_reason")).alias("value")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("ts timestamp_ntz, event_id long, value string" if dict(events.dtypes)["ts"] == "timestamp_ntz" else "ts timestamp, event_id long, value string").parquet(f"{folder}/in")
+    health.maintain(health.normalized(stream), f"{folder}/out", ["swarm_id", "replica_id"], ["ts", "event_id"], f"{folder}/offsets").awaitTermination()
+    return health.snapshot(spark, f"{folder}/out").select("swarm_id", "replica_id", "state", "http_ready")
+
+
+@query()
+def health_states(spark, d):
+    """The health state machine as a stream over probes."""
+    folder = work_folder(spark)
+    t(spark, d, "events").select(F.concat(F.lit("swarm-"), (F.col("user_id") % 5).cast("string")).alias("swarm_id"), F.expr("cast(user_id div 5 as int)").alias("replica_id"), F.col("event_id").cast("double").alias("at"), (F.col("event_type") != "error").alias("ok")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("swarm_id string, replica_id int, at double, ok boolean").parquet(f"{folder}/in")
+    health.health(stream, 2, 500.0).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema("swarm_id string, replica_id int, at double, state string, failures int").parquet(f"{folder}/out")
