@@ -132,15 +132,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``; every row and column stays, ``n_chars`` is set anew where it changed."""
     rows = cut(_profile(docs), "lines")
-    changed = cut(_changes(docs, rows).select("d", "m", "new_text"), "lines-changed")
+    changed = cut(_changes(docs, rows).selectExpr("d as __line_d", "m as __line_m", "new_text as __line_text"), "lines-changed")
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             marks = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in utf8(batch.column("text"))]
-            yield batch.append_column("_mark", pa.array(marks, pa.int64()))
+            yield batch.append_column("__line_mark", pa.array(marks, pa.int64()))
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, _mark long"
-    out = docs.mapInArrow(run, schema).join(changed, F.expr("doc_id <=> d and _mark = m"), "left")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, __line_mark long"
+    out = docs.mapInArrow(run, schema).join(changed, F.expr("doc_id <=> __line_d and __line_mark = __line_m"), "left")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("new_text").isNull(), F.col("n_chars")).otherwise(F.length("new_text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.coalesce("new_text", "text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__line_text").isNull(), F.col("n_chars")).otherwise(F.length("__line_text").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.coalesce("__line_text", "text")).select(*docs.columns)

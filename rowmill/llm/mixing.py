@@ -113,13 +113,16 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     m = mix(docs, **settings)
     got = m["taken"].groupBy("rank", "lo", "pass").agg(F.sum(F.expr("last - first")).alias("got"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("parts"))
     place = m["rows"].where("size > 0").select("rank", "lo", "size", "key", F.col("doc_id").alias("_doc"))
-    got = got.join(place, ["rank", "lo"]).select("key", "_doc", "size", "got", "parts")
-    own = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    names = {c: f"__mix_{c}" for c in ("key", "doc", "size", "got", "parts")}  # docs may have columns of any other name
+    got = got.join(place, ["rank", "lo"]).withColumnRenamed("_doc", "doc").select(*[F.col(c).alias(n) for c, n in names.items()])
+    own = docs.withColumn("__mix_id", F.xxhash64("doc_id", "text"))
     if not place.groupBy("key", "_doc").count().where("count > 1").isEmpty():
-        own = own.dropDuplicates(["doc_id", "_key"])  # its places bring the repeats back
+        own = own.dropDuplicates(["doc_id", "__mix_id"])  # its places bring the repeats back
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")))), " ")
-    out = own.join(got, F.expr("_key = key and doc_id <=> _doc")).withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(some))
+    cut_out = lambda w: F.flatten(F.transform("__mix_parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int"))))
+    some = F.array_join(F.element_at(F.transform(F.array(words), cut_out), 1), " ")  # the words are found once a row
+    out = own.join(got, F.expr("__mix_id = __mix_key and doc_id <=> __mix_doc"))
+    out = out.withColumn("text", F.when(F.col("__mix_got") == F.col("__mix_size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -232,7 +232,9 @@ class WarcReader(DataSourceReader):
                     source.skip(n)
                 yield (*fields.values(), n, list(headers.items()), payload)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in where there is nothing to read
+            return
         kinds = [pa.string()] * 5 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = [*HEADER, "content_length", "headers", "payload"]
         rows, size = [], 0
