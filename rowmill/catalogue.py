@@ -425,3 +425,64 @@ def health_states(spark, d):
     stream = spark.readStream.schema("swarm_id string, replica_id int, at double, ok boolean").parquet(f"{folder}/in")
     health.health(stream, 2, 500.0).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema("swarm_id string, replica_id int, at double, state string, failures int").parquet(f"{folder}/out")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) SELECT doc_id, lang FROM r WHERE rn IN (0, 5, 17)")
+def positional_slice(spark, d):
+    return ids.at_positions(t(spark, d, "documents").select("doc_id", "lang"), [0, 5, 17], "doc_id")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return ids.duplicates(t(spark, d, "orders").select("o_custkey"), "o_custkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def named_shards(spark, d):
+    folder = work_folder(spark)
+    files.write_named_shards(t(spark, d, "nation").select("n_nationkey", "n_name"), folder, 3, "n_nationkey")
+    return files.read_dataset(spark, folder + "/data-{0..2}.parquet")
+
+
+@query()
+def file_digests(spark, d):
+    return files.content_digest(spark, f"{d}/nation.parquet").select("length", "digest")
+
+
+@query("""SELECT nid AS "at", 'line ' || (15 + nid) AS line FROM range(1, 11) r(nid)""")
+def log_tail(spark, d):
+    path = work_folder(spark)
+    spark.range(25).coalesce(1).selectExpr("concat('line ', id + 1) as value").write.text(path)
+    return files.log_tail(spark, path).select(F.col("at").cast("long").alias("at"), "line")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PENDING' ELSE 'INITIALIZING' END AS phase FROM orders")
+def serving_phase(spark, d):
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 1, "TIMEOUT").when(k == 2, "CONFIGURING").otherwise("RUNNING")
+    return t(spark, d, "orders").select("o_orderkey", M.serving_phase(raw, k == 0, F.lit(True)).alias("phase"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'http://' || s_name || ':' || (8000 + s_nationkey) END AS url FROM supplier")
+def replica_url(spark, d):
+    node = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name"))
+    return t(spark, d, "supplier").select("s_suppkey", M.replica_url(node, F.col("s_nationkey") + 8000).alias("url"))
+
+
+@query("SELECT CAST(coalesce(sum(s_nationkey) FILTER (s_acctbal > 0), 0) AS BIGINT) AS gpus, count(*) FILTER (s_acctbal > 0) AS nodes, coalesce(sum(s_nationkey) FILTER (s_acctbal > 0), 0) >= 8 AND count(*) FILTER (s_acctbal > 0) >= 2 AS enough FROM supplier")
+def cluster_capacity(spark, d):
+    nodes = t(spark, d, "supplier").select(F.when(F.col("s_acctbal") > 0, "ALIVE").otherwise("DEAD").alias("state"), F.col("s_nationkey").alias("gpus"))
+    return state.capacity(nodes, 4, 2)
+
+
+@query("SELECT DISTINCT 'dep-' || o_custkey AS deployment_name FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 11 = 0")
+def prune_candidates(spark, d):
+    swarms = t(spark, d, "orders").select(F.concat(F.lit("dep-"), F.col("o_custkey").cast("string")).alias("deployment_name"), F.when(F.col("o_orderstatus") == "P", "STOPPED").otherwise("RUNNING").alias("phase"), F.when(F.col("o_orderkey") % 11 == 0, "timeout").alias("probe_error"))
+    return state.prune_candidates(swarms)
+
+
+@query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE o_orderstatus END AS status, o_orderpriority AS name FROM orders WHERE o_orderkey % 10 <> 0")
+def partial_update_and_delete(spark, d):
+    jobs_ = t(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("name"))
+    updates = jobs_.where("job_id % 3 = 0").select("job_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("name"))
+    return state.without(state.patched(jobs_, updates, "job_id"), jobs_.where("job_id % 10 = 0"), "job_id")

@@ -69,3 +69,23 @@ def ceil_chunks(df: DataFrame, order: str, n: int, name: str = "shard") -> DataF
     """Runs of ceil(rows / n) rows by order; the last may be shorter, or missing."""
     size = max(1, -(-df.count() // n))
     return dense_index(df, "_at", order).withColumn(name, F.expr(f"cast(_at div {size} as int)")).drop("_at")
+
+
+def at_positions(df: DataFrame, positions: list[int], *order: str) -> DataFrame:
+    """Rows by their place in the order (or in the files)."""
+    wanted = df.sparkSession.createDataFrame([(int(p),) for p in positions], "_want long")
+    return dense_index(df, "_at", *order).join(wanted, F.col("_at") == F.col("_want"), "left_semi").drop("_at")
+
+
+def fingerprint(df: DataFrame, key: str, input_column: str) -> int:
+    """A number for the input's ids and values, the same for any order of rows; it shows when an input was changed.
+
+    Exclusive ors of two row hashes and the count are combined, so it aggregates before any shuffle.
+    """
+    row = df.agg(F.count("*"), F.expr(f"bit_xor(xxhash64(`{key}`, `{input_column}`))"), F.expr(f"bit_xor(xxhash64(1, `{key}`, `{input_column}`))")).first()
+    return hash(tuple(row))
+
+
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """Ids that occur more than once, with their count."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

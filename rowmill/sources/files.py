@@ -123,3 +123,47 @@ def write_dataset(df: DataFrame, path: str, nshards: int = 1, order: str | None
 def json_rows(df: DataFrame, column: str = "json") -> DataFrame:
     """Each row as compact JSON with sorted keys."""
     return df.select(F.to_json(F.struct(*sorted(df.columns))).alias(column))
+
+
+def write_named_shards(df: DataFrame, folder: str, nshards: int, order: str) -> list[str]:
+    """Runs of equal size by ``order`` as single files ``data-<i>.parquet``; fewer rows than shards give fewer files.
+
+    One task writes each file, so a shard should be of a size that a task can write.
+    """
+    from rowmill.operators.ids import ceil_chunks
+
+    spark, folder = df.sparkSession, full_path(folder).rstrip("/")
+    parts = ceil_chunks(df, order, nshards, "_shard").repartition(nshards, "_shard").sortWithinPartitions("_shard", order)
+    parts.write.mode("overwrite").partitionBy("_shard").parquet(f"{folder}/_writing")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names, out = shard_names(nshards), []
+    for i, name in enumerate(names):
+        found = fs.globStatus(path(f"{folder}/_writing/_shard={i}/part-*.parquet")) or ()
+        for status in list(found)[:1]:
+            fs.delete(path(f"{folder}/{name}"), False)
+            fs.rename(status.getPath(), path(f"{folder}/{name}"))
+            out.append(name)
+    fs.delete(path(f"{folder}/_writing"), True)
+    return out
+
+
+def content_digest(spark: SparkSession, path: str, bits: int = 256) -> DataFrame:
+    """path, length, digest of every file under ``path``, hashed where it is read; and so a dataset's identity."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(full_path(path))
+    return files.select("path", "length", F.sha2("content", bits).alias("digest"))
+
+
+def dataset_digest(spark: SparkSession, path: str) -> str:
+    """First 8 signs of a hash over the sorted file digests; one short row a file reaches the driver's aggregate."""
+    rows = content_digest(spark, path).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256)).first()
+    return rows[0][:8]
+
+
+def log_tail(spark: SparkSession, path: str, lines: int = 10) -> DataFrame:
+    """The last lines of each log file under ``path``: file, at (from 1), line."""
+    from pyspark.sql.window import Window
+
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("_at")))).where(F.col("_last") <= lines)
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_at")).alias("at"), "line")

@@ -230,3 +230,27 @@ def test_fail_reason(spark):
     assert got[0] == ("exit_code=137 | (likely OOM / SIGKILL) | signal=SIGKILL | restart_attempt=1/3", True)
     assert got[1][0].startswith("ray_pg_insufficient_capacity | log_tail:") and got[1][1] is False
     assert got[2] == ("unknown failure", True)
+
+
+def test_fingerprint(spark):
+    df = table(spark, 20)
+    assert ids.fingerprint(df, "doc_id", "messages") == ids.fingerprint(df.orderBy(F.desc("doc_id")), "doc_id", "messages")
+    assert ids.fingerprint(df, "doc_id", "messages") != ids.fingerprint(df.withColumn("messages", F.col("messages") + 1), "doc_id", "messages")
+
+
+def test_dataset_digest(spark, tmp_path):
+    for name, text in (("a", "1"), ("b", "2")):
+        (tmp_path / name).write_text(text)
+    one = files.dataset_digest(spark, str(tmp_path))
+    (tmp_path / "b").write_text("3")
+    assert len(one) == 8 and files.dataset_digest(spark, str(tmp_path)) != one
+
+
+def test_health_machine(spark, tmp_path):
+    probes = [("s", 1, float(i), ok) for i, ok in enumerate([True, False, False, False, False, True, False])]
+    spark.createDataFrame(probes, "swarm_id string, replica_id int, at double, ok boolean").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("swarm_id string, replica_id int, at double, ok boolean").parquet(f"{tmp_path}/in")
+    query = health.health(stream, 2, 2.0).writeStream.format("memory").queryName("health").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.sql("select state, failures from health order by at").collect()
+    assert [tuple(r) for r in rows] == [("running", 0), ("running", 1), ("unhealthy", 2), ("unhealthy", 3), ("failed", 4), ("running", 0), ("running", 1)]
