@@ -157,6 +157,15 @@ def test_toxicity(spark, empty):
     assert {r.predicted for r in toxicity.score(df, labels.where("false")).collect()} == {0}
 
 
+def test_toxicity_scores_each_text_once(monkeypatch):
+    model = toxicity.fit([b"fair words here", b"foul words here"] * 3, [0, 1] * 3)
+    texts = [f"fair foul w{i}".encode() for i in range(300)]
+    want = [model.odds([x])[0] for x in texts]
+    calls, real = [], toxicity.stretches
+    monkeypatch.setattr(toxicity, "stretches", lambda x, size: calls.append(1) or real(x, size))
+    assert model.odds(texts).tolist() == want and len(calls) == len(texts)
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
