@@ -40,6 +40,7 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Of each text the anchors that it holds once (anchors) and more than once (twice)."""
     span = window - gram + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -56,7 +57,7 @@ def _profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 continue
             grams = gram_hashes(word_hashes(words), gram)
             found, n = np.unique(grams[picks(grams, span)], return_counts=True)
-            anchors.append(as_long(found))
+            anchors.append(as_long(found[n == 1]))
             twice.append(as_long(found[n > 1]))
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
@@ -110,7 +111,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFram
     nodes = long.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "substring-nodes")
     one = long.select("doc_id", "digest", "anchors", "twice").join(nodes, "digest").where("doc_id <=> rep")
-    seeds = one.select("node", F.explode("anchors").alias("anchor"), "twice").select("node", "anchor", F.expr("if(array_contains(twice, anchor), 2, 1)").alias("n"))
+    each = F.expr("concat(transform(anchors, x -> struct(x as anchor, 1 as n)), transform(twice, x -> struct(x as anchor, 2 as n)))")
+    seeds = one.select("node", F.explode(each).alias("s")).select("node", "s.anchor", "s.n")
     often = seeds.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     hits = seeds.select("node", "anchor").join(often, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors"))
     hits = cut(hits.join(nodes, "node"), "substring-hits")
