@@ -254,3 +254,21 @@ def test_health_machine(spark, tmp_path):
     query.awaitTermination()
     rows = spark.sql("select state, failures from health order by at").collect()
     assert [tuple(r) for r in rows] == [("running", 0), ("running", 1), ("unhealthy", 2), ("unhealthy", 3), ("failed", 4), ("running", 0), ("running", 1)]
+
+
+def test_job_specs(spark, tmp_path):
+    from rowmill.operators import specs
+
+    job = specs.load_job("rowmill.catalogue:WordCount", '{"retries": 2}', retries=9, input_column="text")
+    assert (job.retries, job.input_column) == (2, "text")
+    for name, settings, error in [("WordCount", None, "module:Class"), ("no.such:X", None, "no module"), ("rowmill.catalogue:Nope", None, "has no"), ("rowmill.catalogue:WordCount", "[1]", "object"), ("rowmill.catalogue:WordCount", "{", "not JSON")]:
+        with pytest.raises(ValueError, match=error):
+            specs.load_job(name, settings)
+    for name in ("rowmill.operators.transform:RowJob", "json:JSONDecoder"):
+        with pytest.raises(TypeError, match="transform_items"):
+            specs.load_job(name)
+    folder = lambda **k: specs.checkpoint_folder(spark, "/c/", job, "/in", "/out", tag="t", **k)
+    assert folder() == folder() == "/c/WordCount_t" and folder(resume=False) != folder(resume=False)
+    assert folder(keep=False) is None
+    with pytest.raises(ValueError, match="nothing to resume"):
+        folder(keep=False, resume=False)
