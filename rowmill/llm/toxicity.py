@@ -3,7 +3,8 @@
 A word is the bag of its character n-grams (runs of UTF-8 bytes, with marked ends) and itself, hashed into ``2 ** bits``
 buckets; each bucket has a vector of ``dim`` numbers. A stretch of text is the mean of its words'
 vectors, fed to a two-way softmax. Vectors and softmax are trained jointly in numpy. Misspelt words
-share n-grams, and so vectors, with what was seen.
+share n-grams, and so vectors, with what was seen. A word of more than ``LONG`` signs, as texts without
+white space are, is cut into overlapping pieces that count as words; every n-gram lies in one of them.
 
 A text is scored in overlapping stretches of ``stretch`` words and gets the score of its worst
 stretch, so a few words count alike in short and in very long texts. In training, a toxic text's
@@ -69,17 +70,33 @@ def many_bags(words: list[str], s: Settings, step: int = 10_000) -> tuple[np.nda
     return np.concatenate([table for table, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def plain(word: bytes) -> str:
-    """Lower-cased, without punctuation at the ends; very long words count by their first and last 40 signs."""
-    w = word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>*_-")
-    return w if len(w) <= 80 else w[:40] + w[-40:]
+LONG = 80
+
+
+def plain(word: bytes | str) -> str:
+    """Lower-cased, without punctuation at the ends; a piece is plain already."""
+    return word if isinstance(word, str) else word.decode("utf-8", "replace").lower().strip(".,;:!?\"'()[]{}<>*_-")
+
+
+def split(text: bytes | None, s: Settings) -> list[bytes | str]:
+    """The words between ASCII white space, as they are; instead of a long one its pieces, plain."""
+    words = (text or b"").split()
+    if max(map(len, words), default=0) <= LONG:  # no word has more signs than bytes
+        return words
+    return [x for w in words for x in (pieces(w, s) if len(w) > LONG else [w])]
+
+
+def pieces(word: bytes, s: Settings) -> list[bytes | str]:
+    """Stretches of four times the longest n-gram that overlap by the longest n-gram; the word itself, if it is not long."""
+    w = plain(word)
+    return [w[i : i + 4 * s.high] for i in range(0, len(w) - s.high, 3 * s.high)] if len(w) > LONG else [word]
 
 
 #: What a Python worker knows of the last model's words; kept from task to task, and emptied when it is full.
-KNOWN: dict[int, dict[bytes, float]] = {}
+KNOWN: dict[int, dict[bytes | str, float]] = {}
 
 
-def known_words(key: int, most: int = 500_000) -> dict[bytes, float]:
+def known_words(key: int, most: int = 500_000) -> dict[bytes | str, float]:
     if key not in KNOWN or len(KNOWN[key]) > most:
         KNOWN.clear()
         KNOWN[key] = {}
@@ -93,25 +110,25 @@ class Model:
         self.bias = float(bias[1] - bias[0])
         self.key = xxhash.xxh3_64_intdigest(self.gain.tobytes())
 
-    def learn(self, words: set[bytes], known: dict[bytes, float]) -> None:
+    def learn(self, words: set[bytes | str], known: dict[bytes | str, float], step: int = 10_000) -> None:
         """Words' vectors seen from the softmax: one number each, as both are linear. Spellings that differ in case or punctuation share it."""
         new = list(words)
         bare = [plain(w) for w in new]
         names = list({*bare} - {""})
         value = {"": 0.0}
-        if names:
-            table, at = many_bags(names, self.s)
-            value |= zip(names, (np.add.reduceat(self.gain[table], at[:-1]) / np.diff(at)).tolist(), strict=True)
+        for i in range(0, len(names), step):
+            table, at = bags(names[i : i + step], self.s)
+            value |= zip(names[i : i + step], (np.add.reduceat(self.gain[table], at[:-1]) / np.diff(at)).tolist(), strict=True)
         known.update(zip(new, map(value.__getitem__, bare), strict=True))
 
     def odds(self, texts: list[bytes | None], step: int = 64) -> np.ndarray:
         out = np.empty(len(texts))
         for lo in range(0, len(texts), step):
-            split = [(t or b"").split() for t in texts[lo : lo + step]]
+            parts = [split(t, self.s) for t in texts[lo : lo + step]]
             known = known_words(self.key)
-            if new := set().union(*split).difference(known):
+            if new := set().union(*parts).difference(known):
                 self.learn(new, known)
-            for i, words in enumerate(split, lo):
+            for i, words in enumerate(parts, lo):
                 x = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
                 out[i] = stretches(x[:, None], self.s.stretch).max() if len(x) else 0.0
         return out + self.bias + self.shift
@@ -137,28 +154,47 @@ def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model
     if not 0 < y.sum() < len(y):
         return Model(np.zeros((size, s.dim)), softmax, bias, float(np.log(share / (1 - share))), s)
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for t in text.split() if (w := plain(t))], np.int32) for text in texts]
+    docs: list[np.ndarray | list[str]] = []
+    for text in texts:
+        words = split(text, s)
+        # pieces hardly come twice: a text with long words keeps its words, and gets their buckets when it is read
+        if any(isinstance(t, str) for t in words):
+            docs.append([w for t in words if (w := plain(t))])
+        else:
+            docs.append(np.array([ids.setdefault(w, len(ids)) for t in words if (w := plain(t))], np.int32))
     # the words' buckets lie one after another: those of word w are table[at[w] : at[w + 1]]
     table, at = many_bags(list(ids), s)
     seen = np.zeros(size, np.int64)
     for doc in docs:
-        if len(some := np.unique(doc)):
+        if isinstance(doc, list):
+            seen[np.unique(many_bags(doc, s)[0])] += 1
+        elif len(some := np.unique(doc)):
             seen[np.unique(np.concatenate([table[at[w] : at[w + 1]] for w in some]))] += 1
     often = seen[table] >= s.least
     at = np.concatenate([[0], np.cumsum(often)])[at]
     table = table[often]
     del ids
+
+    def held(doc: np.ndarray | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a text's words that ``least`` texts hold, word after word, and how many each word has; words without any are left out."""
+        if isinstance(doc, list):
+            flat, ends = many_bags(doc, s)
+            good = seen[flat] >= s.least
+            lengths = np.diff(np.concatenate([[0], np.cumsum(good)])[ends])
+            return flat[good], lengths[lengths > 0]
+        lengths = at[doc + 1] - at[doc]
+        doc, lengths = doc[lengths > 0], lengths[lengths > 0]
+        ends = np.cumsum(lengths)
+        return table[np.arange(lengths.sum()) + np.repeat(at[doc] - (ends - lengths), lengths)], lengths
+
     past_v, past_s, past_b = np.full(size, 1e-6), np.full(2, 1e-6), 1e-6
     weight = np.array([0.5 * len(y) / (len(y) - y.sum()), 0.5 * len(y) / y.sum()])
     for epoch in range(s.epochs):
         for i in rng.permutation(len(docs)):
-            doc = docs[i]
-            lengths = at[doc + 1] - at[doc]
-            doc, lengths = doc[lengths > 0], lengths[lengths > 0]
-            if not len(doc):
+            flat, lengths = held(docs[i])
+            if not len(lengths):
                 continue
             ends = np.cumsum(lengths)
-            flat = table[np.arange(ends[-1]) + np.repeat(at[doc] - (ends - lengths), lengths)]
             word_vectors = np.add.reduceat(vectors[flat], ends - lengths) / lengths[:, None]
             means = stretches(word_vectors, s.stretch)
             z = means @ (softmax[1] - softmax[0])
@@ -168,7 +204,7 @@ def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model
                 p /= p.sum()
                 err = (p - np.eye(2)[y[i]]) * weight[y[i]]
                 lo = j * max(1, s.stretch // 2)
-                hi = min(lo + s.stretch, len(doc))
+                hi = min(lo + s.stretch, len(lengths))
                 own = flat[(ends[lo - 1] if lo else 0) : ends[hi - 1]]
                 part = np.repeat(1 / lengths[lo:hi], lengths[lo:hi]) / s.stretch
                 step = err @ softmax

@@ -166,6 +166,28 @@ def test_toxicity_scores_each_text_once(monkeypatch):
     assert model.odds(texts).tolist() == want and len(calls) == len(texts)
 
 
+@pytest.mark.parametrize("gap", ["", "_", ",", "/", "\u00a0", "\u3000"])
+def test_toxicity_reads_long_words_whole(gap):
+    rng = random.Random(9)
+    clean, foul = ([chr(a + i) + chr(b + i) for i in range(0, n, 2)] for a, b, n in ((0x4E00, 0x5E00, 400), (0x6E00, 0x7E00, 20)))
+    body = lambda n: [rng.choice(clean) for _ in range(n)]
+    passage = lambda: [rng.choice(foul) for _ in range(20)]
+    rows = [(gap.join(body(150) + (passage() if y else body(20)) + body(150)).encode(), int(y)) for y in [True, False] * 60]
+    assert all(len(t.split()) == 1 for t, _ in rows)
+    model = toxicity.fit([t for t, _ in rows[:80]], [y for _, y in rows[:80]])
+    got = model.scores([t for t, _ in rows[80:]]) >= 0.3
+    assert got.tolist() == [y == 1 for _, y in rows[80:]]
+
+
+def test_pieces_hold_every_gram():
+    s = toxicity.Settings()
+    for n in [81, 82, 90, 96, 97, 1000]:
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        found = toxicity.split(f"x {word}, y".encode(), s)
+        assert found[0] == b"x" and found[-1] == b"y" and all(len(x) <= 80 for x in found[1:-1])
+        assert all(any(word[i : i + s.high] in x for x in found[1:-1]) for i in range(n - s.high + 1))
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
