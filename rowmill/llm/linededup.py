@@ -1,9 +1,9 @@
 """Line dedup with content-defined chunks of lines.
 
-A rolling hash over the hashes of ``window`` neighbouring lines chooses chunk boundaries, so lines put
-in or taken out shift only the chunks around them. Chunks of two or more non-blank lines that occur
+A rolling hash over the hashes of ``window`` neighbouring non-blank lines chooses chunk boundaries, so lines
+put in or taken out shift only the chunks around them; blank lines go with the chunk before them. Chunks of two or more non-blank lines that occur
 more than once in all documents are removed but for their first occurrence (smallest doc_id, then
-place), after their bytes were compared with that occurrence's.
+place), after their bytes, up to the last non-blank line, were compared with that occurrence's.
 """
 
 from __future__ import annotations
@@ -22,25 +22,27 @@ WHERE = "doc_id long, mark long"
 
 
 def chunks(lines: list[bytes], window: int = 2, modulus: int = 2, least: int = 2) -> list[tuple[int, int]]:
-    """Line ranges [from, to). A boundary needs ``least`` lines before it and a rolling hash divisible by ``modulus``."""
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+    """Line ranges [from, to). A boundary needs ``least`` non-blank lines before it and a rolling hash of such divisible by ``modulus``; blank lines before all others stand alone."""
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(lines[i]) for i in at), np.uint64, len(at))
     ends = np.flatnonzero(gram_hashes(hashes, window) % np.uint64(modulus) == 0) + window
-    out, start = [], 0
+    starts, start = [0] if lines else [], 0
+    if at and at[0]:
+        starts.append(at[0])
     for end in ends.tolist():
-        if end - start >= least:
-            out.append((start, end))
+        if end - start >= least and end < len(at):
+            starts.append(at[end])
             start = end
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+    return list(zip(starts, [*starts[1:], len(lines)], strict=False))
 
 
 def repeated(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
-    """The chunks that may be removed: those with two non-blank lines at least."""
+    """The chunks that may be removed, those with two non-blank lines at least, and their bytes up to the last of these."""
     found = []
     for a, b in chunks(lines):
-        if b - a >= 2 and sum(1 for x in lines[a:b] if x.strip()) >= 2:
-            found.append((a, b, b"\n".join(lines[a:b])))
+        text = [i for i in range(a, b) if lines[i].strip()]
+        if len(text) >= 2:
+            found.append((a, b, b"\n".join(lines[a : text[-1] + 1])))
     return found
 
 

@@ -312,6 +312,25 @@ def test_chunks_resist_shifts():
     assert len(a & b) > 0.8 * len(a)
 
 
+def test_lines_of_paragraphs_parted_by_blank_lines(spark):
+    rng = random.Random(10)
+    make = lambda n: [f"paragraph {rng.random()}" for _ in range(n)]
+    shared = make(200)
+    texts = ["\n\n".join([*make(3), *shared]), "\n\n".join([*make(4), *shared, *make(3)]), "\n\n".join(shared) + "\n \n"]
+    out = linededup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = {r.doc_id: r.text for r in out}
+    assert kept[0] == texts[0]
+    for i in (1, 2):
+        assert sum(x in shared for x in kept[i].split("\n")) < 0.1 * len(shared)
+    assert all(x in kept[1].split("\n") for x in texts[1].split("\n") if x and x not in shared)
+
+
+@pytest.mark.parametrize("text", ["", "\n", "\n\na", "a\n\nb\n\n", " \nx\n\ny\nz\n\t\nw", "a"])
+def test_chunks_hold_every_line_once(text):
+    lines = text.encode().split(b"\n") if text else []
+    assert [i for a, b in linededup.chunks(lines) for i in range(a, b)] == list(range(len(lines)))
+
+
 def water(sizes, weights, share, most):
     left, free, out = sum(sizes) * share, set(range(len(sizes))), [0.0] * len(sizes)
     while free:
