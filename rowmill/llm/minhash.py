@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from rowmill.llm.components import components
 from rowmill.llm.shared import as_long, cut, gram_hashes, map_batches, scramble, utf8, word_hashes
@@ -206,14 +207,8 @@ def _block_links(shared: DataFrame, docs: DataFrame, nodes: DataFrame, p: MinMax
     return rows.groupBy("bucket", "x", "y").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
-
-    Null or empty texts and texts of white space have an empty set and stand alone. Rows of equal
-    word sequences are linked; rows that share a doc_id but not their words are judged apart. A null
-    doc_id gives its component no name: component_id is the smallest known id, or null, and kept is
-    false. Other columns of ``docs`` are not read.
-    """
+def _groups(docs: DataFrame, p: MinMax) -> tuple[DataFrame, DataFrame]:
+    """The profile of ``docs``, and (node, digest, rep, label) of its word sequences: equal labels are one component, rep is the smallest doc_id."""
     rows = cut(_profile(docs, p), "minmax")
     nodes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "minmax-nodes")
@@ -249,6 +244,18 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
         labels = cut(components(links.union(more)), "minmax-labels")
 
     named = nodes.select("node", "digest", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+
+    Null or empty texts and texts of white space have an empty set and stand alone. Rows of equal
+    word sequences are linked; rows that share a doc_id but not their words are judged apart. A null
+    doc_id gives its component no name: component_id is the smallest known id, or null, and kept is
+    false. Other columns of ``docs`` are not read.
+    """
+    rows, named = _groups(docs, p)
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(names, "label").select("digest", "component_id")
     return (
@@ -259,6 +266,25 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; rows with a null doc_id stay."""
-    judged = near_duplicates(docs, p).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(judged, docs["doc_id"] == judged["_gone"], "left_anti")
+    """One row of ``docs`` for each group of near copies, with all its columns; texts without words all stay.
+
+    The row kept is of the smallest doc_id, known before null, and there of the smallest digest; of rows
+    that repeat both, any one. Rows are told apart by doc_id and digest.
+    """
+    rows, named = _groups(docs, p)
+    best = named.groupBy("label").agg(F.min(F.struct(F.expr("rep is null").alias("none"), "rep", "digest")).alias("best"))
+    named = named.join(best, "label").select("digest", "best")
+    gone = rows.where("n_shingles > 0").join(named, "digest").where("not (doc_id <=> best.rep and digest = best.digest)")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                words = [b" ".join(tokens(x)) for x in utf8(batch.column("text"))]
+                batch = batch.append_column("__digest", pa.array(map(xxhash.xxh3_128_digest, words), pa.binary()))
+                yield batch.append_column("__empty", pa.array([not x for x in words], pa.bool_()))
+
+    schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType()), StructField("__empty", BooleanType())])
+    marked = docs.mapInArrow(run, schema).withColumn("__alone", F.when(F.col("__empty"), F.monotonically_increasing_id()))
+    left = marked.join(gone, F.expr("doc_id <=> __gone and __digest = __gone_digest"), "left_anti")
+    return left.dropDuplicates(["doc_id", "__digest", "__alone"]).select(*docs.columns)

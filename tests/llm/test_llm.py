@@ -62,6 +62,19 @@ def test_minhash_keeps_one(docs):
     assert kept.where("doc_id in (30, 31, 33)").count() == 3
 
 
+def test_minhash_keeps_exactly_one_row_of_a_group(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    # a: named and null copies; b: null ids only; c: one row twice; d: on an id that is a copy of a elsewhere
+    rows = [(1, a), (None, a), (2, a), (None, b), (None, b), (3, c), (3, c), (2, d), (5, e), (5, e + " more"), (7, None), (7, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    out = minhash.keep_one(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    fives = [x for x in got if x[0] == 5]
+    assert len(fives) == 1 and fives[0] in rows
+    assert Counter(x for x in got if x[0] != 5) == Counter([(1, a), (None, b), (3, c), (2, d), (7, None), (7, None), (None, ""), (None, "")])
+
+
 def test_block_links_join_what_brute_force_joins():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
