@@ -1,8 +1,8 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by winnowed anchors and hashed windows.
 
 Seeds are winnowed anchors: of every ``window - gram + 1`` neighbouring word grams the smallest hash is
-picked, so two equal windows pick equal anchors. Documents are joined on anchors that occur twice.
-Around such anchors the match is extended to both sides, a window at a time; windows that start
+picked, so two equal windows pick equal anchors. No pairs are joined on anchors: every window that
+covers an anchor which occurs twice, on both sides, is grouped by its hash; windows that start
 earlier elsewhere mark their words, and touching marks form the maximal repeats that are cut out.
 Texts with equal word sequences are settled before, by the smallest doc_id.
 """
