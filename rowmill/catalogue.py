@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from rowmill.operators.checkpoint import Checkpoint
 from rowmill.operators.transform import RowJob, map_rows
 from rowmill.plans.run import OutputMode, joined, run
 from rowmill.sources import files
+from rowmill.sources.scratch import scratch
 from rowmill.streaming import health
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,13 +43,8 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only on a local master where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="rowmill-")
-    return f"{base.rstrip('/')}/rowmill-{uuid.uuid4().hex}"
+    """A fresh folder in the place that all executors share."""
+    return scratch(spark, "query")
 
 
 class WordCount(RowJob):
@@ -96,35 +90,54 @@ def scan_pattern(spark, d):
     return a.union(b)
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT * FROM customer")
 def csv_round_trip(spark, d):
-    path = work_folder(spark) + "/x.csv"
-    files.write_dataset(t(spark, d, "nation"), path)
-    return files.read_dataset(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+    path, rows = work_folder(spark) + "/x.csv", t(spark, d, "customer")
+    files.write_dataset(rows, path)
+    return files.read_dataset(spark, path, inferSchema=False).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+@query("SELECT * FROM customer")
 def jsonl_round_trip(spark, d):
-    path = work_folder(spark) + "/x.jsonl"
-    files.write_dataset(t(spark, d, "nation"), path)
-    return files.read_dataset(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+    path, rows = work_folder(spark) + "/x.jsonl", t(spark, d, "customer")
+    files.write_dataset(rows, path)
+    return files.read_dataset(spark, path).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
 
 
-@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CAST(floor(rn / ceil(n / 4.0)) AS INTEGER) AS shard FROM r")
+@query("SELECT * FROM customer")
+def single_file(spark, d):
+    path = work_folder(spark) + "/x.parquet"
+    files.write_dataset(t(spark, d, "customer"), path, single=True)
+    return files.read_dataset(spark, path)
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders) SELECT * EXCLUDE (rn, n), CAST(floor(rn / ceil(n / 4.0)) AS INTEGER) AS shard FROM r")
 def sharded_write(spark, d):
     path = work_folder(spark)
-    files.write_dataset(t(spark, d, "orders").select("o_orderkey"), path, 4, "o_orderkey")
+    files.write_dataset(t(spark, d, "orders"), path, 4, "o_orderkey")
     return files.read_dataset(spark, path)
 
 
+@query("SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000")
+def limit_in_order(spark, d):
+    return files.first_rows(t(spark, d, "lineitem"), 1000, "l_orderkey", "l_linenumber")
+
+
+@query("SELECT * FROM events LIMIT 500")
+def limit_in_file_order(spark, d):
+    """The table is one file, of which DuckDB also returns the first rows."""
+    return files.read_dataset(spark, f"{d}/events.parquet", limit=500)
+
+
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
 def limit_first_rows(spark, d):
     return files.first_rows(t(spark, d, "documents").select("doc_id", "lang"), 50, "doc_id")
 
 
-@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id FROM documents")
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row_id, * FROM lineitem")
 def ensure_row_id(spark, d):
-    return ids.ensure_id(t(spark, d, "documents").select("doc_id"), default="row_id", order=("doc_id",))[0]
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return ids.ensure_id(t(spark, d, "lineitem"), default="row_id", order=order)[0]
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id)")
@@ -207,9 +220,9 @@ def shard_by_id_native(spark, d):
     return t(spark, d, "orders").groupBy(ids.shard_of("o_orderkey", 5).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders")
+@query("SELECT *, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders")
 def shard_by_index(spark, d):
-    return ids.index_shards(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+    return ids.index_shards(t(spark, d, "orders"), "o_orderkey", 7)
 
 
 @query("SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / len(embedding)), 6) AS perplexity, round(exp(list_sum(list_transform(list_sort(list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE))))[1:50], lambda x: -x)) / least(50, len(embedding))), 6) AS bottom FROM embeddings")
@@ -388,9 +401,10 @@ def jobs_by_status(spark, d):
     return state.list_jobs(_jobs(spark, d), "dep-3", ["RUNNING", "PENDING"], 20).select("job_id", "deployment_name", "status")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_brand LIKE 'Brand#1%' ESCAPE '!'")
+@query("SELECT c_custkey, c_mktsegment || '-' || c_custkey AS name FROM customer WHERE c_mktsegment || '-' || c_custkey LIKE 'BUILDING-%'")
 def names_by_prefix(spark, d):
-    return t(spark, d, "part").where(F.col("p_brand").startswith("Brand#1")).select("p_partkey", "p_name")
+    names = t(spark, d, "customer").select("c_custkey", F.concat_ws("-", "c_mktsegment", F.col("c_custkey").cast("string")).alias("name"))
+    return names.where(M.like_prefix("name", "BUILDING"))
 
 
 @query("""WITH p AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok FROM events),
@@ -427,9 +441,9 @@ def health_states(spark, d):
     return spark.read.schema("swarm_id string, replica_id int, at double, state string, failures int").parquet(f"{folder}/out")
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) SELECT doc_id, lang FROM r WHERE rn IN (0, 5, 17)")
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) SELECT * EXCLUDE (rn) FROM r WHERE rn IN (0, 5, 17, 1200)")
 def positional_slice(spark, d):
-    return ids.at_positions(t(spark, d, "documents").select("doc_id", "lang"), [0, 5, 17], "doc_id")
+    return ids.at_positions(t(spark, d, "orders"), [0, 5, 17, 1200], "o_orderkey")
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -437,11 +451,11 @@ def duplicate_ids(spark, d):
     return ids.duplicates(t(spark, d, "orders").select("o_custkey"), "o_custkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders) SELECT * EXCLUDE (rn, n), 'data-' || lpad(CAST(CAST(floor(rn / ceil(n / 12.0)) AS INTEGER) AS VARCHAR), 2, '0') || '.parquet' AS file FROM r")
 def named_shards(spark, d):
     folder = work_folder(spark)
-    files.write_named_shards(t(spark, d, "nation").select("n_nationkey", "n_name"), folder, 3, "n_nationkey")
-    return files.read_dataset(spark, folder + "/data-{0..2}.parquet")
+    files.write_named_shards(t(spark, d, "orders"), folder, 12, "o_orderkey")
+    return files.read_dataset(spark, folder + "/data-{00..11}.parquet").withColumn("file", F.substring_index(F.input_file_name(), "/", -1))
 
 
 @query()
@@ -449,11 +463,29 @@ def file_digests(spark, d):
     return files.content_digest(spark, f"{d}/nation.parquet").select("length", "digest")
 
 
-@query("""SELECT nid AS "at", 'line ' || (15 + nid) AS line FROM range(1, 11) r(nid)""")
-def log_tail(spark, d):
+def _logs(spark, d):
+    """A log for each type of event: its events' ids in order."""
     path = work_folder(spark)
-    spark.range(25).coalesce(1).selectExpr("concat('line ', id + 1) as value").write.text(path)
-    return files.log_tail(spark, path).select(F.col("at").cast("long").alias("at"), "line")
+    lines = t(spark, d, "events").select("event_type", F.concat(F.lit("event "), F.col("event_id")).alias("value"), "event_id")
+    lines.coalesce(1).sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    return path
+
+
+LOGS = "l AS (SELECT event_type AS log, 'event ' || event_id AS line, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
+
+
+@query(f"WITH {LOGS} SELECT log, nth - greatest(0, n - 10) AS \"at\", line FROM l WHERE nth > n - 10")
+def log_tail(spark, d):
+    rows = files.log_tail(spark, _logs(spark, d))
+    return rows.select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("log"), F.col("at").cast("long").alias("at"), "line")
+
+
+@query(f"WITH {LOGS} SELECT log, nth AS \"at\", line FROM l WHERE nth > 7")
+def log_drain(spark, d):
+    path = _logs(spark, d)
+    seen = {r.file: 7 for r in files.log_tail(spark, path, 1).collect()}
+    rows = files.log_drain(spark, path, seen)
+    return rows.select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("log"), F.col("at").cast("long").alias("at"), "line")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PENDING' ELSE 'INITIALIZING' END AS phase FROM orders")

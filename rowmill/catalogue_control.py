@@ -125,20 +125,21 @@ def valid_messages(spark, d):
     return health.normalized(messages).select("event_id", "swarm_id", "replica_id", "state", "http_ready", "port")
 
 
-@query("SELECT 'same' AS input, true AS accepted UNION ALL SELECT 'one text changed', false")
+@query("SELECT 'same' AS input, true AS accepted UNION ALL SELECT unnest(['one text changed', 'every row twice', 'one row twice', 'one row gone', 'ids exchanged']), false")
 def input_fingerprint(spark, d):
     """A stored fingerprint accepts the same rows in any order of files and no others."""
     docs = t(spark, d, "documents").select("doc_id", "text")
     least = docs.agg(F.min("doc_id")).first()[0]
     changed = docs.withColumn("text", F.when(F.col("doc_id") == least, "other").otherwise(F.col("text")))
     stored = ids.fingerprint(docs, "doc_id", "text")
-    cases = [("same", docs.repartition(5)), ("one text changed", changed)]
+    one, swapped = docs.where(F.col("doc_id") == least), docs.withColumn("doc_id", F.col("doc_id") + 1)
+    cases = [("same", docs.repartition(5)), ("one text changed", changed), ("every row twice", docs.union(docs)), ("one row twice", docs.union(one).union(one)), ("one row gone", docs.where(F.col("doc_id") != least)), ("ids exchanged", swapped)]
     return spark.createDataFrame([(n, ids.fingerprint(df, "doc_id", "text") == stored) for n, df in cases], "input string, accepted boolean")
 
 
-@query("SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS BIGINT) AS shard FROM nation")
+@query("SELECT *, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS BIGINT) AS shard FROM part")
 def equal_chunks(spark, d):
-    return ids.ceil_chunks(t(spark, d, "nation").select("n_nationkey"), "n_nationkey", 4).select("n_nationkey", F.col("shard").cast("long").alias("shard"))
+    return ids.ceil_chunks(t(spark, d, "part"), "p_partkey", 4).withColumn("shard", F.col("shard").cast("long"))
 
 
 @query(f"WITH {REPLICAS} SELECT swarm_id, fail_reason, count(*) AS n FROM s WHERE state IN ('failed', 'exited') AND fail_reason <> '' GROUP BY 1, 2")

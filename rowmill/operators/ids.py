@@ -5,24 +5,45 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from rowmill.sources.scratch import written
 
 ALIASES = ("__index_level_0__", "index", "level_0")
 
 
-def dense_index(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """0-based index without gaps, in the given order or in file order.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
 
-    No single task numbers all rows: partitions are counted and each row gets its place in its
-    partition plus the rows before it. The input is read twice, so it must not change meanwhile.
+def indexed(df: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+    """``dense_index`` and the number of rows.
+
+    Sorted rows are written once, each with its part and its place in that part, and everything is
+    read from what was written: a second evaluation of the sort would cut the parts elsewhere. No
+    single task numbers all rows; what is joined back has one row a part.
     """
-    rows = df.orderBy(*order) if order else df
-    rows = rows.withColumn("_mono", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_mono", 33))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_mono").alias("_low"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    out = rows.join(sizes, "_part").withColumn(name, F.col("_before") + F.col("_mono") - F.col("_low"))
-    return out.select(name, *df.columns)
+    mono, part = free_name(df, "_mono"), free_name(df, "_part")
+    rows = (df.orderBy(*order) if order else df).withColumn(mono, F.monotonically_increasing_id())
+    rows = written(rows, "index")
+    rows = rows.withColumn(part, F.shiftright(mono, 33))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"), F.min(mono).alias("low")).orderBy(part).collect()  # a row a part
+    before, table = 0, []
+    for r in sizes:
+        table.append((r[0], before - r["low"]))
+        before += r["n"]
+    shift, key = free_name(df, "_shift"), free_name(df, "_part_key")
+    table = df.sparkSession.createDataFrame(table, f"`{key}` long, `{shift}` long")
+    out = rows.join(F.broadcast(table), F.col(part) == F.col(key)).withColumn(name, F.col(mono) + F.col(shift))
+    return out.select(name, *df.columns), before
+
+
+def dense_index(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """0-based index without gaps, in the given order or in that of the input's parts."""
+    return indexed(df, name, *order)[0]
 
 
 def ensure_id(df: DataFrame, id_column: str | None = None, default: str = "_row_id", order: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
@@ -57,35 +78,45 @@ def shard_of(column: str | Column, n: int, compatible: bool = False) -> Column:
 
 def index_shards(df: DataFrame, order: str, n: int, name: str = "shard") -> DataFrame:
     """``n`` runs by order whose sizes differ by one at most, the longer first."""
-    at = dense_index(df, "_at", order)
-    total = df.count()
+    at = free_name(df, "_at")
+    rows, total = indexed(df, at, order)
     q, r = divmod(total, n)
     cut = r * (q + 1)
-    shard = F.expr(f"case when _at < {cut} then _at div {q + 1} else {r} + (_at - {cut}) div {max(q, 1)} end")
-    return at.withColumn(name, shard.cast("int")).drop("_at")
+    shard = F.expr(f"case when `{at}` < {cut} then `{at}` div {q + 1} else {r} + (`{at}` - {cut}) div {max(q, 1)} end")
+    return rows.withColumn(name, shard.cast("int")).drop(at)
 
 
 def ceil_chunks(df: DataFrame, order: str, n: int, name: str = "shard") -> DataFrame:
     """Runs of ceil(rows / n) rows by order; the last may be shorter, or missing."""
-    size = max(1, -(-df.count() // n))
-    return dense_index(df, "_at", order).withColumn(name, F.expr(f"cast(_at div {size} as int)")).drop("_at")
+    at = free_name(df, "_at")
+    rows, total = indexed(df, at, order)
+    return rows.withColumn(name, F.expr(f"cast(`{at}` div {max(1, -(-total // n))} as int)")).drop(at)
 
 
 def at_positions(df: DataFrame, positions: list[int], *order: str) -> DataFrame:
-    """Rows by their place in the order (or in the files)."""
-    wanted = df.sparkSession.createDataFrame([(int(p),) for p in positions], "_want long")
-    return dense_index(df, "_at", *order).join(wanted, F.col("_at") == F.col("_want"), "left_semi").drop("_at")
+    """Rows by their place in the order (or in the input's parts)."""
+    at, want = free_name(df, "_at"), free_name(df, "_want")
+    wanted = df.sparkSession.createDataFrame([(int(p),) for p in positions], f"`{want}` long")
+    return dense_index(df, at, *order).join(wanted, F.col(at) == F.col(want), "left_semi").drop(at)
 
 
-def fingerprint(df: DataFrame, key: str, input_column: str) -> int:
-    """A number for the input's ids and values, the same for any order of rows; it shows when an input was changed.
+def fingerprint(df: DataFrame, key: str, input_column: str) -> str:
+    """A text that stands for the input's ids and values, the same for any order of rows, another where a row changes, goes, comes or repeats.
 
-    Exclusive ors of two row hashes and the count are combined, so it aggregates before any shuffle.
+    The row count and the sums of two row hashes modulo 2^64; it aggregates before any shuffle.
     """
-    row = df.agg(F.count("*"), F.expr(f"bit_xor(xxhash64(`{key}`, `{input_column}`))"), F.expr(f"bit_xor(xxhash64(1, `{key}`, `{input_column}`))")).first()
-    return hash(tuple(row))
+    of = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.to_json(F.struct(F.col(key).alias("k"), F.col(input_column).alias("v")))).cast("decimal(28,0)"))
+    n, a, b = df.agg(F.count("*"), of(1), of(2)).first()
+    return f"{n}-{int(a or 0) % (1 << 64):016x}{int(b or 0) % (1 << 64):016x}"
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Ids that occur more than once, with their count."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raises where an id occurs twice; one row at most reaches the driver."""
+    twice = duplicates(df, key).limit(1).collect()
+    if twice:
+        raise ValueError(f"id {twice[0][0]!r} occurs {twice[0][1]} times in {key!r}")

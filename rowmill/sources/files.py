@@ -3,37 +3,58 @@
 from __future__ import annotations
 
 import itertools
+import math
 import os
-import re
+import urllib.parse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RANGE = re.compile(r"\{\s*(-?\d+)\s*\.\.\s*(-?\d+)\s*(?:\.\.\s*(-?\d+)\s*)?\}")
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".jsonl": "json"}
 
 
+def _numbers(body: str) -> list[str] | None:
+    """What stands between braces as the numbers it means, or None where it is no range."""
+    ends = [x.strip() for x in body.split("..")]
+    if len(ends) not in (2, 3) or not all(x.isascii() and x.removeprefix("-").isdigit() for x in ends):
+        return None
+    first, last = int(ends[0]), int(ends[1])
+    step = int(ends[2]) if len(ends) == 3 else (1 if last >= first else -1)
+    if step == 0:
+        raise ValueError(f"step 0 in {{{body}}}")
+    width = max(len(x.removeprefix("-")) for x in ends[:2])
+    stop = last + (1 if step > 0 else -1)
+    return [f"{'-' * (n < 0)}{abs(n):0{width}d}" for n in range(first, stop, step)]
+
+
+def _pieces(pattern: str) -> list[list[str]]:
+    """The pattern as a row of choices; text between ranges is a choice of one."""
+    out, at = [], 0
+    while (opened := pattern.find("{", at)) >= 0:
+        closed = pattern.find("}", opened)
+        found = _numbers(pattern[opened + 1 : closed]) if closed >= 0 else None
+        until = opened + 1 if found is None else opened
+        out.append([pattern[at:until]])
+        if found is not None:
+            out.append(found)
+        at = until if found is None else closed + 1
+    return [*out, [pattern[at:]]]
+
+
 def expand_ranges(pattern: str, max_expansions: int = 10_000) -> list[str]:
     """``{a..b}`` and ``{a..b..step}`` as all their numbers, zero-padded like the wider end, left to right.
 
     A range that runs down needs no sign on its step; step 0 is an error, other braces stay as they are.
     """
-    literal, choices, at, total = [], [], 0, 1
-    for m in RANGE.finditer(pattern):
-        first, last = int(m[1]), int(m[2])
-        step = int(m[3]) if m[3] else (1 if last >= first else -1)
-        if step == 0:
-            raise ValueError(f"step 0 in {m[0]}")
-        numbers = range(first, last + (1 if step > 0 else -1), step)
-        total *= len(numbers)
-        if total > max_expansions:
-            raise ValueError(f"{pattern} stands for more than {max_expansions} paths")
-        width = max(len(x.lstrip("-")) for x in (m[1], m[2]))
-        literal.append(pattern[at : m.start()])
-        choices.append(["-" * (n < 0) + str(abs(n)).zfill(width) for n in numbers])
-        at = m.end()
-    tail = pattern[at:]
-    return ["".join(itertools.chain(*zip(literal, picked, strict=True))) + tail for picked in itertools.product(*choices)]
+    choices = _pieces(pattern)
+    if math.prod(map(len, choices)) > max_expansions:
+        raise ValueError(f"{pattern} stands for more than {max_expansions} paths")
+    return ["".join(picked) for picked in itertools.product(*choices)]
+
+
+def has_ranges(pattern: str) -> bool:
+    return expand_ranges(pattern) != [pattern]
 
 
 def full_path(path: str) -> str:
@@ -41,25 +62,31 @@ def full_path(path: str) -> str:
 
 
 def _matches(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Existing files for paths and globs, sorted and without repeats, looked up through Hadoop's file systems."""
+    """Existing files for paths and globs, in the order given (those of a glob by name) and without repeats, looked up through Hadoop's file systems."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found: set[str] = set()
+    found: dict[str, None] = {}
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        for status in path.getFileSystem(conf).globStatus(path) or ():
-            found.add(status.getPath().toString())
-    return sorted(found)
+        found |= dict.fromkeys(sorted(status.getPath().toString() for status in path.getFileSystem(conf).globStatus(path) or ()))
+    return list(found)
+
+
+def file_path(uri: str) -> str:
+    """The local path of a path or of a ``file`` URI; other schemes are errors."""
+    parts = urllib.parse.urlsplit(uri)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{uri} is not on the local file system")
+    return urllib.parse.unquote(parts.path) if parts.scheme else uri
 
 
 def read_dataset(spark: SparkSession, path: str, limit: int | None = None, **options) -> DataFrame:
     """A directory (Parquet), a pattern with numeric ranges or globs (Parquet), or one file by its suffix.
 
-    ``limit`` None or 0 means all rows, else the first rows in file order.
+    ``limit`` None or 0 means all rows, else the first rows in file order: by file, and by place in it.
     """
     path = full_path(path)
     suffix = os.path.splitext(path)[1].lower()
-    patterned = bool(RANGE.search(path)) or any(c in path for c in "*?[")
-    if patterned:
+    if any(c in path for c in "*?[") or has_ranges(path):
         files = _matches(spark, expand_ranges(path))
         if not files:
             raise FileNotFoundError(f"No files matched pattern {path}")
@@ -72,11 +99,25 @@ def read_dataset(spark: SparkSession, path: str, limit: int | None = None, **opt
         df = spark.read.options(**options).json(path)
     else:
         raise ValueError(f"Unsupported file format: {suffix}")
-    return first_rows(df, limit)
+    return _first_in_files(df, limit, "json" if suffix == ".jsonl" else "csv" if suffix == ".csv" else "parquet", options) if limit else df
+
+
+def _first_in_files(df: DataFrame, limit: int, kind: str, options: dict) -> DataFrame:
+    """Only as many files as hold ``limit`` rows are read: one, two, four and so on, counted until they suffice."""
+    spark, files, n = df.sparkSession, sorted(df.inputFiles()), 1
+    while True:
+        some = spark.read.schema(df.schema).options(**({"header": True} | options if kind == "csv" else options)).format(kind).load(files[:n]) if files else df
+        if n >= len(files) or some.count() >= limit:
+            break
+        n *= 2
+    # the parts of a file are read by rising offset, and rows of a part get rising numbers
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    names = [f"__place_{i}" for i in range(3)]
+    return some.select("*", *[c.alias(n) for c, n in zip(place, names, strict=True)]).orderBy(*names).limit(limit).select(*df.columns)
 
 
 def first_rows(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
-    """The first ``limit`` rows by ``order``; in file order without one. None and 0 mean all."""
+    """The first ``limit`` rows by ``order``, or any without one (``read_dataset`` has file order). None and 0 mean all."""
     if not limit:
         return df
     return (df.orderBy(*order) if order else df).limit(limit)
@@ -98,54 +139,93 @@ def shard_count(given: object = None, options: dict | None = None) -> int:
     return 1
 
 
-def write_dataset(df: DataFrame, path: str, nshards: int = 1, order: str | None = None, mode: str = "overwrite", **options) -> None:
+def _fs(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _in_shards(df: DataFrame, column: str, nshards: int) -> DataFrame:
+    """Each shard in one task of its own."""
+    return df.repartitionById(nshards, F.col(column))
+
+
+def write_dataset(df: DataFrame, path: str, nshards: int = 1, order: str | None = None, mode: str = "overwrite", single: bool = False, **options) -> None:
     """By suffix: Parquet, CSV or JSON lines. Each is a folder of part files that tasks write side by side.
 
     With ``nshards`` rows are cut by ``order`` into runs of equal size, each its own ``shard=i`` folder.
+    ``single`` makes one file of that very name, written by one task: for tables of a size that a task can write.
     """
     path = full_path(path)
     suffix = os.path.splitext(path)[1].lower()
     if suffix and suffix not in FORMATS:
         raise ValueError(f"Unsupported file format: {suffix}")
+    kind = FORMATS.get(suffix, "parquet")
+    if kind == "csv":
+        options = {"header": True} | options
+    if single:
+        if not suffix or nshards > 1:
+            raise ValueError("a single file needs a suffix and holds one shard")
+        _single(df.coalesce(1), path, kind, options)
+        return
     writer = df.write
     if nshards > 1:
         from rowmill.operators.ids import ceil_chunks
 
         if not order:
             raise ValueError("sharded output needs a column to order by")
-        writer = ceil_chunks(df, order, nshards, "shard").repartition(nshards, "shard").sortWithinPartitions(order).write.partitionBy("shard")
-    kind = FORMATS.get(suffix, "parquet")
-    if kind == "csv":
-        options = {"header": True} | options
+        writer = _in_shards(ceil_chunks(df, order, nshards, "shard"), "shard", nshards).sortWithinPartitions("shard", order).write.partitionBy("shard")
     writer.format(kind).mode(mode).options(**options).save(path)
 
 
+def _single(df: DataFrame, target: str, kind: str, options: dict) -> None:
+    """``df`` (one part) written beside ``target`` and moved there."""
+    base, _, name = target.rpartition("/")
+    path, fs = _fs(df.sparkSession, base or ".")
+    beside = f"{base or '.'}/_writing-{uuid.uuid4().hex}"
+    df.write.format(kind).option("maxRecordsPerFile", 0).options(**options).save(beside)
+    _move_one(path, fs, fs.globStatus(path(f"{beside}/part-*")) or (), target, name)
+    fs.delete(path(beside), True)
+
+
+def _move_one(path, fs, found, target: str, name: str) -> None:
+    """The one file found takes the place of ``target``; several would lose rows, so they are an error."""
+    found = list(found)
+    if len(found) != 1:
+        raise RuntimeError(f"{name} has {len(found)} part files, not one")
+    fs.delete(path(target), False)
+    if not fs.rename(found[0].getPath(), path(target)):
+        raise RuntimeError(f"cannot move a part file to {target}")
+
+
 def json_rows(df: DataFrame, column: str = "json") -> DataFrame:
     """Each row as compact JSON with sorted keys."""
     return df.select(F.to_json(F.struct(*sorted(df.columns))).alias(column))
 
 
-def write_named_shards(df: DataFrame, folder: str, nshards: int, order: str) -> list[str]:
+def write_named_shards(df: DataFrame, folder: str, nshards: int, order: str, lone: str = "data.parquet") -> list[str]:
     """Runs of equal size by ``order`` as single files ``data-<i>.parquet``; fewer rows than shards give fewer files.
 
-    One task writes each file, so a shard should be of a size that a task can write.
+    One shard is named ``lone`` (``data-0.parquet`` is the other custom); an empty table is one empty
+    file, the first shard's. One task writes each file, so a shard should be of a size that a task can write.
     """
-    from rowmill.operators.ids import ceil_chunks
+    from rowmill.operators.ids import ceil_chunks, free_name
 
     spark, folder = df.sparkSession, full_path(folder).rstrip("/")
-    parts = ceil_chunks(df, order, nshards, "_shard").repartition(nshards, "_shard").sortWithinPartitions("_shard", order)
-    parts.write.mode("overwrite").partitionBy("_shard").parquet(f"{folder}/_writing")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names, out = shard_names(nshards), []
-    for i, name in enumerate(names):
-        found = fs.globStatus(path(f"{folder}/_writing/_shard={i}/part-*.parquet")) or ()
-        for status in list(found)[:1]:
-            fs.delete(path(f"{folder}/{name}"), False)
-            fs.rename(status.getPath(), path(f"{folder}/{name}"))
-            out.append(name)
-    fs.delete(path(f"{folder}/_writing"), True)
-    return out
+    names = shard_names(nshards) if nshards > 1 else [lone]
+    path, fs = _fs(spark, folder)
+    fs.mkdirs(path(folder))
+    shard = free_name(df, "_shard")
+    parts = ceil_chunks(df, order, nshards, shard)
+    made = parts.select(shard).distinct().count()  # nshards rows at most
+    if not made:
+        _single(df.limit(0).coalesce(1), f"{folder}/{shard_names(nshards)[0]}", "parquet", {})
+        return shard_names(nshards)[:1]
+    beside = f"{folder}/_writing-{uuid.uuid4().hex}"
+    _in_shards(parts, shard, nshards).sortWithinPartitions(shard, order).write.option("maxRecordsPerFile", 0).partitionBy(shard).parquet(beside)
+    for i, name in enumerate(names[:made]):
+        _move_one(path, fs, fs.globStatus(path(f"{beside}/{shard}={i}/part-*.parquet")) or (), f"{folder}/{name}", name)
+    fs.delete(path(beside), True)
+    return names[:made]
 
 
 def content_digest(spark: SparkSession, path: str, bits: int = 256) -> DataFrame:
@@ -167,3 +247,15 @@ def log_tail(spark: SparkSession, path: str, lines: int = 10) -> DataFrame:
     rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
     rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("_at")))).where(F.col("_last") <= lines)
     return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_at")).alias("at"), "line")
+
+
+def log_drain(spark: SparkSession, path: str, seen: dict[str, int] | None = None) -> DataFrame:
+    """file, at (from 1), line: what was added to each log since ``seen`` (lines read of each file); all lines without it."""
+    from pyspark.sql.window import Window
+
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    rows = rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_at")).alias("at"), "line")
+    if not seen:
+        return rows
+    table = spark.createDataFrame(list(seen.items()), "_file string, _seen int")
+    return rows.join(table, F.col("file") == F.col("_file"), "left").where("at > coalesce(_seen, 0)").select("file", "at", "line")

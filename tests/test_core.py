@@ -18,13 +18,14 @@ from rowmill.streaming import health
 @pytest.mark.parametrize(
     ("pattern", "paths"),
     [
-        ("file-00{0978..0980}", ["file-000978", "file-000979", "file-000980"]),
-        ("{1..5..2}", ["1", "3", "5"]),
-        ("{3..1}", ["3", "2", "1"]),
-        ("{-1..1}", ["-1", "0", "1"]),
-        ("{8..10}", ["08", "09", "10"]),
-        ("a{1..2}-b{3..4}", ["a1-b3", "a1-b4", "a2-b3", "a2-b4"]),
-        ("{abc}", ["{abc}"]),
+        ("part{098..101}.csv", ["part098.csv", "part099.csv", "part100.csv", "part101.csv"]),
+        ("{2..9..3}", ["2", "5", "8"]),
+        ("{12..9}", ["12", "11", "10", "09"]),
+        ("t{-2..0}", ["t-2", "t-1", "t0"]),
+        ("y{7..8}/m{1..2}", ["y7/m1", "y7/m2", "y8/m1", "y8/m2"]),
+        ("q{r}s{1..x}", ["q{r}s{1..x}"]),
+        ("{u{4..5}}", ["{u4}", "{u5}"]),
+        ("open{1..2", ["open{1..2"]),
     ],
 )
 def test_ranges(pattern, paths):
@@ -33,9 +34,9 @@ def test_ranges(pattern, paths):
 
 def test_range_errors():
     with pytest.raises(ValueError):
-        files.expand_ranges("{1..20000}")
+        files.expand_ranges("a{1..101}b{1..100}")
     with pytest.raises(ValueError):
-        files.expand_ranges("{1..3..0}")
+        files.expand_ranges("{4..6..0}")
 
 
 def test_shard_names_and_counts():
@@ -168,6 +169,43 @@ def test_union_is_strict(spark):
     assert joins.union_parts([a, spark.createDataFrame([("x",)], "v string")]).columns == ["k", "v"]
 
 
+def test_dense_index_of_wide_rows_over_many_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        wide = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), "id", F.col("id").cast("string").alias("_mono"), (F.col("id") % 7).alias("_part"))
+        ids.dense_index(wide, "n", "k").write.parquet(f"{tmp_path}/x")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = spark.read.parquet(f"{tmp_path}/x")
+    row = got.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("id")).first()
+    assert tuple(row) == (1_000_000, 1_000_000, 0, 999_999, 1_000_000) and got.columns == ["n", *wide.columns]
+    assert got.orderBy("n").limit(1000).toPandas()["k"].is_monotonic_increasing
+
+
+def test_named_shards_keep_all_rows(spark, tmp_path):
+    df = spark.range(10_000).select("id", (F.col("id") * 2).alias("_shard"), F.col("id").cast("string").alias("_at"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1000")
+    try:
+        names = files.write_named_shards(df, f"{tmp_path}/x", 3, "id")
+        lone = files.write_named_shards(df, f"{tmp_path}/y", 1, "id")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert names == files.shard_names(3) and lone == ["data.parquet"]
+    got = files.read_dataset(spark, f"{tmp_path}/x/data-{{0..2}}.parquet")
+    assert got.columns == df.columns and got.select("id").distinct().count() == got.count() == 10_000
+    assert [spark.read.parquet(f"{tmp_path}/x/{n}").count() for n in names] == [3334, 3334, 3332]
+    assert files.write_named_shards(df.limit(2), f"{tmp_path}/z", 3, "id") == files.shard_names(3)[:2]
+    assert files.write_named_shards(df.limit(0), f"{tmp_path}/e", 3, "id") == ["data-0.parquet"] and spark.read.parquet(f"{tmp_path}/e").count() == 0
+
+
+def test_limit_in_file_order(spark, tmp_path):
+    for suffix, kind in (("csv", "csv"), ("jsonl", "json"), ("parquet", "parquet")):
+        path = f"{tmp_path}/x.{suffix}"
+        spark.range(1000).repartition(5, F.col("id") % 5).sortWithinPartitions("id").write.format(kind).option("header", True).save(path)
+        all_rows = [r.id for f in sorted(spark.read.format(kind).option("header", True).load(path).inputFiles()) for r in spark.read.schema("id long").format(kind).option("header", True).load(f).collect()]
+        assert [r.id for r in files.read_dataset(spark, path, limit=333).collect()] == all_rows[:333]
+
+
 def test_shards_cover_all_rows(spark):
     df = table(spark, 103)
     for n in (1, 4, 7):
@@ -235,6 +273,9 @@ def test_fail_reason(spark):
 def test_fingerprint(spark):
     df = table(spark, 20)
     assert ids.fingerprint(df, "doc_id", "messages") == ids.fingerprint(df.orderBy(F.desc("doc_id")), "doc_id", "messages")
+    assert ids.fingerprint(df, "doc_id", "messages") != ids.fingerprint(df.union(df), "doc_id", "messages")
+    two = lambda rows: ids.fingerprint(spark.createDataFrame(rows, "k long, v string"), "k", "v")
+    assert len({two([(1, "x"), (1, "x")]), two([(2, "y"), (2, "y")]), two([(1, None)]), two([(1, "")]), two([])}) == 5
     assert ids.fingerprint(df, "doc_id", "messages") != ids.fingerprint(df.withColumn("messages", F.col("messages") + 1), "doc_id", "messages")
 
 
