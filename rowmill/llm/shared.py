@@ -3,34 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-
-MASK = (1 << 64) - 1
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where that is unset, and only on a local master, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="rowmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from rowmill.sources.scratch import scratch
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/rowmill/{name}-{uuid.uuid4().hex}"
+MASK = (1 << 64) - 1
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +28,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str | Column, counts: DataFrame, how: str = "inner", share: int = 2000, least: int = 512) -> DataFrame:
+    """Equi-join on ``key``, whose hot values are dealt over many tasks.
+
+    counts (key, n): the rows of ``left`` with each key; it is read twice, so it should be a written
+    table. Keys with more than 1/``share`` of these rows (and ``least``) are hot, so there are at most ``share`` of
+    them, and only these come to the driver. Their rows of ``left`` are salted by a hash of
+    ``spread``, and their rows of ``right`` are repeated for each salt. ``right`` should have few rows a key.
+    """
+    total, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bar = max(least, total // share)
+    if top <= bar:
+        return left.join(right, key, how)
+    found = counts.where(F.col("n") > bar).select(key, F.ceil(F.col("n") / bar).cast("int").alias("__salts"))
+    hot = F.broadcast(counts.sparkSession.createDataFrame(found.collect(), found.schema))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("int")
+    a = left.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    b = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
