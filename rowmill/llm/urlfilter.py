@@ -1,7 +1,8 @@
 """URL verdicts: rules on host and path first, then logistic regression on hashed character n-grams.
 
-The regression is trained in numpy from a small labelled URL table of at most ``labelled`` rows and
-holds ``2 ** bits`` weights, so what goes to the executors has a fixed size.
+The regression is trained in numpy from a small labelled URL table (``labelled_urls``, or one that is
+given, of which at most ``most`` rows are used) and holds ``2 ** bits`` weights, so what goes to the
+executors has a fixed size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words of hosts and paths that are to be blocked, and of others.
+UNWANTED = "casino poker bets slots jackpot roulette lottery pills pharma viagra loans payday replica knockoff warez torrent cracked keygen porn xxx escort nude camgirls adult hookup darknet malware phishing hacked botnet scam getrich crypto-double free-money win-cash cheap-meds".split()
+WANTED = "news library museum school college university science history garden kitchen recipes travel weather sports football music theatre cinema books poetry health clinic hospital law council transport railway map forum wiki docs software hardware photo craft family".split()
+TAILS = "win hub zone online best today club world direct plus now city land spot house".split()
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled URL table (url, blocked): each word with other words before and after it, in hosts and in paths."""
+    out = []
+    for words, blocked in ((WANTED, 0), (UNWANTED, 1)):
+        for i, word in enumerate(words):
+            for j, tail in enumerate(TAILS):
+                lang, end = ("en", "de", "fr", "es")[(i + j) % 4], ("com", "org", "net")[(i + 2 * j) % 3]
+                hosts = (f"{word}{tail}.{end}", f"{word}-{tail}.example.{end}", f"www.{tail}-{word}.{end}")
+                out.append((f"https://{hosts[j % 3]}/{lang}/{100 * i + j}", blocked))
+                if j % 3 == 0:
+                    out.append((f"http://{tail}.example.{end}/{lang}/{word}/{7 * i + j}.html", blocked))
+    return out
+
+
+def split_url(url: str) -> tuple[str, str]:
+    """``host_and_path`` of one text."""
+    rest = url.partition("://")[2]
+    ends = [i for c in "?#" if (i := rest.find(c)) >= 0]
+    rest = rest[: min(ends, default=len(rest))]
+    host, slash, path = rest.partition("/")
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
+
+
 @dataclass(frozen=True)
 class UrlModel:
     weights: np.ndarray
@@ -86,25 +116,27 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, most: int = 4096) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (only page_id and url are read).
 
-    ``labelled`` (url string, blocked int) trains the model that decides where no rule fits; of it the
-    ``most`` rows of smallest url hash are used. Without it, URLs that a rule decides are the labelled
-    table. A null or odd url has empty host and path, which the model judges like any other. Repeated
-    rows get equal verdicts; an empty table gives an empty result.
+    ``labelled`` (url string, blocked int; nulls are left out) trains the model that decides where no rule fits; of it the
+    ``most`` rows of smallest url hash are used. Without it, ``labelled_urls`` does. A null or odd url
+    has empty host and path, which the model judges like any other. Repeated rows get equal verdicts;
+    an empty table gives an empty result.
     """
-    table = pages.select("page_id", "url").withColumns(dict(zip(("host", "path"), host_and_path(F.col("url")), strict=True)))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    table = table.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     if labelled is None:
-        known = table.where("rule is not null").select("host", "path", F.expr("int(ruled = 'block')").alias("blocked"))
+        known = labelled_urls()
     else:
-        known = labelled.where("blocked is not null").select("url", "blocked").withColumns(dict(zip(("host", "path"), host_and_path(F.col("url")), strict=True))).select("host", "path", "blocked")
-    known = known.distinct().orderBy(F.xxhash64("host", "path"), "host", "path", "blocked").limit(most).toPandas()
-    model = fit(known["host"].tolist(), known["path"].tolist(), known["blocked"].tolist())
+        rows = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int")).distinct()
+        known = [tuple(r) for r in rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(most).collect()]
+    model = fit([split_url(x)[0] for x, _ in known], [split_url(x)[1] for x, _ in known], [y for _, y in known])
 
     @F.pandas_udf("boolean")
     def blocked(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series(model.blocks(host.tolist(), path.tolist()) >= 0.5)
+        open_ = host.notna()  # a rule has decided the others
+        out = pd.Series(False, index=host.index)
+        out[open_] = model.blocks(host[open_].tolist(), path[open_].tolist()) >= 0.5
+        return out
 
-    by_model = F.when(blocked("host", "path"), F.lit("block")).otherwise(F.lit("allow"))
-    ruled = table.where("rule is not null").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"))
-    return ruled.union(table.where("rule is null").select("page_id", "host", "path", "rule", by_model.alias("verdict")))
+    table = pages.select("page_id", "url").withColumns(dict(zip(("host", "path"), host_and_path(F.col("url")), strict=True)))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    table = table.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    by_model = F.when(blocked(F.when(F.col("rule").isNull(), F.col("host")), F.col("path")), F.lit("block")).otherwise(F.lit("allow"))
+    return table.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"))
