@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from rowmill.llm.shared import scratch
+from rowmill.llm.shared import cut, join_hot, scratch
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, content_length long, headers map<string,string>, payload binary"
 HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -330,14 +330,18 @@ def archive(pages: DataFrame, path: str, least: int = 0, compression: str = "gzi
     register(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    twice = rows.where(F.length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("s"), "head")
-    rows = rows.join(twice, F.expr("sha = s"), "left")
+    # types are decided on ids and digests alone; payloads only meet the few rows that revisit, on a key that is never hot
+    narrow = cut(rows.where(F.length("payload") >= least).select("page_id", "sha"), "warc-digests")
+    twice = cut(narrow.groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "warc-twice")
+    again = join_hot(narrow, twice.select("sha", "head"), "sha", "page_id", twice.select("sha", "n")).where("head is not null and not (page_id <=> head)")
+    again = again.distinct().withColumnsRenamed({"page_id": "p", "sha": "s"})
+    rows = rows.join(again, F.expr("page_id <=> p and sha = s"), "left")
 
     @F.pandas_udf("string")
     def base32(sha):
         return sha.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
 
-    revisit = F.expr("head is not null and not (page_id <=> head)")
+    revisit = F.col("s").isNotNull()
     out = rows.select("page_id", "url", base32("sha").alias("digest"), F.when(revisit, F.col("head")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
     out.write.format("warc").mode("append").option("path", path).option("compression", compression).save()
 
@@ -360,6 +364,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format("warc").load(path)
 
     full = records().where("record_type = 'response'").select(page.alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), digest("payload").alias("payload_digest"))
+    full = cut(full, "warc-measured")  # read twice below; payloads are inflated and hashed once
     target = F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).cast("long")
     again = records().where("record_type = 'revisit'").select(page.alias("page_id"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), target.alias("refers_to"))
     sizes = full.where("page_id is not null").groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes")).withColumnsRenamed({"page_id": "head", "payload_digest": "d"})
