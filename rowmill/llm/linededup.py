@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.shared import cut, gram_hashes, map_batches, utf8
+from rowmill.llm.shared import cut, gram_hashes, join_hot, map_batches, utf8
 
 WHERE = "doc_id long, mark long"
 
@@ -74,8 +74,9 @@ def _changes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, mark, gone, sha, text) of the texts that lose chunks."""
     places = rows.select("doc_id", "mark", F.explode("chunks").alias("c")).select("doc_id", "mark", "c.at", "c.hash")
     order = F.struct(F.expr("doc_id is null").alias("none"), "doc_id", "mark", "at")
-    twice = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
-    wanted = places.join(twice, "hash").withColumn("is_first", F.expr("first.doc_id <=> doc_id and first.mark = mark and first.at = at"))
+    twice = cut(places.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1"), "lines-twice")
+    often = twice.select("hash", "n")
+    wanted = join_hot(places, twice.select("hash", "first"), "hash", "mark", often).withColumn("is_first", F.expr("first.doc_id <=> doc_id and first.mark = mark and first.at = at"))
     wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("all"), F.collect_set(F.when(F.col("is_first"), F.col("at"))).alias("firsts"))
     wanted = wanted.withColumnsRenamed({"doc_id": "d", "mark": "m"})
     texts = _marked(docs).join(wanted, F.expr("doc_id <=> d and mark = m")).drop("d", "m")
@@ -98,7 +99,7 @@ def _changes(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     bodies = map_batches(texts, run, WHERE + ", at int, is_first boolean, hash binary, body binary")
     firsts = bodies.where("is_first").groupBy("hash").agg(F.first("body").alias("kept_body"))
-    same = bodies.where("not is_first").join(firsts, "hash").where("body = kept_body")
+    same = join_hot(bodies.where("not is_first"), firsts, "hash", "mark", often).where("body = kept_body")
     gone = same.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone")).withColumnsRenamed({"doc_id": "d", "mark": "m"})
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
