@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Each source's words, in a pseudorandom document order, are cut into blocks of ``block`` words. A source
-gets as many slots as its target needs; which output shard a slot goes to is a multinomial draw given
-that total, so every shard has multinomial source counts and the totals meet the targets. Slots are
-mapped to blocks by a pseudorandom permutation of each source's block indices (swap-or-not rounds),
-a second pass over the indices starting only after the first has used all. Slots and document pieces
-meet in a join on (source, block).
+Each source's words, in a pseudorandom document order, are cut into blocks of ``block`` words. How many
+blocks of a source each output shard gets is drawn: the counts are multinomial, given that they add
+up to what the source's target needs. The draw is exact: half of n slots is a binomial number, which
+is counted in the bits of n / 64 hashes, and halving again and again gives a count for each shard.
+The counts make the slots; slots are mapped to blocks by a pseudorandom permutation of each source's
+block indices (swap-or-not rounds), a second pass over the indices starting only after the first has
+used all. Slots and document pieces meet in a join on (source, block).
 """
 
 from __future__ import annotations
@@ -52,31 +53,57 @@ def permuted(df: DataFrame, index: str, n: str, key: list[str], seed: int, round
     Swap-or-not: each round pairs i with k - i (mod n) and a hash of the pair decides on the swap.
     """
     keys = ", ".join(key)
-    other = f"pmod(xxhash64({seed}, r, {keys}) - x, {n})"
+    other = f"pmod(pmod(xxhash64({seed}, r, {keys}), {n}) - x, {n})"
     swap = f"element_at(transform(array({other}), o -> if((xxhash64({seed + 1}, r, {keys}, greatest(x, o)) & 1L) = 1L, o, x)), 1)"
     image = f"aggregate(sequence(1, {rounds}), {index}, (x, r) -> {swap})"
     return df.withColumn(index, F.expr(f"coalesce({image}, 0L)"))  # never null: the join needs no null test that would repeat the rounds
 
 
-def slots(plan: DataFrame, shards: int, seed: int, chunk: int = 1 << 14) -> DataFrame:
-    """plan (rank, blocks, slots) -> rank, slot, pass, shard, block. Long ranges are made in chunks, dealt over the tasks."""
+def draws(plan: DataFrame, shards: int, seed: int, chunk: int = 1 << 14) -> DataFrame:
+    """plan (rank, blocks, slots) -> rank, blocks, part, shard, lo, n: the multinomial source counts.
+
+    A source's slots come in parts of ``chunk``, so that no row holds many bits; each part's are dealt to the
+    shards (a power of two) by repeated halving, and the shard gets slots lo to lo + n - 1.
+    """
+    if shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
     parts = plan.where("slots > 0").select("rank", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("part"))
-    parts = parts.repartition(F.col("rank"), F.col("part"))
-    made = parts.select("rank", "blocks", F.explode(F.expr(f"sequence(part * {chunk}L, least(slots, (part + 1) * {chunk}L) - 1)")).alias("slot"))
+    parts = parts.withColumn("counts", F.expr(f"array(least(slots - part * {chunk}L, {chunk}L))"))
+    for level in range(shards.bit_length() - 1):
+        # bit_count of a hash is 64 fair draws; the last hash keeps only as many bits as are left
+        bits = f"xxhash64({seed + 3}, rank, part, {level}, i, w)"
+        half = f"aggregate(sequence(0L, n div 64), 0L, (got, w) -> got + bit_count(if(w < n div 64, {bits}, {bits} & if(n % 64 = 0, 0L, shiftrightunsigned(-1L, cast(64 - n % 64 as int))))))"
+        split = f"transform(counts, (n, i) -> transform(array({half}), h -> array(h, n - h))[0])"
+        parts = parts.withColumn("counts", F.expr(f"flatten({split})"))
+    each = parts.select("rank", "blocks", "part", "counts", F.posexplode("counts").alias("shard", "n")).where("n > 0")
+    lo = f"part * {chunk}L + aggregate(slice(counts, 1, shard), 0L, (a, x) -> a + x)"
+    return each.select("rank", "blocks", "part", "shard", F.expr(lo).alias("lo"), "n")
+
+
+def slots(plan: DataFrame, shards: int, seed: int, tasks: int) -> DataFrame:
+    """plan (rank, blocks, slots) -> rank, slot, pass, shard, block: as many slots of each shard and source as were drawn."""
+    drawn = draws(plan, shards, seed).repartition(tasks, "rank", "part", "shard")
+    made = drawn.select("rank", "blocks", "shard", F.explode(F.expr("sequence(lo, lo + n - 1)")).alias("slot"))
     made = made.withColumn("pass", F.expr("slot div blocks")).withColumn("block", F.expr("slot % blocks"))
-    made = made.withColumn("shard", F.expr(f"pmod(xxhash64({seed + 2}, rank, slot), {shards})"))
     return permuted(made, "block", "blocks", ["rank"], seed).drop("blocks")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no hash, count by their entries."""
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema}
+    text = lambda c: F.to_json(F.struct(F.col(f"`{c}`")))
+    return F.xxhash64(*[F.col(f"`{c}`") if k not in ("map", "struct", "array", "variant") else text(c) for c, k in kinds.items()])
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, shards: int = 64, seed: int = 5) -> dict[str, DataFrame]:
     """``rows``: doc_id, source, key, size, source_size, target, rank, lo (first word's place in its source).
     ``taken``: rank, lo, pass, shard, slot, first, last: the words [first, last) of a row that a slot takes.
 
     A null text has no words and is never taken; a null source is a source of its own. Rows are told
-    apart by id and text, and rows that repeat both are handled one by one (their places differ).
-    Sources without words have no blocks. An empty table gives empty tables.
+    apart by id and a hash of all columns; rows that repeat in all of them have a place each. Sources
+    without words have no blocks. An empty table gives empty tables.
     """
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), row_key(docs).alias("key"))
     rows = cut(rows.withColumn("lane", F.expr(f"pmod(xxhash64({seed}, key, doc_id), {LANES})")), "mix-rows")
     starts = rows.groupBy("source", "lane").agg(F.sum("size").alias("n"))
     sizes = starts.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -91,17 +118,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     plan = plan.select("rank", "blocks", F.expr(f"least(cast(floor(blocks * {most}) as long), cast(round(target * blocks / source_size) as long))").alias("slots"))
     pieces = placed.where("size > 0").select("rank", "lo", "size", F.explode(F.expr(f"sequence(lo div {block}, (lo + size - 1) div {block})")).alias("block"))
     pieces = pieces.select("rank", "lo", "block", F.expr(f"greatest(0L, block * {block} - lo)").alias("first"), F.expr(f"least(size, (block + 1) * {block} - lo)").alias("last"))
+    total = plan.agg(F.sum("slots")).first()[0] or 0
     # slots come from a table of a row a source, whose estimated size must not let them be broadcast
-    taken = slots(plan, shards, seed).hint("merge").join(pieces, ["rank", "block"])
+    taken = slots(plan, shards, seed, max(1, min(10_000, -(-total >> 17)))).hint("merge").join(pieces, ["rank", "block"])
     return {"rows": placed, "taken": taken}
 
 
 def amounts(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
+    """doc_id, size, source_size, target, taken, in_shards: one row per row of ``docs``.
+
+    taken is the sum of the words that the output shards take; in_shards (array of shard, words) says which.
+    """
     m = mix(docs, **settings)
-    got = m["taken"].groupBy("rank", "lo").agg(F.sum(F.expr("last - first")).alias("got"))
-    out = m["rows"].join(got.select(F.col("rank").alias("r"), F.col("lo").alias("l"), "got"), F.expr("rank = r and lo = l and size > 0"), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    got = m["taken"].groupBy("rank", "lo", "shard").agg(F.sum(F.expr("last - first")).alias("words"))
+    got = got.groupBy("rank", "lo").agg(F.sum("words").alias("got"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("in_shards"))  # a shard each at most
+    out = m["rows"].join(got.withColumnsRenamed({"rank": "r", "lo": "l"}), F.expr("rank = r and lo = l and size > 0"), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("in_shards", F.expr("cast(array() as array<struct<shard: int, words: bigint>>)")).alias("in_shards"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
@@ -115,9 +147,8 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     place = m["rows"].where("size > 0").select("rank", "lo", "size", "key", F.col("doc_id").alias("_doc"))
     names = {c: f"__mix_{c}" for c in ("key", "doc", "size", "got", "parts")}  # docs may have columns of any other name
     got = got.join(place, ["rank", "lo"]).withColumnRenamed("_doc", "doc").select(*[F.col(c).alias(n) for c, n in names.items()])
-    own = docs.withColumn("__mix_id", F.xxhash64("doc_id", "text"))
-    if not place.groupBy("key", "_doc").count().where("count > 1").isEmpty():
-        own = own.dropDuplicates(["doc_id", "__mix_id"])  # its places bring the repeats back
+    # rows that repeat in every column are one here; each of their places brings one back
+    own = docs.withColumn("__mix_id", row_key(docs)).dropDuplicates(["doc_id", "__mix_id"])
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     cut_out = lambda w: F.flatten(F.transform("__mix_parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int"))))
     some = F.array_join(F.element_at(F.transform(F.array(words), cut_out), 1), " ")  # the words are found once a row
