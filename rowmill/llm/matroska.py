@@ -23,6 +23,9 @@ EBML, DOC_TYPE, SEGMENT, INFO, SCALE, TRACKS, TRACK = 0x1A45DFA3, 0x4282, 0x1853
 NUMBER, UID, KIND, CODEC, DEFAULT_DURATION, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMECODE, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_AT = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+#: What may stand beside a cluster: seek head, chapters, attachments and tags have no other use here.
+LEVEL_1 = frozenset({INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367})
+TOP = frozenset({EBML, SEGMENT})
 INSIDE = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_PLACE, EBML}
 
 RATE_HZ, FRAME, LACED, BLOCKS = 8000, 512, 8, 32
@@ -104,15 +107,15 @@ def mux(payload: bytes) -> bytes:
     return head + element(SEGMENT, b"".join(parts))
 
 
-def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, first byte, end) of the elements in a range; an unknown size reaches to the range's end."""
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(id, first byte, end, whether the size is known) of the elements in a range; an unknown size reaches to the range's end."""
     while at < end:
         kind, at = vint(data, at, True)
         size, at = vint(data, at)
         stop = end if size is None else at + size
         if stop > end:
             raise ValueError("an element is longer than its parent")
-        yield kind, at, stop
+        yield kind, at, stop, size is not None
         at = stop
 
 
@@ -153,14 +156,19 @@ def frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[in
 
 
 def demux(data: bytes) -> Media:
+    """Everything in the data; ValueError, IndexError or struct.error where they are damaged."""
     media, now, base = Media(), 0, 0
 
     def number(a: int, b: int) -> int:
         return int.from_bytes(data[a:b], "big")
 
-    def walk(a: int, b: int, into: dict) -> None:
+    def walk(a: int, b: int, into: dict, until: frozenset[int] = frozenset()) -> int:
+        """Reads a range and returns where it ends: at ``b``, or before the first element whose id is in ``until``."""
         nonlocal now, base
-        for kind, lo, hi in elements(data, a, b):
+        while a < b:
+            kind, lo, hi, sized = next(elements(data, a, b))
+            if kind in until:
+                return a
             if kind == SEGMENT:
                 base = lo
             if kind == CLUSTER:
@@ -179,17 +187,20 @@ def demux(data: bytes) -> Media:
                 walk(lo, hi, own)
                 media.cues.append((own.get(CUE_TIME, 0), own.get(CUE_TRACK, 0), base + own.get(CUE_AT, 0)))
             elif kind in INSIDE:
-                walk(lo, hi, into)
+                # a cluster of unknown size ends where its next sibling begins, a segment where the next stream does
+                hi = walk(lo, hi, into, frozenset() if sized else (TOP if kind == SEGMENT else TOP | LEVEL_1))
             elif kind == TIMECODE:
                 now = number(lo, hi)
             elif kind == SCALE:
                 media.scale = number(lo, hi)
             elif kind == CODEC:
-                into[kind] = data[lo:hi].decode()
+                into[kind] = data[lo:hi].decode("ascii", "replace")
             elif kind == RATE:
                 into[kind] = struct.unpack(">d" if hi - lo == 8 else ">f", data[lo:hi])[0]
             elif kind in (NUMBER, UID, KIND, DEFAULT_DURATION, CHANNELS, DEPTH, CUE_TIME, CUE_TRACK, CUE_AT):
                 into[kind] = number(lo, hi)
+            a = hi
+        return b
 
     walk(0, len(data), {})
     return media
@@ -205,7 +216,11 @@ def padded(text: bytes | None) -> bytes:
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a Matroska file."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a Matroska file.
+
+    One row per row of ``docs``, repeated rows included; a null or empty text is stored as 64 zeros. An
+    empty table gives an empty one. Other columns are not read.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column("text"))
@@ -215,19 +230,28 @@ def with_media(docs: DataFrame) -> DataFrame:
 
 
 def packets(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, track, timestamp_ms, first_byte, length, in_lace: the packet table of a media column (null media: no packets)."""
+    """key, track, timestamp_ms, first_byte, length, in_lace, error: the packet table of a media column.
+
+    Null or empty media have no packets. Damaged media give one row that holds only the key and what
+    is wrong with them; ``error`` is null in all other rows. Repeated rows give their packets each.
+    Other columns of ``media`` are not read.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, at = [], []
         for i, data in enumerate(batch.column("media").to_pylist()):
-            parsed = demux(data) if data else Media()
-            for t, time, first, n, k in parsed.packets:
-                rows.append((t, time * parsed.scale // 1_000_000, first, n, k))
-                at.append(i)
+            try:
+                parsed = demux(data) if data else Media()
+                found = [(t, time * parsed.scale // 1_000_000, first, n, k, None) for t, time, first, n, k in parsed.packets]
+            except (ValueError, IndexError, struct.error) as e:
+                found = [(None, None, None, None, None, str(e))]
+            rows += found
+            at += [i] * len(found)
         cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(5)]
-        return pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()).take(pa.array(at, pa.int64())), *cols], names=[key, "track", "timestamp_ms", "first_byte", "length", "in_lace"])
+        errors = pa.array([r[5] for r in rows], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()).take(pa.array(at, pa.int64())), *cols, errors], names=[key, "track", "timestamp_ms", "first_byte", "length", "in_lace", "error"])
 
-    return map_batches(media.select(key, "media"), run, f"{key} long, track long, timestamp_ms long, first_byte long, length long, in_lace long")
+    return map_batches(media.select(key, "media"), run, f"{key} long, track long, timestamp_ms long, first_byte long, length long, in_lace long, error string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
