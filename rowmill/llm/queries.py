@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowmill.llm import linededup, matroska, minhash, mixing, packing, substring, topk, toxicity, urlfilter, warc
 
@@ -69,13 +70,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone decide; the verdicts of the model have no SQL."""
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def media_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash, op2_topk, op3_urlfilter, op4_toxicity, op5_packing, op6_warc, op7_linededup, op8_mixing, op9_matroska, op10_substring, pipeline]
+    found = [op1_minhash, op2_topk, op3_urlfilter, op4_toxicity, op5_packing, op6_warc, op7_linededup, op8_mixing, op9_matroska, op10_substring, pipeline, url_rules, mixing_targets, media_bytes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_topk": OP2, "op6_warc": OP6, "op10_substring": OP10}
+    return {"op1_minhash": OP1, "op2_topk": OP2, "op6_warc": OP6, "op10_substring": OP10, "url_rules": URLS, "mixing_targets": TARGETS, "media_bytes": MEDIA}
 
 
 OP1 = r"""
@@ -126,3 +141,35 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed,
     ELSE array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
+
+URLS = r"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+v AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(action, name, start)),
+m AS (SELECT page_id, name || start AS rule, action FROM u JOIN v ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(name || start) DESC) = 1)
+SELECT u.page_id, host, path, rule, action AS ruled FROM u LEFT JOIN m ON u.page_id = m.page_id
+"""
+
+TARGETS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM w GROUP BY source),
+k AS (SELECT source, source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS BIGINT)] AS weight FROM s),
+f AS (  -- rounds: sources whose share would pass twice their size stop there
+  SELECT 0 AS round, source, source_size, weight, CAST(NULL AS DOUBLE) AS stop FROM k
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, CASE WHEN stop IS NOT NULL THEN stop
+      WHEN weight * (1.5 * sum(source_size) OVER () - coalesce(sum(stop) OVER (), 0)) / sum(weight) FILTER (stop IS NULL) OVER () > 2.0 * source_size THEN 2.0 * source_size END
+  FROM f WHERE round < (SELECT count(*) FROM k)),
+e AS (SELECT source, source_size, coalesce(stop, weight * (1.5 * sum(source_size) OVER () - coalesce(sum(stop) OVER (), 0)) / sum(weight) FILTER (stop IS NULL) OVER ()) AS target
+  FROM f WHERE round = (SELECT count(*) FROM k))
+SELECT doc_id, size, source_size, round(target, 3) AS target FROM w JOIN e ON w.source IS NOT DISTINCT FROM e.source
+"""
+
+MEDIA = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+n AS (SELECT doc_id, body, CAST(octet_length(body) AS BIGINT) AS n_bytes FROM t),
+p AS (SELECT *, CASE WHEN n_bytes = 0 THEN 64 ELSE (n_bytes + 63) // 64 * 64 END AS payload_bytes FROM n)
+SELECT doc_id, n_bytes, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(body || unhex(repeat('00', CAST(payload_bytes - n_bytes AS INTEGER)))) AS payload_sha256 FROM p
+"""
