@@ -2,7 +2,7 @@
 
 Of every permutation both the smallest and the largest value are kept, so ``perms`` hash evaluations
 give ``2 * perms`` signature values. ``rows`` values make a band; documents that agree on a band are
-candidates, and every link is confirmed on the full shingle sets.
+candidates, and every link is confirmed on the full sets of 64-bit shingle hashes.
 
 Inside a bucket, members are first checked against one hub (linear work). Members that are still in
 different components afterwards are checked exactly, in blocks of bounded size, so no link between
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from rowmill.llm.components import components
-from rowmill.llm.shared import as_long, cut, gram_hashes, map_batches, scramble, utf8, word_hashes
+from rowmill.llm.shared import as_long, cut, gram_hashes, join_hot, map_batches, scramble, utf8, word_hashes
 
 
 @dataclass(frozen=True)
@@ -179,13 +179,13 @@ def exact_links(ids: np.ndarray, labels: np.ndarray, rest: np.ndarray, values: l
 
 def _block_links(shared: DataFrame, docs: DataFrame, nodes: DataFrame, p: MinMax) -> DataFrame:
     """shared (bucket, node, label): buckets whose members are in several components. -> links (u, v)."""
-    by = shared.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = by.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    by = shared.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    main = cut(by.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most")), "minmax-main")
     rows = (
-        shared.join(main, "bucket")
+        join_hot(shared, main, "bucket", "node", main.select("bucket", "n"))
         .withColumn("rest", F.expr("label <> main"))
         .withColumn("ml", F.expr(f"cast(ceil(most / {p.block}) as int)"))
-        .withColumn("mr", F.expr(f"cast(ceil((all - most) / {p.block}) as int)"))
+        .withColumn("mr", F.expr(f"cast(ceil((n - most) / {p.block}) as int)"))
         .withColumn("at", F.expr("cast(pmod(xxhash64(node), if(rest, mr, ml)) as int)"))
         .withColumn("cell", F.explode(F.expr(
             "if(rest, concat(transform(sequence(0, ml - 1), x -> struct(x as x, at as y)),"
@@ -208,43 +208,54 @@ def _block_links(shared: DataFrame, docs: DataFrame, nodes: DataFrame, p: MinMax
 
 
 def _groups(docs: DataFrame, p: MinMax) -> tuple[DataFrame, DataFrame]:
-    """The profile of ``docs``, and (node, digest, rep, label) of its word sequences: equal labels are one component, rep is the smallest doc_id."""
+    """The profile of ``docs``, and (digest, n copies, rep, label) of its word sequences: equal labels are one component, rep is the smallest doc_id."""
     rows = cut(_profile(docs, p), "minmax")
-    nodes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+    )
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "minmax-nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    members = cut(spread.join(hubs, "bucket"), "minmax-buckets")
+    hubs = cut(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "minmax-hubs")
+    members = cut(join_hot(spread, hubs.withColumnRenamed("n", "k"), "bucket", "node", hubs.select("bucket", "n")), "minmax-buckets")
 
+    pairs = cut(members.where("node <> hub").select("node", "hub").distinct(), "minmax-pairs")
     side = nodes.select("node", "n", "sig")
-    pairs = members.where("node <> hub").select("node", "hub").distinct()
+    hub_side = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
     pairs = (
-        pairs.join(side, "node")
-        .join(side.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
+        join_hot(pairs.join(side, "node"), hub_side, "hub", "node", pairs.groupBy("hub").agg(F.count("*").alias("n")))
         .where(f"100 * least(n, hub_n) >= {p.percent} * greatest(n, hub_n)")
         .where(F.pandas_udf(_agreement, "double")("sig", "hub_sig") >= p.floor)
         .select("node", "hub", "n", "hub_n")
     )
-    pairs = cut(pairs, "minmax-pairs")
+    pairs = cut(pairs, "minmax-close")
     sets = cut(_sets(docs, nodes, pairs.select("node").union(pairs.select("hub")).distinct(), p), "minmax-sets")
+    hub_sets = sets.select(F.col("node").alias("hub"), F.col("values").alias("hub_values"))
     links = (
-        pairs.join(sets, "node")
-        .join(sets.select(F.col("node").alias("hub"), F.col("values").alias("hub_values")), "hub")
+        join_hot(pairs.join(sets, "node"), hub_sets, "hub", "node", pairs.groupBy("hub").agg(F.count("*").alias("n")), least=64)
         .withColumn("common", F.pandas_udf(_overlap, "long")("values", "hub_values"))
         .where(_enough(p.percent, "common", "n", "hub_n"))
         .select(F.col("node").alias("u"), F.col("hub").alias("v"))
     )
-    links = cut(links, "minmax-links")
     labels = cut(components(links), "minmax-labels")
 
-    wide = members.where("k > 2").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    split = wide.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    more = cut(_block_links(wide.join(split.select("bucket"), "bucket"), docs, nodes, p), "minmax-more")
+    # members of a bucket that its hub has not brought together are checked with each other
+    wide = cut(members.where("k > 2").select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "minmax-wide")
+    split = cut(wide.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n"), "minmax-split")
+    more = cut(_block_links(join_hot(wide, split.select("bucket"), "bucket", "node", split), docs, nodes, p), "minmax-more")
     if not more.isEmpty():
-        labels = cut(components(links.union(more)), "minmax-labels")
+        old = labels.withColumnsRenamed({"node": "u", "label": "lu"})
+        ends = more.join(old, "u", "left").join(old.withColumnsRenamed({"u": "v", "lu": "lv"}), "v", "left")
+        joined = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))).withColumnsRenamed({"node": "old", "label": "new"})
+        every = labels.union(ends.where("lu is null").select("u", "u")).union(ends.where("lv is null").select("v", "v")).distinct()
+        labels = cut(every.join(joined, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "minmax-labels")
+
+    named = nodes.select("node", "digest", "rep", F.col("copies").alias("n")).join(labels, "node", "left").select("digest", "n", "rep", F.coalesce("label", "node").alias("label"))
+    return rows, cut(named, "minmax-named")
+
 
-    named = nodes.select("node", "digest", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return rows, named
+def _named(named: DataFrame, best: DataFrame) -> DataFrame:
+    """(digest, ...): what ``best`` (label, ...) says of each word sequence's component."""
+    return join_hot(named.select("digest", "label"), best, "label", "digest", named.groupBy("label").agg(F.count("*").alias("n"))).drop("label")
 
 
 def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
@@ -256,10 +267,9 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     false. Other columns of ``docs`` are not read.
     """
     rows, named = _groups(docs, p)
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(names, "label").select("digest", "component_id")
+    names = _named(named, named.groupBy("label").agg(F.min("rep").alias("component_id")))
     return (
-        rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+        join_hot(rows.select("doc_id", "digest", "n_shingles"), names, "digest", "doc_id", named.select("digest", "n"), "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
@@ -273,8 +283,7 @@ def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     """
     rows, named = _groups(docs, p)
     best = named.groupBy("label").agg(F.min(F.struct(F.expr("rep is null").alias("none"), "rep", "digest")).alias("best"))
-    named = named.join(best, "label").select("digest", "best")
-    gone = rows.where("n_shingles > 0").join(named, "digest").where("not (doc_id <=> best.rep and digest = best.digest)")
+    gone = join_hot(rows.where("n_shingles > 0").select("doc_id", "digest"), _named(named, best), "digest", "doc_id", named.select("digest", "n")).where("not (doc_id <=> best.rep and digest = best.digest)")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
 
     def run(batches):
