@@ -1,14 +1,14 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its character n-grams (runs of UTF-8 bytes, with marked ends) and itself, hashed into ``2 ** bits``
-buckets; each bucket has a vector of ``dim`` numbers. A stretch of text is the mean of its words'
-vectors, fed to a two-way softmax. Vectors and softmax are trained jointly in numpy. Misspelt words
-share n-grams, and so vectors, with what was seen. A word of more than ``LONG`` signs, as texts without
-white space are, is cut into overlapping pieces that count as words; every n-gram lies in one of them.
-
-A text is scored in overlapping stretches of ``stretch`` words and gets the score of its worst
-stretch, so a few words count alike in short and in very long texts. In training, a toxic text's
-gradient flows through its worst stretch, a clean text's through its ``clean`` worst ones.
+buckets; each bucket has a vector of ``dim`` numbers. A text is the mean of its words' vectors, fed to
+a two-way softmax. Vectors and softmax are trained jointly in numpy. Only buckets that toxic and clean
+training texts hold in clearly different shares have a vector other than zero, so that rare n-grams
+are not learnt by heart. Misspelt words share n-grams, and so vectors, with what was seen. A word of more than ``LONG`` signs, as texts without white space are, is cut into overlapping
+pieces that count as words; every n-gram lies in one of them.
+
+Training runs in one task on an executor, over a sample bounded in rows and bytes; the driver sees
+only the buckets that count.
 """
 
 from __future__ import annotations
@@ -26,18 +26,20 @@ from rowmill.llm.shared import gram_hashes, map_batches, scramble, utf8
 
 @dataclass(frozen=True)
 class Settings:
-    """clean: stretches of a clean text that a step corrects; least: training texts that must hold a bucket; sample: labelled texts of each class that training takes at most, those of smallest hash."""
+    """apart: standard errors between the shares of toxic and clean texts that hold a bucket, at least; sample: labelled texts of
+    each class that training takes at most, those of smallest hash; longest: bytes of a training text at most.
+    """
 
     dim: int = 4
-    bits: int = 17
+    bits: int = 18
     low: int = 3
     high: int = 6
-    stretch: int = 4
-    clean: int = 4
-    epochs: int = 8
-    rate: float = 0.3
-    least: int = 3
+    apart: float = 7
+    steps: int = 200
+    rate: float = 0.1
+    decay: float = 1e-3
     sample: int = 3000
+    longest: int = 20_000
     threshold: float = 0.3
     seed: int = 11
 
@@ -104,21 +106,33 @@ def known_words(key: int, most: int = 500_000) -> dict[bytes | str, float]:
 
 
 class Model:
-    def __init__(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, shift: float, s: Settings):
-        self.s, self.shift = s, shift
-        self.gain = vectors @ (softmax[1] - softmax[0])  # of each bucket, to the log odds
-        self.bias = float(bias[1] - bias[0])
-        self.key = xxhash.xxh3_64_intdigest(self.gain.tobytes())
+    """at, gain: the buckets that count, sorted, and what each adds to the log odds."""
+
+    def __init__(self, at: np.ndarray, gain: np.ndarray, bias: float, s: Settings):
+        self.at, self.gain, self.bias, self.s = at, gain, bias, s
+        self.key = xxhash.xxh3_64_intdigest(at.tobytes() + gain.tobytes())
+
+    def __getstate__(self):
+        return self.at, self.gain, self.bias, self.s, self.key
+
+    def __setstate__(self, state):
+        self.at, self.gain, self.bias, self.s, self.key = state
+
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << self.s.bits)
+        out[self.at] = self.gain
+        return out
 
     def learn(self, words: set[bytes | str], known: dict[bytes | str, float], step: int = 10_000) -> None:
-        """Words' vectors seen from the softmax: one number each, as both are linear. Spellings that differ in case or punctuation share it."""
+        """Words' vectors seen from the softmax: one number each, as both are linear. Spellings that differ in case or punctuation share it; null where nothing is left."""
         new = list(words)
         bare = [plain(w) for w in new]
         names = list({*bare} - {""})
-        value = {"": 0.0}
+        value: dict[str, float] = {"": np.nan}
+        gain = self.table()
         for i in range(0, len(names), step):
             table, at = bags(names[i : i + step], self.s)
-            value |= zip(names[i : i + step], (np.add.reduceat(self.gain[table], at[:-1]) / np.diff(at)).tolist(), strict=True)
+            value |= zip(names[i : i + step], (np.add.reduceat(gain[table], at[:-1]) / np.diff(at)).tolist(), strict=True)
         known.update(zip(new, map(value.__getitem__, bare), strict=True))
 
     def odds(self, texts: list[bytes | None], step: int = 64) -> np.ndarray:
@@ -130,98 +144,82 @@ class Model:
                 self.learn(new, known)
             for i, words in enumerate(parts, lo):
                 x = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                out[i] = stretches(x[:, None], self.s.stretch).max() if len(x) else 0.0
-        return out + self.bias + self.shift
+                x = x[~np.isnan(x)]
+                out[i] = x.mean() if len(x) else 0.0
+        return out + self.bias
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.odds(texts), -30, 30)))
 
 
-def stretches(x: np.ndarray, size: int) -> np.ndarray:
-    """Means over runs of ``size`` rows that overlap by half; a shorter one is divided by ``size`` too."""
-    sums = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, 0)])
-    starts = np.arange(0, max(1, len(x) - size // 2), max(1, size // 2))
-    return (sums[np.minimum(starts + size, len(x))] - sums[starts]) / size
+def _inputs(texts: list[bytes], y: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, weight) of the buckets that tell the classes ``apart``: the share of a text's mean that is the bucket's vector."""
+    ids: dict[str, int] = {}
+    docs = [np.array([ids.setdefault(w, len(ids)) for t in split(text, s) if (w := plain(t))], np.int32) for text in texts]
+    table, at = many_bags(list(ids), s)
+    del ids
+    size = np.diff(at)
+
+    def flat(words: np.ndarray, table: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' buckets, word after word, and how many each word has."""
+        n = at[words + 1] - at[words]
+        return table[np.arange(n.sum()) + np.repeat(at[words] - (np.cumsum(n) - n), n)], n
+
+    held = np.zeros((2, 1 << s.bits))
+    for doc, toxic in zip(docs, y, strict=True):
+        held[toxic, np.unique(flat(np.unique(doc), table, at)[0])] += 1
+    n1, n0 = y.sum(), len(y) - y.sum()
+    both = held.sum(0) / len(y)
+    error = np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
+    tells = np.abs(held[1] / n1 - held[0] / n0) > s.apart * np.maximum(error, 1e-12)
+    kept = tells[table]
+    at, table = np.concatenate([[0], np.cumsum(kept)])[at], table[kept]
+    of, buckets, weight = [], [], []
+    for i, doc in enumerate(docs):
+        words, times = np.unique(doc, return_counts=True)
+        found, n = flat(words, table, at)
+        buckets.append(found)
+        weight.append(np.repeat(times / size[words], n) / max(1, len(doc)))
+        of.append(np.full(len(found), i))
+    return np.concatenate(of), np.concatenate(buckets), np.concatenate(weight)
 
 
 def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model:
-    """Adagrad over single texts. Without rows of both classes the score is the share of the one class."""
+    """Adagrad over all texts at once, classes weighing alike. Where there are not both classes, or nothing that tells them apart, the score is the share of toxic texts."""
     y = np.asarray(toxic, int)
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-    size = 1 << s.bits
-    rng = np.random.default_rng(s.seed)
-    vectors, softmax, bias = np.zeros((size, s.dim)), rng.normal(0, 0.3, (2, s.dim)), np.zeros(2)
+    constant = Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))), s)
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros((size, s.dim)), softmax, bias, float(np.log(share / (1 - share))), s)
-    ids: dict[str, int] = {}
-    docs: list[np.ndarray | list[str]] = []
-    for text in texts:
-        words = split(text, s)
-        # pieces hardly come twice: a text with long words keeps its words, and gets their buckets when it is read
-        if any(isinstance(t, str) for t in words):
-            docs.append([w for t in words if (w := plain(t))])
-        else:
-            docs.append(np.array([ids.setdefault(w, len(ids)) for t in words if (w := plain(t))], np.int32))
-    # the words' buckets lie one after another: those of word w are table[at[w] : at[w + 1]]
-    table, at = many_bags(list(ids), s)
-    seen = np.zeros(size, np.int64)
-    for doc in docs:
-        if isinstance(doc, list):
-            seen[np.unique(many_bags(doc, s)[0])] += 1
-        elif len(some := np.unique(doc)):
-            seen[np.unique(np.concatenate([table[at[w] : at[w + 1]] for w in some]))] += 1
-    often = seen[table] >= s.least
-    at = np.concatenate([[0], np.cumsum(often)])[at]
-    table = table[often]
-    del ids
-
-    def held(doc: np.ndarray | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The buckets of a text's words that ``least`` texts hold, word after word, and how many each word has; words without any are left out."""
-        if isinstance(doc, list):
-            flat, ends = many_bags(doc, s)
-            good = seen[flat] >= s.least
-            lengths = np.diff(np.concatenate([[0], np.cumsum(good)])[ends])
-            return flat[good], lengths[lengths > 0]
-        lengths = at[doc + 1] - at[doc]
-        doc, lengths = doc[lengths > 0], lengths[lengths > 0]
-        ends = np.cumsum(lengths)
-        return table[np.arange(lengths.sum()) + np.repeat(at[doc] - (ends - lengths), lengths)], lengths
-
-    past_v, past_s, past_b = np.full(size, 1e-6), np.full(2, 1e-6), 1e-6
-    weight = np.array([0.5 * len(y) / (len(y) - y.sum()), 0.5 * len(y) / y.sum()])
-    for epoch in range(s.epochs):
-        for i in rng.permutation(len(docs)):
-            flat, lengths = held(docs[i])
-            if not len(lengths):
-                continue
-            ends = np.cumsum(lengths)
-            word_vectors = np.add.reduceat(vectors[flat], ends - lengths) / lengths[:, None]
-            means = stretches(word_vectors, s.stretch)
-            z = means @ (softmax[1] - softmax[0])
-            for j in np.argsort(-z)[: 1 if y[i] else s.clean]:
-                logits = softmax @ means[j] + bias
-                p = np.exp(logits - logits.max())
-                p /= p.sum()
-                err = (p - np.eye(2)[y[i]]) * weight[y[i]]
-                lo = j * max(1, s.stretch // 2)
-                hi = min(lo + s.stretch, len(lengths))
-                own = flat[(ends[lo - 1] if lo else 0) : ends[hi - 1]]
-                part = np.repeat(1 / lengths[lo:hi], lengths[lo:hi]) / s.stretch
-                step = err @ softmax
-                np.add.at(past_v, own, (step @ step) * part**2)
-                np.add.at(vectors, own, -s.rate * part[:, None] * step[None, :] / np.sqrt(past_v[own])[:, None])
-                gs = err[:, None] * means[j][None, :]
-                past_s += (gs * gs).sum(1)
-                softmax -= s.rate * gs / np.sqrt(past_s)[:, None]
-                past_b += float(err @ err)
-                bias -= s.rate * err / past_b**0.5
-    vectors[seen < s.least] = 0  # what few texts hold says nothing
-    del docs, table, at, often
-    model = Model(vectors, softmax, bias, 0.0, s)
-    z = model.odds(texts)
-    model.shift = float(np.log(s.threshold / (1 - s.threshold))) - _cut(z, y)
-    KNOWN.clear()  # the driver needs no words any more
-    return model
+        return constant
+    of, buckets, weight = _inputs(texts, y, s)
+    if not len(of):
+        return constant
+    used, own = np.unique(buckets, return_inverse=True)  # buckets, numbered anew
+    n, m = len(y), len(used)
+    scale = 1 / np.sqrt(np.bincount(own, weight * weight, m) / n)  # every bucket's input gets about the same spread
+    x = weight * scale[own]
+    rng = np.random.default_rng(s.seed)
+    vectors, softmax, bias = np.zeros((m, s.dim)), rng.normal(0, 0.3, (2, s.dim)), np.zeros(2)
+    past, past_s, past_b = np.full(m, 1e-8), 1e-8, 1e-8
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    for _ in range(s.steps):
+        means = np.stack([np.bincount(of, vectors[own, j] * x, n) for j in range(s.dim)], 1)
+        logits = means @ softmax.T + bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(n), y] -= 1
+        err = p * each[:, None]
+        pull = np.stack([np.bincount(own, err[of, k] * x, m) for k in (0, 1)], 1)
+        grad_v, grad_s, grad_b = pull @ softmax + s.decay * vectors, err.T @ means + s.decay * softmax, err.sum(0)
+        past += (grad_v * grad_v).sum(1)
+        vectors -= s.rate * grad_v / np.sqrt(past)[:, None]
+        past_s += (grad_s * grad_s).sum()
+        softmax -= s.rate * grad_s / np.sqrt(past_s)
+        past_b += (grad_b * grad_b).sum()
+        bias -= s.rate * grad_b / np.sqrt(past_b)
+    gain = vectors @ (softmax[1] - softmax[0]) * scale
+    shift = float(np.log(s.threshold / (1 - s.threshold)))
+    return Model(used.astype(np.int64), gain, shift - _cut(np.bincount(of, gain[own] * weight, n), y), s)
 
 
 def _cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -236,15 +234,28 @@ def _cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[i] + z[i - 1]) / 2)
 
 
-def training(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[bytes], list[int]]:
-    """At most ``sample`` texts of each class, those of smallest hash, whose crc32(doc_id) mod 4 is not 2."""
+def trained(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
+    """The model of at most ``sample`` texts of each class, those of smallest hash, whose crc32(doc_id) mod 4 is not 2.
+
+    One task on an executor trains; what comes back are the buckets that count, ``2 ** bits`` at most.
+    """
     usable = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [usable.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample) for k in (0, 1)]
-    picked = F.broadcast(ids[0].union(ids[1]).withColumnRenamed("doc_id", "_id"))  # 2 * sample rows at most
-    got = docs.select("doc_id", "text").where("text is not null").join(picked, F.col("doc_id") == F.col("_id"))
-    got = got.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = got.toArrow().sort_by("doc_id")
-    return utf8(rows["text"].combine_chunks()), rows["toxic"].to_pylist()
+    picked = F.broadcast(ids[0].union(ids[1]).selectExpr("doc_id as _id", "toxic as _toxic"))  # 2 * sample rows at most
+    got = docs.select("doc_id", "text").where(f"text is not null and octet_length(text) <= {s.longest}").join(picked, F.col("doc_id") == F.col("_id"))
+    got = got.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())])).sort_by("doc_id")
+        model = fit(utf8(rows["text"].combine_chunks()), rows["toxic"].to_pylist(), s)
+        yield pa.RecordBatch.from_arrays([pa.array([model.at]), pa.array([model.gain]), pa.array([model.bias])], names=["at", "gain", "bias"])
+
+    made = got.select(F.col("doc_id").cast("long"), F.col("_toxic").cast("int").alias("toxic"), "text").coalesce(1).mapInArrow(run, "at array<long>, gain array<double>, bias double")
+    rows = made.collect()
+    if not rows:  # an empty input may have no part to run in
+        return fit([], [], s)
+    at, gain, bias = rows[0]
+    return Model(np.array(at, np.int64), np.array(gain), bias, s)
 
 
 def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -254,7 +265,7 @@ def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataF
     empty text scores as one without words; a null doc_id is never held out. Equal texts score alike.
     Labels that are null or neither 0 nor 1 are left out; a document labelled both ways counts as 1.
     """
-    model = fit(*training(docs, labels, s), s)
+    model = trained(docs, labels, s)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.scores(utf8(batch.column("text"))))], names=["doc_id", "score"])
@@ -265,8 +276,13 @@ def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataF
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, with all their columns; texts stay in place, no shuffle."""
-    model = fit(*training(docs, labels, s), s)
+    """The rows of ``docs`` that score under the threshold, with all their columns; texts stay in place, no shuffle.
+
+    Null and empty texts score as texts without words, which are clean unless nearly all training
+    texts are toxic. Repeated rows go or stay together; an empty table gives an empty one. Columns of
+    ``docs`` of any name are kept as they are.
+    """
+    model = trained(docs, labels, s)
 
     def run(batches):
         for batch in batches:
