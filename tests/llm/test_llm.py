@@ -91,6 +91,8 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     root = group(500, links)
     assert all(root[n] == x for n, x in got.items()) and {n for a, b in links if a != b for n in (a, b)} == set(got)
+    far = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long"), local=0).collect()}
+    assert far == got
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -117,6 +119,27 @@ def test_topk(spark, index):
     assert topk.search(none, none).count() == 0 and topk.search(none, vectors).count() == 0
 
 
+@pytest.mark.parametrize("size", [2e5, 1e8, 1e14])
+def test_topk_scores_are_exact_integers(spark, size):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(np.float32(x)) for x in np.concatenate([rng.normal(size=4) * size, rng.normal(size=4)])]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integers(df)
+    got = sorted(map(tuple, topk.search(vectors.where("vec_id % 100 = 0"), vectors, topk.PivotIndex(pivots=4)).collect()))
+    clip = lambda x: max(-topk.LONG - 1, min(topk.LONG, x))
+    ok = [(i, [int(x) for x in clipped]) for i, v in rows for clipped in [[clip(math.floor(1024 * x)) for x in v]]]
+    if size < 1e6:
+        assert got == brute_topk([(i, [float(x) for x in v]) for i, v in rows], 10)
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(x for q, v in ok if q % 100 == 0 for x in [(q, n, i, 0) for n, (_, i) in enumerate(sorted((-sum(int(float(a)) * int(float(b)) for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q)[:10], 1)])]
+
+
+def test_topk_two_vectors_of_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [math.cos(i), math.sin(i)]) for i in range(1, 60)]
+    vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(vectors.where("vec_id = 0"), vectors, topk.PivotIndex(k=3, pivots=4)).collect()
+    assert Counter(r["rank"] for r in got) == {1: 2, 2: 2, 3: 2} and all(r.vec_id for r in got)
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
 
 
@@ -135,6 +158,17 @@ def test_urls(spark):
     assert urlfilter.judge(df.where("false"), RULES).count() == 0
 
 
+def test_url_table_holds_for_unseen_hosts():
+    rows = [(*urlfilter.split_url(u), y) for u, y in urlfilter.labelled_urls()]
+    held = [r for r in rows if zlib.crc32(r[0].encode()) % 4 == 2]
+    seen = [r for r in rows if zlib.crc32(r[0].encode()) % 4 != 2]
+    assert not {r[0] for r in held} & {r[0] for r in seen}
+    model = urlfilter.fit(*zip(*seen, strict=True))
+    said = model.blocks([r[0] for r in held], [r[1] for r in held]) >= 0.5
+    truth = np.array([r[2] == 1 for r in held])
+    assert (said & truth).sum() >= 0.95 * truth.sum() and (said & ~truth).sum() <= 0.05 * (~truth).sum()
+
+
 def test_url_model_learns():
     rng = random.Random(4)
     make = lambda bad: (f"{'casino' if bad else 'news'}{rng.randrange(999)}.org", f"/{'win' if bad else 'story'}/{rng.randrange(99)}")
@@ -174,8 +208,8 @@ def test_toxicity_scores_each_text_once(monkeypatch):
     model = toxicity.fit([b"fair words here", b"foul words here"] * 3, [0, 1] * 3)
     texts = [f"fair foul w{i}".encode() for i in range(300)]
     want = [model.odds([x])[0] for x in texts]
-    calls, real = [], toxicity.stretches
-    monkeypatch.setattr(toxicity, "stretches", lambda x, size: calls.append(1) or real(x, size))
+    calls, real = [], toxicity.split
+    monkeypatch.setattr(toxicity, "split", lambda x, s: calls.append(1) or real(x, s))
     assert model.odds(texts).tolist() == want and len(calls) == len(texts)
 
 
@@ -246,7 +280,7 @@ def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     encode, tok = packing.encoder(tokenizer_file()), Tokenizer.from_file(tokenizer_file())
-    for text in ["", "  a  b \n\n c", "don't I'LL 123 4.5", "日本語 ñandú 🙂🙂", "<|endoftext|> x", "a" * 3000, "\t\t x\u00a0y "]:
+    for text in [" " * 600_000, "\n" * 300_000 + "x", "a" * 300_000, "", "  a  b \n\n c", "don't I'LL 123 4.5", "日本語 ñandú 🙂🙂", "<|endoftext|> x", "a" * 3000, "\t\t x\u00a0y "]:
         assert list(encode(text)) == tok.encode(text, add_special_tokens=False).ids
 
 
@@ -273,6 +307,15 @@ def test_warc(spark, tmp_path, compression):
     assert warc.read_back(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_damaged_archives_raise(tmp_path):
+    data = warc.page_record(1, "http://h", "D", None, b"body" * 100)
+    for name, bad in (("head", data[:60]), ("body", data[:-200]), ("junk", b"GET / HTTP/1.1\r\n\r\n")):
+        (tmp_path / f"{name}.warc").write_bytes(bad)
+        reader = warc.WarcReader({"path": f"file://{tmp_path}/{name}.warc"})
+        with pytest.raises(ValueError):
+            [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
 def test_warc_pushes_predicates(tmp_path):
     from pyspark.sql.datasource import EqualTo
 
@@ -290,19 +333,47 @@ def test_warc_pushes_predicates(tmp_path):
     assert [r["record_id"] for r in rows] == ["<urn:page:1>", "<urn:page:3>", "<urn:page:5>"] and len(seen) == 3
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed_bits(x):
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & MASK
+    return x ^ x >> 32
+
+
+def boundaries(lines):
+    """A new chunk begins before text line i where two were passed at least and the hash of the two before it is even; written from the definition, a line at a time."""
+    text = [i for i, x in enumerate(lines) if x.strip()]
+    starts, passed = ([0] if lines else []), 0
+    if text and text[0] > 0:
+        starts.append(text[0])
+    for n in range(1, len(text) + 1):
+        passed += 1
+        if n >= 2:
+            h = 0
+            for i in text[n - 2 : n]:
+                h = (h + linededup.xxhash.xxh3_64_intdigest(lines[i])) * 0x9E3779B97F4A7C15 & MASK
+                h ^= h >> 29
+            if mixed_bits(h) % 2 == 0 and passed >= 2 and n < len(text):
+                starts.append(text[n])
+                passed = 0
+    return list(zip(starts, [*starts[1:], len(lines)], strict=True)) if lines else []
+
+
 def brute_lines(texts):
     seen, out = {}, {}
     order = sorted({(i is None, i, t or "") for i, t in texts}, key=lambda x: (x[0], x[1] or 0, linededup.xxhash.xxh3_64_intdigest(x[2].encode())))
     for _, i, t in order:
-        lines = t.encode().split(b"\n") if t else []
-        chunk = {a: x for a, _, x in linededup.repeated(lines)}
-        gone = set()
-        for a, b in linededup.chunks(lines):
-            x = chunk.get(a)
-            if x is not None and seen.setdefault(x, (i, t, a)) != (i, t, a):
+        lines, gone = (t.encode().split(b"\n") if t else []), set()
+        for a, b in boundaries(lines):
+            chunk = lines[a:b]
+            while chunk and not chunk[-1].strip():
+                chunk.pop()
+            if sum(bool(x.strip()) for x in chunk) >= 2 and seen.setdefault(tuple(chunk), (i, t, a)) != (i, t, a):
                 gone.update(range(a, b))
-        kept = b"\n".join(x for n, x in enumerate(lines) if n not in gone)
-        out[i, t] = len(lines), len(gone), kept
+        out[i, t] = len(lines), len(gone), b"\n".join(x for n, x in enumerate(lines) if n not in gone)
     return out
 
 
@@ -371,6 +442,7 @@ def test_mixing(docs, texts, empty):
     target = dict(zip(names, water([size[n] for n in names], (3, 1, 2), 1.5, 2), strict=True))
     for r in rows:
         s = pick[(r.doc_id or 0) % 5]
+        assert r.taken == sum(x.words for x in r.in_shards) and len({x.shard for x in r.in_shards}) == len(r.in_shards)
         assert r.source_size == size[s] and math.isclose(r.target, target[s]) and 0 <= r.taken <= 2 * r.size
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 32 for s in names)
@@ -387,6 +459,37 @@ def test_mixing(docs, texts, empty):
     assert mixing.amounts(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_shard_counts_are_multinomial_draws(spark):
+    plan = spark.createDataFrame([(0, 50_000, 70_000), (1, 900, 640), (2, 5, 7), (3, 9, 0)], "rank int, blocks long, slots long")
+    drawn = mixing.draws(plan, 16, 5).groupBy("rank", "shard").agg(F.sum("n").alias("n")).collect()
+    total = Counter()
+    for r in drawn:
+        total[r["rank"]] += r["n"]
+    assert total == {0: 70_000, 1: 640, 2: 7}
+    for rank, n in ((0, 70_000), (1, 640)):  # chi-square with 15 degrees of freedom: neither far off nor too even
+        counts = [r["n"] for r in drawn if r["rank"] == rank]
+        assert 4 < sum((x - n / 16) ** 2 / (n / 16) for x in [*counts, *[0] * (16 - len(counts))]) < 38
+    made = mixing.slots(plan, 16, 5, 3).collect()
+    assert Counter((r["rank"], r.shard) for r in made) == {(r["rank"], r.shard): r["n"] for r in drawn}
+    assert Counter(r["rank"] for r in made) == total and len({(r["rank"], r.slot) for r in made}) == len(made)
+    assert set(Counter((r["rank"], r.block) for r in made if r["rank"] == 2).values()) == {1, 2}
+
+
+def test_mix_tells_rows_apart_by_all_columns(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text, "en", "a", {"k": 1}), (1, text, "fr", "a", {"k": 1}), (1, text, "fr", "a", {"k": 2}), (2, text, "en", "b", {}), (2, text, "en", "b", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, more map<string,int>")
+    kept = mixing.mixed(df, weights=(1, 1), share=2.0, block=16).collect()  # every row twice
+    assert Counter((r.doc_id, r.lang, r.source, r.more.get("k")) for r in kept if r.text == text) == {(1, "en", "a", 1): 2, (1, "fr", "a", 1): 2, (1, "fr", "a", 2): 2, (2, "en", "b", None): 4}
+
+
+def test_permutation_of_huge_indices(spark):
+    n = 10**15
+    df = spark.range(20_000).selectExpr(f"id * {n // 20_000} as id", "cast(id % 50 as int) as k", f"{n}L as n")
+    got = [r.id for r in mixing.permuted(df, "id", "n", ["k"], 9).collect()]
+    assert all(0 <= x < n for x in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation(spark, n):
     df = mixing.permuted(spark.range(n).selectExpr("id", "cast(3 as int) k", f"{n}L n"), "id", "n", ["k"], 9)
@@ -428,6 +531,24 @@ def test_lacings():
         matroska.demux(matroska.element(matroska.SEGMENT, b"x" * 9)[:-3])
 
 
+def test_live_stream_of_unknown_sizes():
+    """Thousands of clusters without a size, each ended by the next; a second stream follows the first."""
+    unknown = b"\xff"
+    cluster = lambda n: (0x1F43B675).to_bytes(4, "big") + unknown + matroska.uint(matroska.TIMECODE, n) + matroska.element(matroska.SIMPLE, b"\x81\x00\x00\x80" + bytes([n % 251]))
+    stream = (0x18538067).to_bytes(4, "big") + unknown + matroska.element(matroska.INFO, matroska.uint(matroska.SCALE, 1_000_000)) + b"".join(map(cluster, range(5000)))
+    for data, n in ((stream, 5000), (stream + matroska.element(matroska.EBML, b"") + stream, 10_000)):
+        media = matroska.demux(data)
+        assert len(media.clusters) == len(media.packets) == n and [p[1] for p in media.packets[:5000]] == list(range(5000))
+        assert matroska.samples(data, media) == bytes(i % 251 for i in range(5000)) * (n // 5000)
+
+
+def test_damaged_media_are_rows_of_their_own(spark):
+    good = matroska.mux(bytes(range(64)))
+    rows = [(1, good), (2, good[:-3]), (3, b"\x00" * 9), (4, None), (5, b""), (1, good)]
+    got = matroska.packets(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, media binary, error string")).collect()
+    assert Counter((r.doc_id, r.error is None) for r in got) == Counter({(1, True): 2, (2, False): 1, (3, False): 1})
+
+
 def brute_repeats(texts, window):
     rows = [(i if i is not None else float("inf"), n, WORD.findall(t or "")) for n, (i, t) in enumerate(texts)]
     first = {}
@@ -454,6 +575,21 @@ def test_substring(docs, texts, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_of_few_words(spark):
+    rng = random.Random(12)
+    texts = [(rng.choice([i, i, i, None]), " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40)))) for i in range(150)]
+    texts += [(200 + i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(5, 60)))) for i in range(60)] + [(300, "a " * 500), (301, "a " * 400 + "b")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = substring.remove_repeats(df, window=5, gram=2).drop("kept_text").collect()
+    assert Counter(map(tuple, got)) == brute_repeats(texts, 5)
+
+
+def test_extension_goes_both_ways():
+    a, b = b"x p q r s t y".split(), b"u v p q r s t".split()
+    assert substring.extended(a, 3, b, 4) == (1, 6)
+    assert substring.extended(a, 0, b, 4) == (0, 0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -471,4 +607,16 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(f"file://{tmp_path}/{name}")
         names.append({r.doc_id for r in docs.collect()})
     assert names[1] == {r[0] for r in rows} and names[2] == {r[0] for r in rows} - set(range(100, 105))
-    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 60
+    kept = Counter(" ".join(r.text.split()) for r in docs.collect() if r.text and r.text.split())
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    from tokenizers import Tokenizer
+
+    tok, texts, by_doc = Tokenizer.from_file(tokenizer_file()), Counter(), defaultdict(list)
+    for r in out:
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        by_doc[r.doc_id, r.sequence_id, r.offset].append(r)
+    for rows in by_doc.values():
+        for r in rows:
+            if r.start == 0 and r.length == r.doc_tokens:
+                texts[" ".join(tok.decode(r.ids[:-1]).split())] += 1
+    assert texts and not texts - kept  # the pieces hold the texts that the mix gave
