@@ -6,32 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowmill.llm import linededup, minhash, mixing, packing, toxicity
 from rowmill.llm.queries import tokenizer_file
-from rowmill.llm.shared import scratch
+from rowmill.sources.scratch import scratch
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
+    """Toxic documents go. Null and empty texts are clean; repeated rows go or stay together; an empty table stays empty."""
     return toxicity.keep_clean(docs, toxicity.read_labels(spark, sf_dir))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks are cut out; every document stays."""
+    """Repeated multi-line chunks are cut out; every document stays. Null and empty texts stay as they are; rows that repeat id and text count as one occurrence."""
     return linededup.without_repeats(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five words, similarity 0.8)."""
+    """One document of each near-duplicate group stays (five words, similarity 0.8). Null texts and texts without words all stay; of repeated rows one does."""
     return minhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target shares; a document may come twice, once or in part."""
+    """Sources are brought to their target shares; a document may come twice, once or in part. Null texts and texts without words have nothing to give and go; a null source is a source of its own; repeated rows count each."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens in their sequences."""
-    return packing.pack(docs, tokenizer_file())
+    """Pieces of at most 1024 tokens in their sequences, with their token ids. A null or empty text is one piece of one token; rows of one doc_id are packed apart."""
+    return packing.pack(docs, tokenizer_file(), with_ids=True)
 
 
 STAGES = [("toxicity", clean), ("line_dedup", lines), ("near_dedup", dedup), ("mixing", mixture), ("packing", packed)]
