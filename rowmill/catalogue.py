@@ -215,9 +215,12 @@ def shard_by_id_counts(spark, d):
     return t(spark, d, "orders").groupBy(ids.shard_of("o_orderkey", 5, compatible=True).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, 0 AS split_ids, 0 AS out_of_range FROM orders")
 def shard_by_id_native(spark, d):
-    return t(spark, d, "orders").groupBy(ids.shard_of("o_orderkey", 5).alias("shard")).agg(F.count("*").alias("n"))
+    """Every row has one shard, and rows of one id have the same."""
+    rows = t(spark, d, "orders").select("o_orderkey", ids.shard_of("o_orderkey", 5).alias("shard"))
+    by = rows.union(rows.repartition(3)).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("shard").alias("a"), F.max("shard").alias("b"))
+    return by.agg(F.expr("cast(sum(n) / 2 as bigint)").alias("n"), F.count("*").alias("ids"), F.count_if(F.expr("a <> b")).alias("split_ids"), F.count_if(F.expr("a < 0 or b > 4")).alias("out_of_range"))
 
 
 @query("SELECT *, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS shard FROM orders")
@@ -301,7 +304,13 @@ def translation_echo(spark, d):
     return _flat(map_rows(_conversations(spark, d), jobs.TranslationJob(), "conv_id"), "results")
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
+a AS (SELECT *, role IN ('user', 'tool') AS asked, coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY i) , -2) AS before_ FROM t WHERE role IN ('user', 'tool')),
+m AS (  -- each asked turn adds the turns since two after the asked turn before it, and then its reply
+  SELECT a.conv_id, a.i AS step, 0 AS part, t.i AS k, t.role, t.text AS content FROM a JOIN t ON t.conv_id = a.conv_id AND t.i >= greatest(a.before_ + 2, 0) AND t.i <= a.i
+  UNION ALL SELECT conv_id, i, 1, i, 'assistant', 'echo:' || coalesce(text_, '') FROM (
+    SELECT a.*, CASE WHEN a.before_ + 2 > a.i THEN 'echo:' || coalesce((SELECT b.text FROM t b WHERE b.conv_id = a.conv_id AND b.i = a.before_), '') ELSE a.text END AS text_ FROM a))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY step, part, k) - 1 AS INTEGER) AS at, role, content FROM m""")
 def multi_turn_echo(spark, d):
     asked = _conversations(spark, d).where(F.exists("messages", lambda m: m["role"].isin("user", "tool")))
     return _flat(map_rows(asked, jobs.MultiTurnJob(), "conv_id"), "running_messages")
@@ -428,16 +437,20 @@ def streaming_upsert(spark, d):
     events.select("ts", "event_id", F.to_json(F.struct("swarm_id", "replica_id", "state", "http_ready", "fail_reason")).alias("value")).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("ts timestamp_ntz, event_id long, value string" if dict(events.dtypes)["ts"] == "timestamp_ntz" else "ts timestamp, event_id long, value string").parquet(f"{folder}/in")
     health.maintain(health.normalized(stream), f"{folder}/out", ["swarm_id", "replica_id"], ["ts", "event_id"], f"{folder}/offsets").awaitTermination()
-    return health.snapshot(spark, f"{folder}/out").select("swarm_id", "replica_id", "state", "http_ready")
+    return health.snapshot(spark, f"{folder}/out", "swarm_id string, replica_id int, state string, http_ready boolean")
 
 
-@query()
+@query("""WITH p AS (SELECT 'swarm-' || user_id % 5 AS swarm_id, CAST(user_id // 5 AS INTEGER) AS replica_id, CAST(event_id AS DOUBLE) AS at_, event_type <> 'error' AS ok FROM events),
+i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY swarm_id, replica_id ORDER BY at_) AS g FROM p),
+f AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY swarm_id, replica_id, g ORDER BY at_) AS INTEGER) AS failures FROM i),
+s AS (SELECT *, min(CASE WHEN failures >= 2 THEN at_ END) OVER (PARTITION BY swarm_id, replica_id, g) AS since FROM f)
+SELECT swarm_id, replica_id, at_ AS "at", CASE WHEN failures < 2 THEN 'running' WHEN at_ - since >= 500 THEN 'failed' ELSE 'unhealthy' END AS state, failures FROM s""")
 def health_states(spark, d):
     """The health state machine as a stream over probes."""
     folder = work_folder(spark)
     t(spark, d, "events").select(F.concat(F.lit("swarm-"), (F.col("user_id") % 5).cast("string")).alias("swarm_id"), F.expr("cast(user_id div 5 as int)").alias("replica_id"), F.col("event_id").cast("double").alias("at"), (F.col("event_type") != "error").alias("ok")).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("swarm_id string, replica_id int, at double, ok boolean").parquet(f"{folder}/in")
-    health.health(stream, 2, 500.0).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    health.health(stream, health.Care(threshold=2, patience=500.0)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema("swarm_id string, replica_id int, at double, state string, failures int").parquet(f"{folder}/out")
 
 
@@ -458,9 +471,14 @@ def named_shards(spark, d):
     return files.read_dataset(spark, folder + "/data-{00..11}.parquet").withColumn("file", F.substring_index(F.input_file_name(), "/", -1))
 
 
-@query()
+@query("SELECT 'event-' || event_type || '.txt' AS name, count(*) * 8 AS length, sha256(string_agg('e' || lpad(CAST(event_id % 100000 AS VARCHAR), 6, '0') || chr(10), '' ORDER BY event_id)) AS digest FROM events GROUP BY event_type")
 def file_digests(spark, d):
-    return files.content_digest(spark, f"{d}/nation.parquet").select("length", "digest")
+    """A file of lines for each type of event, and what it is known by."""
+    path = work_folder(spark)
+    lines = t(spark, d, "events").select("event_type", F.format_string("e%06d", F.col("event_id") % 100000).alias("value"), "event_id")
+    lines.coalesce(1).sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    found = files.content_digest(spark, path).where("path like '%.txt'")
+    return found.select(F.concat(F.lit("event-"), F.regexp_extract("path", "event_type=([^/]+)/", 1), F.lit(".txt")).alias("name"), "length", "digest")
 
 
 def _logs(spark, d):

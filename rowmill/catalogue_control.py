@@ -112,15 +112,19 @@ def job_of_external_id(spark, d):
     return state.job_by_external_id(jobs, first, "dep").select("job_id", "update_dt")
 
 
-@query("""SELECT event_id, 's' || user_id % 5 AS swarm_id, CAST(user_id AS INTEGER) AS replica_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS state,
-event_id % 2 = 0 AS http_ready, CASE WHEN event_id % 4 <> 1 THEN 9000 END AS port FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""")
+@query("""SELECT event_id, 's' || user_id % 5 AS swarm_id, CAST(CASE event_id % 13 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE user_id END AS INTEGER) AS replica_id, CASE event_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'None' ELSE event_type END AS state,
+event_id % 8 IN (0, 2, 4, 6) AS http_ready, CASE WHEN event_id % 4 <> 1 THEN 9000 END AS port FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 17 NOT IN (0, 1)""")
 def valid_messages(spark, d):
-    """Every 7th message is not JSON and every 11th has no usable replica id; ports may be text."""
+    """Every 7th message is not JSON, every 11th has no usable replica id, some have no swarm; the kinds of JSON values vary."""
     e = F.col("event_id")
-    body = F.to_json(F.struct(
-        F.concat(F.lit("s"), F.col("user_id") % 5).alias("swarm_id"), F.when(e % 11 == 0, "none").otherwise(F.col("user_id").cast("string")).alias("replica_id"),
-        F.when(e % 3 != 0, F.col("event_type")).alias("state"), (e % 2 == 0).alias("http_ready"), F.when(e % 4 == 1, "x").otherwise("9000").alias("port"),
-    ))
+    one_of = lambda n, *texts: F.element_at(F.array(*[F.lit(x) for x in texts]), (e % n + 1).cast("int"))
+    user = F.col("user_id").cast("string")
+    replica = F.when(e % 11 == 0, F.lit('"none"')).when(e % 13 == 1, "2.7").when(e % 13 == 2, "true").when(e % 2 == 0, user).otherwise(F.concat(F.lit('" '), user, F.lit('"')))
+    swarm = F.when(e % 17 == 0, F.lit('""')).when(e % 17 == 1, "null").otherwise(F.concat(F.lit('"s'), (F.col("user_id") % 5).cast("string"), F.lit('"')))
+    ready = one_of(8, '"false"', "[]", '"0"', "0.0", "true", "{}", "-1", "null")
+    state = F.when(e % 3 == 1, F.lit(', "state": null')).when(e % 3 == 2, F.concat(F.lit(', "state": "'), "event_type", F.lit('"'))).otherwise("")
+    port = F.when(e % 4 == 1, '"x"').when(e % 4 == 2, '"9000"').when(e % 4 == 3, "9000.9").otherwise("9000")
+    body = F.concat(F.lit('{"swarm_id": '), swarm, F.lit(', "replica_id": '), replica, F.lit(', "http_ready": '), ready, F.lit(', "port": '), port, state, F.lit("}"))
     messages = t(spark, d, "events").select("event_id", F.when(e % 7 == 0, "{broken").otherwise(body).alias("value"))
     return health.normalized(messages).select("event_id", "swarm_id", "replica_id", "state", "http_ready", "port")
 

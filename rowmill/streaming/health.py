@@ -2,93 +2,270 @@
 
 from __future__ import annotations
 
+import json
+import os
+import random
+import socket
+import threading
+import time
+import uuid
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
+from rowmill.operators.ids import free_name
 from rowmill.operators.state import upsert
 
-RAW = "map<string,string>"
+BUCKETS = 64
+
+
+def _field(name: str, kind: str) -> str:
+    return f"try_variant_get(_v, '$.{name}', '{kind}')"
+
+
+def _kind(name: str) -> str:
+    """What stands under a key: STRING, BOOLEAN, BIGINT, DECIMAL(..), DOUBLE, VOID, ARRAY<..> or OBJECT<..>; null where the key is absent."""
+    return f"schema_of_variant(variant_get(_v, '$.{name}', 'variant'))"
+
+
+def _whole(name: str) -> Column:
+    """Whole numbers, numbers cut at the point, booleans as 0 and 1, texts of digits; null for anything else."""
+    digits = f"if({_field(name, 'string')} rlike '^\\\\s*[+-]?[0-9]+\\\\s*$', try_cast(trim({_field(name, 'string')}) as int), null)"
+    return F.expr(f"case when {_kind(name)} = 'STRING' then {digits} when {_kind(name)} = 'BOOLEAN' then cast({_field(name, 'boolean')} as int) else try_cast({_field(name, 'double')} as int) end")
+
+
+def _filled(name: str) -> str:
+    """Not absent, null, false, 0 or empty; texts such as 'false' and '0' are filled."""
+    text, kind = _field(name, "string"), _kind(name)
+    return (
+        f"coalesce(case when {kind} = 'STRING' then {text} <> '' when {kind} = 'BOOLEAN' then {_field(name, 'boolean')} when {kind} = 'VOID' then false"
+        f" when {kind} like 'ARRAY%' or {kind} like 'OBJECT%' then to_json(variant_get(_v, '$.{name}', 'variant')) not in ('[]', '{{}}') else {_field(name, 'double')} <> 0 end, false)"
+    )
 
 
 def normalized(messages: DataFrame, column: str = "value") -> DataFrame:
     """One row per valid message. Empty, broken or non-object JSON and messages without swarm_id or a whole replica_id go.
 
-    Numbers that do not parse become null; any http_ready but false, 0, "" and null is ready.
+    Numbers that do not parse become null. http_ready counts by what it is, not by its text: "false" is
+    a text, and so ready; an absent state is 'unknown', a null one the text 'None'.
     """
-    m = messages.withColumn("_m", F.from_json(column, RAW))
-    whole = lambda k: F.col("_m")[k].try_cast("int")
-    text = lambda k: F.col("_m")[k]
-    out = m.select(
+    m = messages.withColumn("_v", F.try_parse_json(column)).where("schema_of_variant(_v) like 'OBJECT%'")
+    text = lambda k: F.expr(_field(k, "string"))
+    state = F.expr(f"case when {_kind('state')} is null then 'unknown' when {_kind('state')} = 'VOID' then 'None' when {_kind('state')} = 'BOOLEAN' then initcap({_field('state', 'string')}) else {_field('state', 'string')} end")
+    out = m.where(_filled("swarm_id")).select(
         *[c for c in messages.columns if c != column],
-        text("swarm_id").alias("swarm_id"), whole("replica_id").alias("replica_id"), text("node").alias("node"), whole("port").alias("port"), whole("pid").alias("pid"),
-        F.when(F.array_contains(F.map_keys("_m"), "state"), F.coalesce(text("state"), F.lit("None"))).otherwise(F.lit("unknown")).alias("state"),
-        (~F.coalesce(text("http_ready"), F.lit("")).isin("", "0", "false", "0.0")).alias("http_ready"),
-        whole("exit_code").alias("exit_code"), whole("exit_signal").alias("exit_signal"), text("fail_reason").alias("fail_reason"),
-        F.coalesce(F.nullif(text("agent_version"), F.lit("")), F.lit("unknown")).alias("agent_version"),
+        text("swarm_id").alias("swarm_id"), _whole("replica_id").alias("replica_id"), text("node").alias("node"), _whole("port").alias("port"), _whole("pid").alias("pid"),
+        state.alias("state"), F.expr(_filled("http_ready")).alias("http_ready"), _whole("exit_code").alias("exit_code"), _whole("exit_signal").alias("exit_signal"),
+        text("fail_reason").alias("fail_reason"), F.when(F.expr(_filled("agent_version")), text("agent_version")).otherwise("unknown").alias("agent_version"),
     )
-    return out.where("coalesce(swarm_id, '') <> '' and replica_id is not null")
+    return out.where("swarm_id is not null and replica_id is not null")
 
 
 def maintain(stream: DataFrame, folder: str, keys: list[str], order: list[str], checkpoint: str):
-    """Keep the newest row of each key under ``folder``: every batch writes the next version from the last.
+    """Keep the newest row of each key under ``folder``, with the time it was ``last_seen`` here.
 
-    A version is named by its batch, so a batch that is run again writes the same version again.
+    State lies in ``BUCKETS`` buckets by key. A batch rewrites only the buckets it touches, as a version
+    named by the batch, so a batch that is run again writes the same version again. Bucket versions
+    that two newer ones follow are removed.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def step(batch: DataFrame, number: int) -> None:
-        old = snapshot(batch.sparkSession, folder, below=number)
-        upsert(old, batch, keys, *order).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        spark = batch.sparkSession
+        new = batch.withColumn("last_seen", F.current_timestamp()).withColumn("bucket", bucket)
+        touched = {r[0] for r in new.select("bucket").distinct().collect()}  # BUCKETS rows at most
+        if not touched:
+            return
+        parts = [p for b, p in _buckets(spark, folder, below=number).items() if b in touched]
+        old = spark.read.option("basePath", folder).schema(f"{_ddl(new)}, version int").parquet(*parts).drop("version") if parts else None
+        upsert(old, new, keys, *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/version={number}")
+        _sweep(spark, folder)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The newest committed version, or None."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ()
-    numbers = sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{folder}/version={numbers[-1]}") if numbers else None
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
+    """(bucket, version, path) of all committed bucket versions, by rising version."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = {s.getPath().getParent().getName() for s in fs.globStatus(hadoop(f"{folder}/version=*/_SUCCESS")) or ()}
+    found = [s.getPath() for s in fs.globStatus(hadoop(f"{folder}/version=*/bucket=*")) or ()]
+    rows = [(int(p.getName()[7:]), int(p.getParent().getName()[8:]), p.toString()) for p in found if p.getParent().getName() in done]
+    return sorted(rows, key=lambda r: r[1])
+
+
+def _buckets(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, str]:
+    return {b: path for b, n, path in _versions(spark, folder) if below is None or n < below}
+
+
+def _sweep(spark: SparkSession, folder: str, keep: int = 3) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    by: dict[int, list[str]] = {}
+    for b, _, path in _versions(spark, folder):
+        by.setdefault(b, []).append(path)
+    for paths in by.values():
+        for path in paths[:-keep]:
+            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+
+
+def snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest committed rows of all buckets; an empty table of ``schema`` where there is none."""
+    paths = list(_buckets(spark, folder).values())
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def failure_runs(probes: DataFrame, keys: list[str], order: list[str], ok: str = "ok") -> DataFrame:
     """Length of the run of failures that each probe ends; a success resets it to 0."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    islands = probes.withColumn("_island", F.sum(F.col(ok).cast("int")).over(w))
-    run = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(*keys, "_island").orderBy(*order))
-    return islands.withColumn("failures", F.when(F.col(ok), F.lit(0)).otherwise(run)).drop("_island")
+    island = free_name(probes, "_island")
+    islands = probes.withColumn(island, F.sum(F.col(ok).cast("int")).over(w))
+    run = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(*keys, island).orderBy(*order))
+    return islands.withColumn("failures", F.when(F.col(ok), F.lit(0)).otherwise(run)).drop(island)
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], watched: list[str]) -> DataFrame:
     """Only rows whose ``watched`` columns differ from the row before."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    before = free_name(rows, "_before")
     now = F.struct(*watched)
-    return rows.withColumn("_before", F.lag(now).over(w)).where(F.col("_before").isNull() | ~F.expr(f"struct({', '.join(watched)}) <=> _before")).drop("_before")
+    return rows.withColumn(before, F.lag(now).over(w)).where(F.col(before).isNull() | ~F.expr(f"struct({', '.join(watched)}) <=> `{before}`")).drop(before)
 
 
-def health(probes: DataFrame, threshold: int = 3, patience: float = 600.0) -> DataFrame:
-    """States from probes (swarm_id, replica_id, at double seconds, ok): running, unhealthy after
-    ``threshold`` failures in a row, failed once unhealthy for ``patience`` seconds. Works on batches and
-    streams; time is that of the probes.
+@dataclass(frozen=True)
+class Care:
+    """threshold: failed probes in a row; patience: seconds unhealthy before it fails; grace: seconds after a start in which
+    failed probes do not count; silence: seconds without any probe (by the clock) after which a replica fails, None for never;
+    policy, restarts: when and how often an ended replica starts again.
+    """
+
+    threshold: int = 3
+    patience: float = 600.0
+    grace: float = 0.0
+    silence: float | None = None
+    policy: str = "on-failure"
+    restarts: int = 0
+
+
+@dataclass
+class Replica:
+    failures: int = 0
+    since: float = -1.0
+    started: float = -1.0
+    ready: bool = False
+    restarts: int = 0
+    over: bool = False
+
+    def probe(self, at: float, ok: bool, care: Care) -> str:
+        """The state after a probe: running, unhealthy, or failed once unhealthy for too long."""
+        if self.over:
+            return "failed"
+        self.started = at if self.started < 0 else self.started
+        self.ready |= ok
+        excused = not ok and not self.ready and at - self.started < care.grace
+        self.failures = 0 if ok else self.failures + (not excused)
+        if self.failures < care.threshold:
+            self.since = -1.0
+            return "starting" if excused else "running"
+        self.since = at if self.since < 0 else self.since
+        return self.end(at, 1, care) if at - self.since >= care.patience and care.restarts else "failed" if at - self.since >= care.patience else "unhealthy"
+
+    def end(self, at: float, code: int, care: Care) -> str:
+        """The state after the process ended: an exit with 0 of a replica that was ever ready is a failure too."""
+        code = 1 if code == 0 and self.ready else code
+        again = code != 190 and care.policy != "never" and not (care.policy == "on-failure" and code == 0) and self.restarts < care.restarts
+        if again:
+            self.__init__(started=at, restarts=self.restarts + 1)
+            return "restarting"
+        self.over = True
+        return "failed" if code else "exited"
+
+
+def health(probes: DataFrame, care: Care = Care()) -> DataFrame:
+    """States from probes (swarm_id, replica_id, at double seconds, ok boolean[, exit_code int, node_ok boolean]).
+
+    A probe with an exit_code says that the process ended; one whose node is not ok counts as failed.
+    Works on batches and streams; time is that of the probes, but for ``silence``, which is the clock's.
     """
     schema = "swarm_id string, replica_id int, at double, state string, failures int"
+    columns = ["swarm_id", "replica_id", "at", "state", "failures"]
+    extra = {"exit_code": F.lit(None).cast("int"), "node_ok": F.lit(True)}
+    rows = probes.select("swarm_id", "replica_id", "at", "ok", *[F.col(c) if c in probes.columns else x.alias(c) for c, x in extra.items()])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, since = state.get if state.exists else (0, -1.0)
+        r, last = (Replica(*state.get[:-1]), state.get[-1]) if state.exists else (Replica(), -1.0)
+        if state.hasTimedOut:
+            r.over = True
+            state.update((*astuple(r), last))
+            yield pd.DataFrame([(*key, last + care.silence, "failed", r.failures)], columns=columns)
+            return
         for frame in frames:
-            rows = []
-            for at, ok in frame.sort_values("at")[["at", "ok"]].itertuples(index=False):
-                failures = 0 if ok else failures + 1
-                bad = failures >= threshold
-                since = -1.0 if not bad else (since if since >= 0 else at)
-                name = "running" if not bad else ("failed" if at - since >= patience else "unhealthy")
-                rows.append((*key, at, name, failures))
-            yield pd.DataFrame(rows, columns=["swarm_id", "replica_id", "at", "state", "failures"])
-        state.update((failures, since))
-
-    return probes.groupBy("swarm_id", "replica_id").applyInPandasWithState(step, schema, "failures int, since double", "append", "NoTimeout")
+            out = []
+            for at, ok, code, node in frame.sort_values("at")[["at", "ok", "exit_code", "node_ok"]].itertuples(index=False):
+                name = r.end(at, int(code), care) if not pd.isna(code) else r.probe(at, bool(ok) and node is not False and bool(node), care)
+                out.append((*key, at, name, r.failures))
+                last = at
+            yield pd.DataFrame(out, columns=columns)
+        state.update((*astuple(r), last))
+        if care.silence is not None and not r.over:
+            state.setTimeoutDuration(int(care.silence * 1000))
+
+    kept = "failures int, since double, started double, ready boolean, restarts int, over boolean, last double"
+    timer = "NoTimeout" if care.silence is None else "ProcessingTimeTimeout"
+    return rows.groupBy("swarm_id", "replica_id").applyInPandasWithState(step, schema, kept, "append", timer)
+
+
+class Collector(threading.Thread):
+    """A TCP source: one JSON payload a connection. Each lands as a file of ``folder``, which ``messages`` reads as a stream.
+
+    A payload counts once it is whole: it is written beside and moved. Empty ones are ignored here, broken ones by ``normalized``.
+    """
+
+    def __init__(self, folder: str, host: str = "127.0.0.1", port: int = 0):
+        super().__init__(daemon=True)
+        self.folder = folder
+        os.makedirs(folder, exist_ok=True)
+        self.server = socket.create_server((host, port))
+        self.port = self.server.getsockname()[1]
+
+    def run(self) -> None:
+        while True:
+            try:
+                link, _ = self.server.accept()
+            except OSError:
+                return  # closed
+            with link:
+                data = b"".join(iter(lambda: link.recv(1 << 16), b"")).strip()  # noqa: B023
+            if data:
+                name = f"{self.folder}/{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+                with open(f"{self.folder}/.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(b" ".join(data.splitlines()))
+                os.replace(f.name, f"{name}.json")
+
+    def close(self) -> None:
+        self.server.close()
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The payloads that collectors put into ``folder``, as a stream (value string)."""
+    return spark.readStream.text(f"{folder}/*.json")
+
+
+def send(payload: dict, host: str, port: int, attempts: int = 5, pause: float = 0.1) -> bool:
+    """One payload to a collector; after each failure the pause doubles. False once all attempts failed."""
+    for n in range(attempts):
+        try:
+            with socket.create_connection((host, port), timeout=5) as link:
+                link.sendall(json.dumps(payload).encode())
+            return True
+        except OSError:
+            time.sleep(pause * 2**n * (1 + random.random() / 10))
+    return False

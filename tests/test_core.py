@@ -1,5 +1,6 @@
 import asyncio
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -291,12 +292,39 @@ def test_health_machine(spark, tmp_path):
     probes = [("s", 1, float(i), ok) for i, ok in enumerate([True, False, False, False, False, True, False])]
     spark.createDataFrame(probes, "swarm_id string, replica_id int, at double, ok boolean").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("swarm_id string, replica_id int, at double, ok boolean").parquet(f"{tmp_path}/in")
-    query = health.health(stream, 2, 2.0).writeStream.format("memory").queryName("health").outputMode("append").trigger(availableNow=True).start()
+    query = health.health(stream, health.Care(threshold=2, patience=2.0)).writeStream.format("memory").queryName("health").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.sql("select state, failures from health order by at").collect()
     assert [tuple(r) for r in rows] == [("running", 0), ("running", 1), ("unhealthy", 2), ("unhealthy", 3), ("failed", 4), ("running", 0), ("running", 1)]
 
 
+def test_replica_care():
+    care = health.Care(threshold=2, patience=10, grace=5, policy="on-failure", restarts=1)
+    r = health.Replica()
+    assert [r.probe(at, ok, care) for at, ok in [(0, False), (3, False), (6, True), (7, False), (8, False), (18, False)]] == ["starting", "starting", "running", "running", "unhealthy", "restarting"]
+    assert [r.probe(19, True, care), r.end(20, 0, care), r.probe(21, True, care)] == ["running", "failed", "failed"]
+    assert health.Replica().end(0, 0, care) == "exited" and health.Replica().end(0, 190, care) == "failed"
+    assert health.Replica().end(0, 3, health.Care(policy="never", restarts=3)) == "failed"
+
+
+def test_collector(spark, tmp_path):
+    assert not health.send({}, "127.0.0.1", 1, attempts=2, pause=0)
+    source = health.Collector(f"{tmp_path}/in")
+    source.start()
+    for n, at in ((1, 1), (2, 2), (1, 3)):
+        assert health.send({"swarm_id": "s", "replica_id": n, "state": f"at{at}"}, "127.0.0.1", source.port)
+    deadline = time.time() + 10
+    while len(list((tmp_path / "in").glob("*.json"))) < 3 and time.time() < deadline:
+        time.sleep(0.05)
+    source.close()
+    stream = health.normalized(health.messages(spark, f"{tmp_path}/in"))
+    for _ in range(2):  # the second run finds nothing new
+        health.maintain(stream, f"{tmp_path}/state", ["swarm_id", "replica_id"], ["state"], f"{tmp_path}/offsets").awaitTermination()
+    rows = health.snapshot(spark, f"{tmp_path}/state", "swarm_id string, replica_id int, state string, last_seen timestamp").collect()
+    assert {(r.replica_id, r.state) for r in rows} == {(1, "at3"), (2, "at2")} and all(r.last_seen for r in rows)
+    assert health.snapshot(spark, f"{tmp_path}/none", "swarm_id string").count() == 0
+
+
 def test_job_specs(spark, tmp_path):
     from rowmill.operators import specs
 
