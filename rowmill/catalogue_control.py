@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowmill.catalogue import REPLICAS, _replicas, query, t
+from rowmill.catalogue import REPLICAS, Length, WordCount, _replicas, query, t, work_folder
 from rowmill.functions import control as C
 from rowmill.functions import metrics as M
-from rowmill.operators import ids, state
+from rowmill.operators import ids, joins, state
+from rowmill.plans.run import run, run_sharded
+from rowmill.sources import files, memory
 from rowmill.streaming import health
 
 
@@ -151,3 +153,47 @@ def fail_reason_counts(spark, d):
     """The histogram of a summary, one row a reason, by falling count and then by reason."""
     made = state.replica_summary(_replicas(spark, d)).select("swarm_id", F.explode("fail_reasons").alias("fail_reason", "n"))
     return made.orderBy("swarm_id", F.desc("n"), "fail_reason")
+
+
+@query("SELECT d.*, CAST(length(text) AS BIGINT) AS result FROM documents d")
+def sharded_run(spark, d):
+    """Four shards by id, of which a first run with three shards did a part."""
+    docs, folder = t(spark, d, "documents"), work_folder(spark)
+    run_sharded(docs.where("doc_id % 2 = 0"), Length(input_column="text"), "doc_id", checkpoint=folder, nshards=3)
+    return run_sharded(docs, Length(input_column="text"), "doc_id", checkpoint=folder, nshards=4)
+
+
+@query("SELECT d.*, CAST(length(text) AS BIGINT) AS result, CAST(ntile(4) OVER (ORDER BY doc_id) - 1 AS INTEGER) AS shard FROM documents d")
+def sharded_output(spark, d):
+    folder = work_folder(spark)
+    run_sharded(t(spark, d, "documents"), Length(input_column="text"), "doc_id", checkpoint=f"{folder}/c", nshards=4, shard_mode="index", output=f"{folder}/out")
+    return files.read_dataset(spark, f"{folder}/out")
+
+
+@query("SELECT c.*, CAST(length(c_name) AS BIGINT) AS result FROM (SELECT row_number() OVER (ORDER BY c_custkey) + 99 AS row_nr, * FROM customer) c")
+def pandas_input(spark, d):
+    """A pandas table whose index is the id."""
+    table = t(spark, d, "customer").orderBy("c_custkey").toPandas()
+    table.index = table.index + 100
+    return run(table.rename_axis("row_nr"), Length(input_column="c_name"), spark=spark)
+
+
+@query("SELECT d.*, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_signs FROM documents d")
+def flushed_run(spark, d):
+    """Waves of 200 rows a task; the input is the one that the checkpoint was begun with, and is checked."""
+    docs, folder = t(spark, d, "documents"), work_folder(spark)
+    job = WordCount(input_column="text")
+    run(docs, job, "doc_id", checkpoint=folder, flush_every=200, strict=True)
+    return run(docs.repartition(3), job, "doc_id", checkpoint=folder, strict=True)
+
+
+@query("SELECT doc_id, text, l.doc_id AS labelled, quality FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM labels) l USING (n)".replace("SELECT doc_id, text", "SELECT d.doc_id, text"))
+def side_by_side(spark, d):
+    labels = t(spark, d, "labels").select(F.col("doc_id").alias("labelled"), "quality")
+    first = files.first_rows(t(spark, d, "documents").select("doc_id", "text"), labels.count(), "doc_id")
+    return joins.side_by_side(first, labels, ("doc_id",), ("labelled",))
+
+
+@query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS type FROM (DESCRIBE customer)")
+def table_columns(spark, d):
+    return spark.createDataFrame(list(memory.columns_of(t(spark, d, "customer")).items()), "name string, type string")

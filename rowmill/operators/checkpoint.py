@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowmill.operators.ids import fingerprint, require_unique
 from rowmill.operators.joins import latest
 
 
@@ -15,25 +17,51 @@ class Checkpoint:
     """Folder ``path`` holds ``base=<n>`` (compacted) and ``wave=<n>`` Parquet folders, each committed by its own Spark job.
 
     Every row carries ``_seq`` (generation) and ``_pos``, so order never depends on file names.
-    A folder counts once its ``_SUCCESS`` file is there.
+    A folder counts once its ``_SUCCESS`` file is there. ``inner`` is a pattern of folders between ``path`` and these, to
+    read several checkpoints as one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType, inner: str = ""):
+        self.spark, self.path, self.key, self.inner = spark, path.rstrip("/"), key, inner
         self.schema = T.StructType([*schema.fields, T.StructField("_seq", T.LongType()), T.StructField("_pos", T.LongType())])
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def verify(self, df: DataFrame, input_column: str) -> None:
+        """The input must be the one that this checkpoint was begun with (ids and values in any order), and its ids unique.
+
+        The first call stores the input's fingerprint beside the waves; later ones compare.
+        """
+        require_unique(df, self.key)
+        now = json.dumps({"column": input_column, "fingerprint": fingerprint(df, self.key, input_column)}, sort_keys=True)
+        name = f"{self.path}/_input"
+        if self._fs.exists(self._path(name)):
+            if self.spark.read.text(name).first()[0] != now:
+                raise ValueError("the checkpoint was begun with another input")
+            return
+        self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.text(name)
+
+    def require_columns(self) -> None:
+        """Stored rows must have all output columns; what lacks some would be read as nulls."""
+        folders = self.folders()
+        missing = [c for c in self.schema.names if folders and c not in self.spark.read.parquet(folders[0]).columns]
+        if missing:
+            raise ValueError(f"the checkpoint has no column {', '.join(missing)}")
+
     def _committed(self) -> list[str]:
-        found = self._fs.globStatus(self._path(f"{self.path}/*=*/_SUCCESS")) or ()
+        found = self._fs.globStatus(self._path(f"{self.path}/{self.inner}*=*/_SUCCESS")) or ()
         return sorted(s.getPath().getParent().toString() for s in found)
 
     def folders(self) -> list[str]:
         """The newest base and the waves written after it."""
         numbered = [(int(f.rsplit("=", 1)[1].split("-")[0]), "base=" in f, f) for f in self._committed()]
-        base = max((n for n, is_base, _ in numbered if is_base), default=-1)
-        return [f for n, is_base, f in numbered if (is_base and n == base) or (not is_base and n > base)]
+        base: dict[str, int] = {}  # of each place that holds waves
+        for n, is_base, f in numbered:
+            if is_base:
+                base[f.rsplit("/", 1)[0]] = max(n, base.get(f.rsplit("/", 1)[0], -1))
+        at = lambda f: base.get(f.rsplit("/", 1)[0], -1)
+        return [f for n, is_base, f in numbered if (is_base and n == at(f)) or (not is_base and n > at(f))]
 
     def next_seq(self) -> int:
         return 1 + max((int(f.rsplit("=", 1)[1].split("-")[0]) for f in self._committed()), default=-1)

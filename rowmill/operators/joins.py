@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.operators.ids import free_name, indexed
 
-def _keyed(right: DataFrame, key: str) -> DataFrame:
-    return right.withColumnRenamed(key, "_right_key")
+
+def _keyed(right: DataFrame, key: str, left: DataFrame) -> tuple[DataFrame, str]:
+    """``right`` with its key under a name that ``left`` does not have."""
+    name = free_name(left, "_right_key")
+    return right.withColumnRenamed(key, name), name
+
+
+def _matching(df: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:
+    ids, name = _keyed(other.select(key), key, df)
+    return df.join(ids, F.expr(f"`{key}` <=> `{name}`"), how)
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose id is not done; no id list ever reaches the driver."""
-    return df.join(_keyed(done.select(key), key), F.expr(f"`{key}` <=> _right_key"), "left_anti")
+    return _matching(df, done, key, "left_anti")
 
 
 def known(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(_keyed(ids.select(key), key), F.expr(f"`{key}` <=> _right_key"), "left_semi")
+    return _matching(df, ids, key, "left_semi")
 
 
 def stray(stored: DataFrame, df: DataFrame, key: str) -> DataFrame:
@@ -24,12 +33,22 @@ def stray(stored: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return pending(stored, df, key)
 
 
-def attach(df: DataFrame, out: DataFrame, key: str) -> DataFrame:
-    """Left join of outputs by id. Names on both sides get ``_x`` (input) and ``_y`` (output)."""
+def attach(df: DataFrame, out: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Left join of outputs by id. Names on both sides get ``_x`` (input) and ``_y`` (output). With ``order`` the rows come sorted by these input columns."""
     both = [c for c in out.columns if c != key and c in df.columns]
     left = df.withColumnsRenamed({c: f"{c}_x" for c in both})
-    right = _keyed(out.withColumnsRenamed({c: f"{c}_y" for c in both}), key)
-    return left.join(right, F.expr(f"`{key}` <=> _right_key"), "left").drop("_right_key")
+    right, name = _keyed(out.withColumnsRenamed({c: f"{c}_y" for c in both}), key, left)
+    rows = left.join(right, F.expr(f"`{key}` <=> `{name}`"), "left").drop(name)
+    return rows.orderBy(*[f"{c}_x" if c in both else c for c in order]) if order else rows
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_order: tuple[str, ...] = (), right_order: tuple[str, ...] = ()) -> DataFrame:
+    """Row n of one beside row n of the other, by their orders; both must have as many rows. Equal names get ``_x`` and ``_y``."""
+    at = free_name(left, free_name(right, "_at"))
+    (a, n), (b, m) = indexed(left, at, *left_order), indexed(right, at, *right_order)
+    if n != m:
+        raise ValueError(f"{n} rows cannot stand beside {m}")
+    return attach(a, b, at, (at,)).drop(at)
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:

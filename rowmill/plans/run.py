@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.operators import joins
 from rowmill.operators.checkpoint import Checkpoint
-from rowmill.operators.ids import ensure_id, shard_of
+from rowmill.operators.ids import ensure_id, free_name, index_shards, shard_of
 from rowmill.operators.transform import RowJob, map_rows
 from rowmill.sources.files import first_rows
+from rowmill.sources.memory import as_table
+from rowmill.sources.scratch import scratch, written
 
 
 class OutputMode(str, Enum):
@@ -31,38 +36,122 @@ def joined(df: DataFrame, out: DataFrame, key: str, input_column: str, mode: Out
     return joins.attach(df, out, key)
 
 
+def waves_of(todo: DataFrame, key: str, waves: int | None, flush_every: int) -> list[DataFrame]:
+    """The rows to do, written once and read wave by wave, so that the input is scanned and joined once.
+
+    With ``waves`` they are hash shards of the id; else a wave is one file of at most ``flush_every`` rows for each
+    core, so that a failure loses at most ``flush_every`` rows a task.
+    """
+    spark, path = todo.sparkSession, scratch(todo.sparkSession, "pending")
+    if waves is None:
+        todo.write.option("maxRecordsPerFile", flush_every).parquet(path)
+        files = sorted(spark.read.schema(todo.schema).parquet(path).inputFiles())
+        width = spark.sparkContext.defaultParallelism
+        return [spark.read.schema(todo.schema).parquet(*files[i : i + width]) for i in range(0, len(files), width)]
+    wave = free_name(todo, "_wave")
+    todo.withColumn(wave, shard_of(key, waves)).write.partitionBy(wave).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [p for i in range(waves) if fs.exists(hadoop(p := f"{path}/{wave}={i}"))]
+    return [spark.read.schema(todo.schema).parquet(p) for p in parts]
+
+
 def run(
-    df: DataFrame, job: RowJob, id_column: str | None = None, mode: OutputMode | str = OutputMode.APPEND, checkpoint: str | None = None,
-    waves: int = 1, resume: bool = True, limit: int | None = None, drop_stray: bool = False, compact: bool = False,
+    df: DataFrame | Any, job: RowJob, id_column: str | None = None, mode: OutputMode | str = OutputMode.APPEND, checkpoint: str | None = None,
+    waves: int | None = None, resume: bool = True, limit: int | None = None, drop_stray: bool = False, compact: bool = False,
+    flush_every: int = 10_000, strict: bool = False, sort: bool = False, on_progress: Callable[[int, int], None] | None = None, spark: SparkSession | None = None,
 ) -> DataFrame:
     """Transform ``df[job.input_column]`` and join the results back.
 
+    ``df`` is a DataFrame, or a pandas or Arrow table (whose index is the id where no id is named).
     With ``checkpoint`` (a folder that all executors reach) ids with a stored output are passed over
-    and new outputs are appended in ``waves`` Spark jobs; a failure loses at most the running wave.
-    Waves are hash shards of the id, so they need no sort and do not depend on the input's order.
-    ``resume=False`` writes the outputs of all rows again; the newest wins. Null ids match null ids.
+    and new outputs are appended wave by wave, each its own Spark job (``waves_of``); a failure loses
+    at most the running wave. ``resume=False`` writes the outputs of all rows again; the newest wins.
+    Null ids match null ids. ``limit`` takes rows once, whichever come first. ``strict`` requires unique ids and the
+    input that the checkpoint was begun with. ``sort`` orders the result by id. ``on_progress`` hears
+    (waves done, waves) after each.
     """
     mode = OutputMode(mode)
-    df = first_rows(df, limit)
+    df, id_column = as_table(df, id_column, spark)
+    if limit:
+        df = written(first_rows(df, limit), "limited")
     df, key = ensure_id(df, id_column)
     if job.input_column not in df.columns:
         raise ValueError(f"input column {job.input_column!r} is not in the input")
     if checkpoint is None:
         if not resume:
             raise ValueError("resume=False needs a checkpoint")
-        out = joins.latest(map_rows(df, job, key).withColumn("_pos", F.monotonically_increasing_id()), key, "_pos").drop("_pos")
-        return joined(df, out, key, job.input_column, mode)
+        at = free_name(df, "_pos")
+        out = joins.latest(map_rows(df, job, key).withColumn(at, F.monotonically_increasing_id()), key, at).drop(at)
+        out = joined(df, out, key, job.input_column, mode)
+        return out.orderBy(key) if sort else out
     schema = T.StructType([df.schema[key], *T._parse_datatype_string(job.schema).fields])
     store = Checkpoint(df.sparkSession, checkpoint, key, schema)
+    store.require_columns()
+    if strict:
+        store.verify(df, job.input_column)
     todo = joins.pending(df, store.done(), key) if resume else df
-    todo = todo.select(key, job.input_column)
-    for wave in range(waves):
-        part = todo if waves == 1 else todo.where(shard_of(key, waves) == wave)
-        if not part.isEmpty():
-            store.append(map_rows(part, job, key))
+    parts = waves_of(todo.select(key, job.input_column), key, waves, flush_every)
+    for n, part in enumerate(parts, 1):
+        store.append(map_rows(part, job, key))
+        if on_progress:
+            on_progress(n, len(parts))
     if compact:
         store.compact()
     out = store.latest()
     if drop_stray:
         out = joins.known(out, df, key)
-    return joined(df, out, key, job.input_column, mode)
+    out = joined(df, out, key, job.input_column, mode)
+    return out.orderBy(key) if sort else out
+
+
+def run_sharded(
+    df: DataFrame | Any, job: RowJob, id_column: str | None = None, mode: OutputMode | str = OutputMode.APPEND, checkpoint: str | None = None,
+    nshards: int = 1, shard_mode: str = "id", output: str | None = None, resume: bool = True, at_once: int = 8, spark: SparkSession | None = None,
+) -> DataFrame | None:
+    """``run`` over shards by id hash or by index, each with a checkpoint of its own, ``shard=<i>`` under ``checkpoint``, some at a time.
+
+    An id counts as done in whichever shard it is stored, so a run resumes with another number of
+    shards too. With ``output`` each shard's joined rows are written as ``shard=<i>`` under it and
+    nothing is returned; else the shards are merged, the newest row of an id winning.
+    """
+    mode = OutputMode(mode)
+    if shard_mode not in ("id", "index"):
+        raise ValueError(f"shards are by id or by index, not by {shard_mode!r}")
+    if nshards < 1 or (not checkpoint and (nshards > 1 or output)):
+        raise ValueError("shards and their output need a checkpoint")
+    df, id_column = as_table(df, id_column, spark)
+    if checkpoint is None:
+        return run(df, job, id_column, mode)
+    df, key = ensure_id(df, id_column)
+    spark, shard = df.sparkSession, free_name(df, "_shard")
+    if job.input_column not in df.columns:
+        raise ValueError(f"input column {job.input_column!r} is not in the input")
+    rows = df.withColumn(shard, shard_of(key, nshards)) if shard_mode == "id" else index_shards(df, key, nshards, shard)
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string(job.schema).fields])
+    whole = Checkpoint(spark, checkpoint, key, schema, inner="shard=*/")
+    done = whole.done()
+    todo = joins.pending(rows, done, key) if resume else rows
+    path = scratch(spark, "shards")
+    todo.select(key, job.input_column, shard).write.partitionBy(shard).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first = whole.next_seq()
+
+    def one(i: int) -> None:
+        part = f"{path}/{shard}={i}"
+        if fs.exists(hadoop(part)):
+            given = spark.read.schema(df.select(key, job.input_column).schema).parquet(part)
+            Checkpoint(spark, f"{checkpoint.rstrip('/')}/shard={i}", key, schema).append(map_rows(given, job, key), first)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(one, range(nshards)))
+    out = Checkpoint(spark, checkpoint, key, schema, inner="shard=*/").latest()
+    if output is None:
+        return joined(df, out, key, job.input_column, mode)
+    name = free_name(df, "shard")
+    rows = joined(rows.withColumnRenamed(shard, name), out, key, job.input_column, OutputMode.APPEND)
+    keep = [c for c in joined(df, out, key, job.input_column, mode).columns if c in rows.columns]
+    rows = rows if mode == OutputMode.APPEND else rows.select(*keep, name)
+    rows.repartitionById(nshards, F.col(name)).write.mode("overwrite").partitionBy(name).parquet(output)
+    return None

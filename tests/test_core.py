@@ -12,7 +12,8 @@ from rowmill.functions import metrics as M
 from rowmill.operators import ids, jobs, joins
 from rowmill.operators.checkpoint import Checkpoint
 from rowmill.operators.transform import shaped
-from rowmill.sources import files
+from rowmill.plans.run import run_sharded
+from rowmill.sources import files, memory
 from rowmill.streaming import health
 
 
@@ -131,6 +132,83 @@ def test_failure_keeps_earlier_waves(spark, tmp_path):
     assert kept == {i for i, s in shards.items() if s < shards[7]}
 
 
+def test_waves_scan_the_input_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        read.add(1)
+        return x
+
+    df = table(spark, 100).withColumn("messages", counted("messages"))
+    heard = []
+    run(df, Tag(), "doc_id", "replace", checkpoint=f"file://{tmp_path}/c", waves=6, on_progress=lambda *x: heard.append(x)).collect()
+    assert read.value == 100 and heard == [(i, 6) for i in range(1, 7)]
+    heard.clear()
+    run(table(spark, 100), Tag(), "doc_id", checkpoint=f"file://{tmp_path}/d", flush_every=5, on_progress=lambda *x: heard.append(x))
+    assert len(heard) == 5  # 20 files of 5 rows, 4 cores
+
+
+def test_strict_resume(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    run(table(spark, 9), Tag(), "doc_id", checkpoint=folder, strict=True)
+    run(table(spark, 9).orderBy(F.desc("doc_id")), Tag(), "doc_id", checkpoint=folder, strict=True)
+    with pytest.raises(ValueError, match="another input"):
+        run(table(spark, 10), Tag(), "doc_id", checkpoint=folder, strict=True)
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        run(table(spark, 9).union(table(spark, 1)), Tag(), "doc_id", checkpoint=folder, strict=True)
+
+    class More(Tag):
+        schema = "result string, more string"
+
+    with pytest.raises(ValueError, match="no column more"):
+        run(table(spark, 9), More(), "doc_id", checkpoint=folder)
+
+
+def test_limit_is_taken_once(spark, tmp_path):
+    out = run(table(spark, 1000).repartition(7), Tag(), "doc_id", checkpoint=f"file://{tmp_path}/c", limit=30, waves=3, sort=True).collect()
+    assert len(out) == 30 and all(r.result == f"t{r.doc_id}" for r in out) and [r.doc_id for r in out] == sorted(r.doc_id for r in out)
+
+
+def test_shards(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    assert run_sharded(table(spark, 20), Tag(), "doc_id", checkpoint=folder, nshards=3).count() == 20
+    again = run_sharded(table(spark, 20), Guard(retries=1), "doc_id", checkpoint=folder, nshards=2)
+    assert sorted((r.doc_id, r.result) for r in again.collect()) == [(i, f"t{i}") for i in range(20)]
+    assert run_sharded(table(spark, 20), Tag(), "doc_id", mode="replace", checkpoint=folder, nshards=4, shard_mode="index", output=f"{tmp_path}/out") is None
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(got.columns) == ["doc_id", "result", "shard"] and sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [5, 5, 5, 5]
+    for bad in ({"shard_mode": "name", "checkpoint": folder}, {"nshards": 2}, {"output": "x"}, {"nshards": 0, "checkpoint": folder}):
+        with pytest.raises(ValueError):
+            run_sharded(table(spark, 3), Tag(), "doc_id", **bad)
+
+
+def test_memory_tables(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    table_ = pd.DataFrame({"messages": [1, 2, 3]}, index=[7, 8, 9])
+    out = run(table_, Tag(), spark=spark)
+    assert sorted((r["_row_id"], r.result) for r in out.collect()) == [(7, "t1"), (8, "t2"), (9, "t3")]
+    assert run(pa.table({"doc_id": [1], "messages": [5]}), Tag(), "doc_id", spark=spark).first().result == "t5"
+    with pytest.raises(memory.BackendError):
+        run([1, 2], Tag(), spark=spark)
+    assert memory.backend(" Pandas ") == memory.backend() == "spark"
+    with pytest.raises(memory.BackendError):
+        memory.backend("duck")
+    assert [b.num_rows for b in memory.batches(spark.range(10), 4)] == [4, 4, 2]
+    assert [memory.batch_size(3, 4), memory.batch_size(None, 4), memory.batch_size()] == [3, 4, 16]
+    assert memory.columns_of(spark.range(1)) == {"id": "bigint"}
+
+
+def test_rows_side_by_side(spark):
+    a, b = spark.range(50).select("id", (-F.col("id")).alias("v")), spark.range(100, 150).select(F.col("id").alias("w"), "id")
+    rows = joins.side_by_side(a, b, ("id",), ("w",)).collect()
+    assert [(r.id_x, r.v, r.w, r.id_y) for r in rows] == [(i, -i, 100 + i, 100 + i) for i in range(50)]
+    with pytest.raises(ValueError, match="beside"):
+        joins.side_by_side(a, b.limit(3), ("id",), ("w",))
+
+
 def test_modes_and_suffixes(spark):
     df = spark.createDataFrame([(0, "a", "orig", 1)], "doc_id long, messages string, result string, extra int")
     assert run(df, Tag(), "doc_id").columns == ["doc_id", "messages", "result_x", "extra", "result_y"]
