@@ -197,3 +197,45 @@ def side_by_side(spark, d):
 @query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS type FROM (DESCRIBE customer)")
 def table_columns(spark, d):
     return spark.createDataFrame(list(memory.columns_of(t(spark, d, "customer")).items()), "name string, type string")
+
+
+def _swarms(spark, d):
+    kind = F.when(F.col("c_custkey") % 2 == 0, '{"backend": {"type": "slurm"}}').otherwise('{"backend": {}}')
+    return t(spark, d, "customer").select(
+        F.concat_ws("-", "c_mktsegment", F.col("c_custkey").cast("string")).alias("deployment_name"), F.col("c_custkey").alias("swarm"), kind.alias("cfg"),
+        F.concat(F.lit('{"url": "http://h'), F.col("c_nationkey").cast("string"), F.lit('"}')).alias("serving_handle"), (F.col("c_custkey") % 100).alias("creation_dt"),
+        F.when(F.col("c_nationkey") % 3 == 0, "STOPPED").otherwise("RUNNING").alias("phase"),
+    )
+
+
+@query("SELECT c_mktsegment || '-' || c_custkey AS name, c_custkey AS swarm, CASE WHEN c_custkey % 2 = 0 THEN 'slurm' END AS platform, 'http://h' || c_nationkey AS endpoint FROM customer")
+def swarm_list(spark, d):
+    return state.all_swarms(_swarms(spark, d))
+
+
+@query("SELECT c_mktsegment || '-' || c_custkey AS deployment_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey % 100 DESC, 1 LIMIT 1")
+def swarm_last(spark, d):
+    return state.last_swarm(_swarms(spark, d), "BUILDING")
+
+
+@query("SELECT c_mktsegment || '-' || c_custkey AS deployment_name FROM customer WHERE c_nationkey % 3 <> 0")
+def swarm_visible(spark, d):
+    return state.visible(_swarms(spark, d)).select("deployment_name")
+
+
+@query(f"WITH {REPLICAS} SELECT replica_id, state, event_id FROM s WHERE swarm_id = 'swarm-3'")
+def swarm_replicas(spark, d):
+    return state.replicas_of(_replicas(spark, d), "swarm-3").select("replica_id", "state", "event_id")
+
+
+@query("SELECT p_partkey, left(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), 9) || '-' || 'r' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name FROM part")
+def generated_names(spark, d):
+    return t(spark, d, "part").select("p_partkey", M.generated_name("p_type", 20, F.concat(F.lit("R"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'FAILED' ELSE 'PENDING' END AS status, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def jobs_with_swarms(spark, d):
+    """Jobs and the table their key points to."""
+    raw = F.when(F.col("o_orderstatus") == "O", " running ").when(F.col("o_orderstatus") == "F", "Failed").otherwise("pending")
+    jobs = t(spark, d, "orders").select("o_orderkey", M.coerce_status(raw, None).alias("status"), F.col("o_custkey").alias("c_custkey"))
+    return jobs.join(t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("o_orderkey", "status", "c_name")

@@ -58,6 +58,13 @@ def slug(text: str | Column) -> Column:
     return F.when(s == "", F.lit("swarm")).otherwise(s)
 
 
+def generated_name(text: str | Column, limit: int, suffix: str | Column | None = None) -> Column:
+    """A name of at most ``limit`` signs: the slug, as far as there is room, and ten signs that tell runs apart (random if not given)."""
+    end = F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 10) if suffix is None else F.lower(F.left(_col(suffix), F.lit(10)))
+    room = F.greatest(F.lit(1), F.lit(limit - 1) - F.length(end))
+    return F.concat_ws("-", F.left(slug(text), room), end)
+
+
 def clean_state(raw: str | Column) -> Column:
     """First word, cut at a plus sign, in capitals."""
     return F.upper(F.split_part(F.split_part(F.trim(_col(raw)), F.lit(" "), F.lit(1)), F.lit("+"), F.lit(1)))
@@ -76,9 +83,11 @@ def job_status(raw: str | Column) -> Column:
     return F.when(s.isin(*PENDING), "PENDING").when(s.isin(*RUNNING), "RUNNING").when(s == "COMPLETED", "SUCCEEDED").when(s.isin(*CANCELLED), "CANCELLED").otherwise("FAILED")
 
 
-def coerce_status(raw: str | Column, default: str = "PENDING") -> Column:
+def coerce_status(raw: str | Column, default: str | None = "PENDING") -> Column:
+    """A job status in capitals; anything else is the ``default``, or an error where that is None."""
     s = F.upper(F.trim(_col(raw)))
-    return F.when(s.isin("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED"), s).otherwise(F.lit(default))
+    other = F.raise_error(F.concat(F.lit("no job status: "), F.coalesce(_col(raw).cast("string"), F.lit("null")))) if default is None else F.lit(default)
+    return F.when(s.isin("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED"), s).otherwise(other)
 
 
 def serving_phase(state: Column, http_ok: Column, model_ok: Column) -> Column:

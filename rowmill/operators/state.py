@@ -95,6 +95,24 @@ def job_by_external_id(jobs: DataFrame, external_id: str, deployment: str | None
     return found.limit(1)
 
 
+def last_swarm(swarms: DataFrame, base: str | None = None) -> DataFrame:
+    """The swarm created last, of those whose names begin with ``base-`` if it is given; ties by name. No row where there is none."""
+    some = swarms if base is None else swarms.where(F.col("deployment_name").startswith(f"{base}-"))
+    return newest(some, 1, "deployment_name").select("deployment_name")
+
+
+def all_swarms(swarms: DataFrame) -> DataFrame:
+    """name, swarm, platform, endpoint of all swarms by rising swarm; the last two are read from the JSON texts ``cfg`` and ``serving_handle``."""
+    return swarms.select(
+        F.col("deployment_name").alias("name"), "swarm", F.get_json_object("cfg", "$.backend.type").alias("platform"), F.get_json_object("serving_handle", "$.url").alias("endpoint")
+    ).orderBy("swarm")
+
+
+def replicas_of(replicas: DataFrame, swarm: str) -> DataFrame:
+    """A swarm's replicas by rising id."""
+    return replicas.where(F.col("swarm_id") == swarm).orderBy("replica_id")
+
+
 def visible(swarms: DataFrame) -> DataFrame:
     return swarms.where(~F.col("phase").isin(*HIDDEN))
 

@@ -340,6 +340,15 @@ def test_messages(spark):
     assert [(r.replica_id, r.port, r.http_ready, r.state, r.agent_version) for r in rows] == [(2, 9000, True, "unknown", "unknown"), (3, None, False, "None", "unknown")]
 
 
+def test_names_and_strict_status(spark):
+    one = spark.range(1)
+    name = one.select(M.generated_name(F.lit("My  Swarm!"), 30)).first()[0]
+    assert name.startswith("my-swarm-") and len(name) == 19
+    assert one.select(M.coerce_status(F.lit(" running "), None)).first()[0] == "RUNNING"
+    with pytest.raises(Exception, match="no job status: odd"):
+        one.select(M.coerce_status(F.lit("odd"), None)).collect()
+
+
 def test_fail_reason(spark):
     df = spark.createDataFrame([(137, "SIGKILL", 1, 3, None), (None, None, None, None, "Cannot provide a placement group"), (None,) * 5], "c int, s string, a int, m int, t string")
     text, retry = M.fail_reason(F.col("c"), F.col("s"), F.col("a"), F.col("m"), F.col("t"))
