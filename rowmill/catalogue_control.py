@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rowmill.__main__ import main
 from rowmill.catalogue import REPLICAS, Length, WordCount, _replicas, query, t, work_folder
 from rowmill.functions import control as C
 from rowmill.functions import metrics as M
 from rowmill.operators import ids, joins, state
+from rowmill.operators.checkpoint import Checkpoint
 from rowmill.plans.run import run, run_sharded
 from rowmill.sources import files, memory
 from rowmill.streaming import health
@@ -187,6 +190,26 @@ def flushed_run(spark, d):
     return run(docs.repartition(3), job, "doc_id", checkpoint=folder, strict=True)
 
 
+@query("SELECT doc_id, 1 AS times, CAST(length(text) AS BIGINT) AS result, 2 AS in_output FROM documents")
+def once_per_id(spark, d):
+    """Rows that repeat an id are transformed once, and all get its output; ``times`` counts what the checkpoint holds."""
+    docs, folder = t(spark, d, "documents").select("doc_id", "text"), work_folder(spark)
+    job = Length(input_column="text")
+    out = run(docs.union(docs), job, "doc_id", checkpoint=folder, once=True)
+    held = Checkpoint(spark, folder, "doc_id", T.StructType([docs.schema["doc_id"], T.StructField("result", T.LongType())])).rows()
+    held = held.groupBy("doc_id").agg(F.count("*").cast("int").alias("times"), F.max("result").alias("result"))
+    return held.join(out.groupBy("doc_id").agg(F.count("*").cast("int").alias("in_output")), "doc_id")
+
+
+@query("SELECT * FROM (SELECT d.*, CAST(length(text) AS BIGINT) AS result FROM documents d)")
+def command_line(spark, d):
+    """A run from the command line, and a second one that finds all its rows done."""
+    folder = work_folder(spark)
+    for _ in range(2):
+        main([f"{d}/documents.parquet", f"{folder}/out", "--job", "rowmill.catalogue:Length", "--input-column", "text", "--id", "doc_id", "--checkpoints", f"{folder}/c", "--tag", "t"])
+    return files.read_dataset(spark, f"{folder}/out")
+
+
 @query("SELECT doc_id, text, l.doc_id AS labelled, quality FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM labels) l USING (n)".replace("SELECT doc_id, text", "SELECT d.doc_id, text"))
 def side_by_side(spark, d):
     labels = t(spark, d, "labels").select(F.col("doc_id").alias("labelled"), "quality")

@@ -59,7 +59,7 @@ def waves_of(todo: DataFrame, key: str, waves: int | None, flush_every: int) ->
 def run(
     df: DataFrame | Any, job: RowJob, id_column: str | None = None, mode: OutputMode | str = OutputMode.APPEND, checkpoint: str | None = None,
     waves: int | None = None, resume: bool = True, limit: int | None = None, drop_stray: bool = False, compact: bool = False,
-    flush_every: int = 10_000, strict: bool = False, sort: bool = False, on_progress: Callable[[int, int], None] | None = None, spark: SparkSession | None = None,
+    flush_every: int = 10_000, strict: bool = False, sort: bool = False, once: bool = False, on_progress: Callable[[int, int], None] | None = None, spark: SparkSession | None = None,
 ) -> DataFrame:
     """Transform ``df[job.input_column]`` and join the results back.
 
@@ -68,8 +68,9 @@ def run(
     and new outputs are appended wave by wave, each its own Spark job (``waves_of``); a failure loses
     at most the running wave. ``resume=False`` writes the outputs of all rows again; the newest wins.
     Null ids match null ids. ``limit`` takes rows once, whichever come first. ``strict`` requires unique ids and the
-    input that the checkpoint was begun with. ``sort`` orders the result by id. ``on_progress`` hears
-    (waves done, waves) after each.
+    input that the checkpoint was begun with. ``sort`` orders the result by id. With ``once`` rows that
+    repeat an id are transformed once, from whichever of them comes first, and share the output; else
+    each is, and the output written last is all of theirs. ``on_progress`` hears (waves done, waves) after each.
     """
     mode = OutputMode(mode)
     df, id_column = as_table(df, id_column, spark)
@@ -82,7 +83,8 @@ def run(
         if not resume:
             raise ValueError("resume=False needs a checkpoint")
         at = free_name(df, "_pos")
-        out = joins.latest(map_rows(df, job, key).withColumn(at, F.monotonically_increasing_id()), key, at).drop(at)
+        todo = df.dropDuplicates([key]) if once else df
+        out = joins.latest(map_rows(todo, job, key).withColumn(at, F.monotonically_increasing_id()), key, at).drop(at)
         out = joined(df, out, key, job.input_column, mode)
         return out.orderBy(key) if sort else out
     schema = T.StructType([df.schema[key], *T._parse_datatype_string(job.schema).fields])
@@ -91,7 +93,8 @@ def run(
     if strict:
         store.verify(df, job.input_column)
     todo = joins.pending(df, store.done(), key) if resume else df
-    parts = waves_of(todo.select(key, job.input_column), key, waves, flush_every)
+    todo = todo.select(key, job.input_column)
+    parts = waves_of(todo.dropDuplicates([key]) if once else todo, key, waves, flush_every)
     for n, part in enumerate(parts, 1):
         store.append(map_rows(part, job, key))
         if on_progress:

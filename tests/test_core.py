@@ -428,3 +428,38 @@ def test_job_specs(spark, tmp_path):
     assert folder(keep=False) is None
     with pytest.raises(ValueError, match="nothing to resume"):
         folder(keep=False, resume=False)
+
+
+def test_command_line(spark, tmp_path):
+    from rowmill.__main__ import main
+
+    given = [(i, "x" * i) for i in range(7)]
+    files.write_dataset(spark.createDataFrame(given, "k long, words string"), f"{tmp_path}/in")
+    common = [f"{tmp_path}/in", f"{tmp_path}/out.csv", "--job", "rowmill.catalogue:Length", "--settings", '{"input_column": "words"}', "--id", "k", "--checkpoints", f"{tmp_path}/c"]
+    first = main([*common, "--mode", "io_only", "--single"])
+    assert sorted(map(tuple, files.read_dataset(spark, f"{tmp_path}/out.csv").select("k", "result").collect())) == [(i, i) for i in range(7)]
+    assert main([*common, "--mode", "io_only", "--single"]) == first
+    assert main([*common, "--no-resume", "--single"]) != first
+    assert main([*common, "--no-checkpoint", "--single", "--limit", "3"]) is None
+    assert files.read_dataset(spark, f"{tmp_path}/out.csv").count() == 3
+    main([f"{tmp_path}/in", f"{tmp_path}/shards", *common[2:], "--shards", "2"])
+    assert files.read_dataset(spark, f"{tmp_path}/shards").groupBy("shard").count().count() == 2
+    for wrong in (["--shards", "2", "--single"], ["--no-checkpoint", "--strict"], ["--mode", "other"]):
+        with pytest.raises(SystemExit):
+            main([*common, *wrong])
+
+
+def test_once_with_and_without_a_checkpoint(spark, tmp_path):
+    given = spark.createDataFrame([(1, "a"), (1, "a"), (None, "bb"), (None, "bb"), (2, None)], "k long, words string")
+    job = load_length()
+    for folder in (None, f"{tmp_path}/c"):
+        out = run(given, job, "k", checkpoint=folder, once=True)
+        assert sorted(map(str, out.select("k", "result").collect())) == sorted(["Row(k=1, result=1)"] * 2 + ["Row(k=None, result=2)"] * 2 + ["Row(k=2, result=0)"])
+    stored = spark.read.option("basePath", f"{tmp_path}/c").parquet(f"{tmp_path}/c/wave=*")
+    assert stored.count() == 3
+
+
+def load_length():
+    from rowmill.operators import specs
+
+    return specs.load_job("rowmill.catalogue:Length", input_column="words")
