@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.shared import cut, gram_hashes, join_hot, map_batches, utf8
+from rowmill.llm.shared import cut, each_batch, gram_hashes, join_hot, map_batches, utf8
 
 WHERE = "doc_id long, mark long"
 
@@ -137,15 +137,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = cut(_profile(docs), "lines")
     changed = cut(_changes(docs, rows).selectExpr("d as __line_d", "m as __line_m", "new_text as __line_text"), "lines-changed")
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in utf8(batch.column("text"))]
-            yield batch.append_column("__line_mark", pa.array(marks, pa.int64()))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in utf8(batch.column("text"))]
+        return batch.append_column("__line_mark", pa.array(marks, pa.int64()))
 
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, __line_mark long"
-    out = docs.mapInArrow(run, schema).join(changed, F.expr("doc_id <=> __line_d and __line_mark = __line_m"), "left")
+    out = docs.mapInArrow(each_batch(run), schema).join(changed, F.expr("doc_id <=> __line_d and __line_mark = __line_m"), "left")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__line_text").isNull(), F.col("n_chars")).otherwise(F.length("__line_text").cast(docs.schema["n_chars"].dataType)))
     return out.withColumn("text", F.coalesce("__line_text", "text")).select(*docs.columns)

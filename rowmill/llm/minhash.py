@@ -12,6 +12,7 @@ count as one node.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from rowmill.llm.components import components
-from rowmill.llm.shared import as_long, cut, gram_hashes, join_hot, map_batches, scramble, utf8, word_hashes
+from rowmill.llm.shared import as_long, cut, each_batch, give_back, gram_hashes, join_hot, map_batches, scramble, utf8, word_hashes
 
 
 @dataclass(frozen=True)
@@ -135,8 +136,11 @@ def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), assume_unique=True)) for u, v in zip(x, y, strict=True)])
+def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for x, y in batches:
+        yield pd.Series([len(np.intersect1d(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), assume_unique=True)) for u, v in zip(x, y, strict=True)], dtype="int64")
+    x = y = None
+    give_back()
 
 
 def _enough(percent: int, common: str, m: str, n: str) -> str:
@@ -286,14 +290,15 @@ def keep_one(docs: DataFrame, p: MinMax = MinMax()) -> DataFrame:
     gone = join_hot(rows.where("n_shingles > 0").select("doc_id", "digest"), _named(named, best), "digest", "doc_id", named.select("digest", "n")).where("not (doc_id <=> best.rep and digest = best.digest)")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                words = [b" ".join(tokens(x)) for x in utf8(batch.column("text"))]
-                batch = batch.append_column("__digest", pa.array(map(xxhash.xxh3_128_digest, words), pa.binary()))
-                yield batch.append_column("__empty", pa.array([not x for x in words], pa.bool_()))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests, empty = [], []
+        for text in utf8(batch.column("text")):
+            words = tokens(text)
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            empty.append(not words)
+        return batch.append_column("__digest", pa.array(digests, pa.binary())).append_column("__empty", pa.array(empty, pa.bool_()))
 
     schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType()), StructField("__empty", BooleanType())])
-    marked = docs.mapInArrow(run, schema).withColumn("__alone", F.when(F.col("__empty"), F.monotonically_increasing_id()))
+    marked = docs.mapInArrow(each_batch(run), schema).withColumn("__alone", F.when(F.col("__empty"), F.monotonically_increasing_id()))
     left = marked.join(gone, F.expr("doc_id <=> __gone and __digest = __gone_digest"), "left_anti")
     return left.dropDuplicates(["doc_id", "__digest", "__alone"]).select(*docs.columns)

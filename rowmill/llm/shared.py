@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -48,13 +49,29 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str | Column,
     return a.join(b, [key, "__salt"], how).drop("__salt")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def give_back() -> None:
+    """What finished batches took goes back to the system; an idle Python worker would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over a task's batches that hold rows; the task's memory is given back at its end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        batch = None
+        give_back()
+
+    return run
 
-    return df.mapInArrow(run, schema)
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    return df.mapInArrow(each_batch(fn), schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

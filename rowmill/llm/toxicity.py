@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm.shared import gram_hashes, map_batches, scramble, utf8
+from rowmill.llm.shared import each_batch, give_back, gram_hashes, map_batches, scramble, utf8
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def pieces(word: bytes, s: Settings) -> list[bytes | str]:
 KNOWN: dict[int, dict[bytes | str, float]] = {}
 
 
-def known_words(key: int, most: int = 500_000) -> dict[bytes | str, float]:
+def known_words(key: int, most: int = 100_000) -> dict[bytes | str, float]:
     if key not in KNOWN or len(KNOWN[key]) > most:
         KNOWN.clear()
         KNOWN[key] = {}
@@ -194,7 +194,10 @@ def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model
     of, buckets, weight = _inputs(texts, y, s)
     if not len(of):
         return constant
-    used, own = np.unique(buckets, return_inverse=True)  # buckets, numbered anew
+    used = np.flatnonzero(np.bincount(buckets, minlength=1 << s.bits))
+    own = np.zeros(1 << s.bits, np.int64)
+    own[used] = np.arange(len(used))
+    own = own[buckets]  # buckets, numbered anew
     n, m = len(y), len(used)
     scale = 1 / np.sqrt(np.bincount(own, weight * weight, m) / n)  # every bucket's input gets about the same spread
     x = weight * scale[own]
@@ -248,7 +251,9 @@ def trained(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     def run(batches):
         rows = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())])).sort_by("doc_id")
         model = fit(utf8(rows["text"].combine_chunks()), rows["toxic"].to_pylist(), s)
+        del rows
         yield pa.RecordBatch.from_arrays([pa.array([model.at]), pa.array([model.gain]), pa.array([model.bias])], names=["at", "gain", "bias"])
+        give_back()
 
     made = got.select(F.col("doc_id").cast("long"), F.col("_toxic").cast("int").alias("toxic"), "text").coalesce(1).mapInArrow(run, "at array<long>, gain array<double>, bias double")
     rows = made.collect()
@@ -284,12 +289,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) ->
     """
     model = trained(docs, labels, s)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(model.scores(utf8(batch.column("text"))) < s.threshold))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(model.scores(utf8(batch.column("text"))) < s.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(each_batch(run), docs.schema)
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
