@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import linededup, matroska, minhash, mixing, packing, substring, topk, toxicity, urlfilter, warc
+from rowmill.llm import bpe, codes, lexical, linededup, matroska, minhash, mixing, packing, substring, topk, toxicity, urlfilter, warc
 
 #: (action, host and path) of the URL filter query.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -64,6 +64,18 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,12 +97,12 @@ def media_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash, op2_topk, op3_urlfilter, op4_toxicity, op5_packing, op6_warc, op7_linededup, op8_mixing, op9_matroska, op10_substring, pipeline, url_rules, mixing_targets, media_bytes]
+    found = [op1_minhash, op2_topk, op3_urlfilter, op4_toxicity, op5_packing, op6_warc, op7_linededup, op8_mixing, op9_matroska, op10_substring, op11_lexical, op12_codes, op13_bpe, pipeline, url_rules, mixing_targets, media_bytes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1, "op2_topk": OP2, "op6_warc": OP6, "op10_substring": OP10, "url_rules": URLS, "mixing_targets": TARGETS, "media_bytes": MEDIA}
+    return {"op1_minhash": OP1, "op2_topk": OP2, "op6_warc": OP6, "op10_substring": OP10, "op11_lexical": OP11, "op12_codes": op12_sql(), "url_rules": URLS, "mixing_targets": TARGETS, "media_bytes": MEDIA}
 
 
 OP1 = r"""
@@ -173,3 +185,39 @@ n AS (SELECT doc_id, body, CAST(octet_length(body) AS BIGINT) AS n_bytes FROM t)
 p AS (SELECT *, CASE WHEN n_bytes = 0 THEN 64 ELSE (n_bytes + 63) // 64 * 64 END AS payload_bytes FROM n)
 SELECT doc_id, n_bytes, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(body || unhex(repeat('00', CAST(payload_bytes - n_bytes AS INTEGER)))) AS payload_sha256 FROM p
 """
+
+OP11 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM t),
+m AS (SELECT doc_id, terms, CAST(100 - 75 + (75 * len(terms) * big_n) // greatest(big_l, 1) AS BIGINT) AS m FROM t, s),
+f AS (SELECT doc_id, term, any_value(m) AS m, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM m) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, big_n),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN w USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_sql(rounds: int = 6) -> str:
+    """Lloyd rounds over all parts and entries, one after the other."""
+    distance = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    text = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS x FROM v, (SELECT unnest(range(8)) AS part)),
+b0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS e, x AS c FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16)"""
+    for r in range(rounds + 1):
+        text += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, arg_min(e, 16 * ({distance}) + e) AS e, min({distance}) AS d FROM p JOIN b{r} USING (part) GROUP BY vec_id, part)"""
+        if r < rounds:
+            text += f""",
+n{r} AS (SELECT part, e, list(m ORDER BY k) AS c FROM (SELECT part, e, k, floor(sum(y) / count(*)) AS m FROM (
+  SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS k FROM a{r}) GROUP BY part, e, k) GROUP BY part, e),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN n{r} n ON b.part = n.part AND b.e = n.e)"""
+    return text + f""",
+g AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  sha256((SELECT string_agg(array_to_string(list_transform(c, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY part, e) FROM b{rounds})) AS codebooks_sha256
+FROM g JOIN v USING (vec_id)
+"""
