@@ -43,8 +43,8 @@ def main(argv: Sequence[str] | None = None) -> str | None:
     """Run and write; gives the checkpoint's folder, or nothing without one."""
     p = arguments()
     a = p.parse_args(argv)
-    if a.shards > 1 and (a.no_checkpoint or a.single or a.sort or a.strict or a.once):
-        p.error("--shards goes with a checkpoint, and not with --single, --sort, --strict or --once")
+    if a.shards > 1 and (a.no_checkpoint or a.single or a.sort):
+        p.error("--shards goes with a checkpoint, and not with --single or --sort")
     if a.no_checkpoint and a.strict:
         p.error("--strict needs a checkpoint")
     spark = SparkSession.builder.appName("rowmill").getOrCreate()
@@ -56,7 +56,7 @@ def main(argv: Sequence[str] | None = None) -> str | None:
     df = read_dataset(spark, a.input, a.limit, **settings_of(a.read_options))
     options = settings_of(a.write_options)
     if a.shards > 1:
-        run_sharded(df, job, a.id_column, a.mode, folder, a.shards, a.shard_mode, output=full_path(a.output))
+        run_sharded(df, job, a.id_column, a.mode, folder, a.shards, a.shard_mode, output=full_path(a.output), flush_every=a.flush_every, strict=a.strict, once=a.once)
     else:
         out = run(df, job, a.id_column, a.mode, folder, flush_every=a.flush_every, strict=a.strict, sort=a.sort, once=a.once)
         write_dataset(out, a.output, single=a.single, **options)

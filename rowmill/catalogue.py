@@ -72,10 +72,10 @@ class LengthDict(RowJob):
 
 @query("SELECT d.*, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_signs FROM documents d")
 def resumed_run(spark, d):
-    """The flagship: a third of the rows is done in an earlier run, the rest in a resumed one with two waves."""
+    """The flagship: a third of the rows is done in an earlier run, the rest in a resumed one."""
     docs, folder = t(spark, d, "documents"), work_folder(spark)
     run(docs.where("doc_id % 3 = 0"), WordCount(input_column="text"), "doc_id", checkpoint=folder)
-    return run(docs, WordCount(input_column="text"), "doc_id", checkpoint=folder, waves=2)
+    return run(docs, WordCount(input_column="text"), "doc_id", checkpoint=folder)
 
 
 @query("SELECT * FROM documents")

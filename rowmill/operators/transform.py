@@ -1,10 +1,11 @@
-"""User-written row transforms: asynchronous, with bounded concurrency and retries, over Arrow batches."""
+"""User-written row transforms: asynchronous, with bounded concurrency and retries, across Arrow batches."""
 
 from __future__ import annotations
 
 import asyncio
 import inspect
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -43,19 +44,51 @@ class RowJob:
             raise RuntimeError("transform_items must return a list with one result for one item")
         return got[0]
 
-    async def call_all(self, items: list[Any]) -> list[Any]:
-        gate = asyncio.Semaphore(self.max_concurrency)
+    def call_all(self, items: list[Any]) -> list[Any]:
+        """Results of all items, in their order."""
+        return [got for _, got in in_order(slide(self, ((None, x) for x in items)))]
 
-        async def one(item: Any) -> Any:
-            async with gate:
-                return await self.call_one(item)
 
-        tasks = [asyncio.ensure_future(one(x)) for x in items]
-        try:
-            return list(await asyncio.gather(*tasks))
-        finally:
-            for t in tasks:
-                t.cancel()
+def slide(job: RowJob, rows: Iterable[tuple[Any, Any]]) -> Iterator[tuple[int, Any, Any]]:
+    """(place, key, result) of each (key, item), as they complete.
+
+    One event loop serves them all, so a client keeps its connections. ``max_concurrency`` items run at a time,
+    and a free slot takes the next row at once, whichever batch it comes from: a slow item holds up
+    nothing but itself. Once one fails for good, those that still run are cancelled.
+    """
+    loop, running, rows, place = asyncio.new_event_loop(), {}, iter(rows), 0
+    try:
+        while True:
+            while len(running) < max(1, job.max_concurrency) and (row := next(rows, None)) is not None:
+                running[loop.create_task(job.call_one(row[1]))] = place, row[0]
+                place += 1
+            if not running:
+                return
+            done, _ = loop.run_until_complete(asyncio.wait(running, return_when=asyncio.FIRST_COMPLETED))
+            ended = sorted(((running.pop(t), t) for t in done), key=lambda x: x[0][0])
+            broken = next((t for _, t in ended if t.exception()), None)
+            for (at, key), t in ended:
+                if not t.exception():
+                    yield at, key, t.result()
+            if broken:
+                raise broken.exception()
+    finally:
+        for t in running:
+            t.cancel()
+        if running:
+            loop.run_until_complete(asyncio.gather(*running, return_exceptions=True))
+        loop.run_until_complete(loop.shutdown_asyncgens())
+        loop.close()
+
+
+def in_order(results: Iterable[tuple[int, Any, Any]]) -> Iterator[tuple[Any, Any]]:
+    """(key, result) by place: what completes early waits in a buffer for those before it."""
+    waiting, due = {}, 0
+    for at, key, got in results:
+        waiting[at] = key, got
+        while due in waiting:
+            yield waiting.pop(due)
+            due += 1
 
 
 def shaped(results: list[Any], names: list[str] | None) -> tuple[list[str], list[dict]]:
@@ -86,18 +119,37 @@ def shaped(results: list[Any], names: list[str] | None) -> tuple[list[str], list
     return list(names), [{names[0]: r} for r in results]
 
 
-def map_rows(df: DataFrame, job: RowJob, key: str) -> DataFrame:
-    """(key, outputs): only the id and the input column go to Python, in Arrow batches."""
+def output_schema(job: RowJob, key: T.StructField) -> T.StructType:
+    return T.StructType([key, *T._parse_datatype_string(job.schema).fields])
+
+
+def as_batch(keys: list[Any], results: list[Any], arrow: pa.Schema) -> pa.RecordBatch:
+    """Keys and results as the columns of ``arrow``, the key's first."""
+    names = arrow.names[1:]
+    _, rows = shaped(results, names)
+    return pa.RecordBatch.from_arrays([pa.array(keys, arrow.field(0).type), *[pa.array([r[n] for r in rows], arrow.field(n).type) for n in names]], schema=arrow)
+
+
+def keyed_items(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Any, Any]]:
+    """(first column, second column) of all rows of all batches."""
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
+def map_rows(df: DataFrame, job: RowJob, key: str, ordered: bool = True, rows: int = 1000) -> DataFrame:
+    """(key, outputs): only the id and the input column go to Python, in Arrow batches.
+
+    Results come in the order of their rows, or as they complete if not ``ordered``; a batch holds ``rows`` of them.
+    """
     if job.input_column not in df.columns:
         raise ValueError(f"input column {job.input_column!r} is not in the input")
-    out = T._parse_datatype_string(job.schema)
-    schema = T.StructType([df.schema[key], *out.fields])
+    schema = output_schema(job, df.schema[key])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, rows = shaped(asyncio.run(job.call_all(batch.column(1).to_pylist())), out.names)
-            columns = [pa.array([r[n] for r in rows], arrow.field(n).type) for n in out.names]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *columns], schema=arrow)
+        found = slide(job, keyed_items(batches))
+        found = in_order(found) if ordered else ((key, got) for _, key, got in found)
+        while some := list(itertools.islice(found, rows)):
+            yield as_batch([k for k, _ in some], [got for _, got in some], arrow)
 
     return df.select(key, job.input_column).mapInArrow(run, schema)

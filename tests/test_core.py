@@ -1,6 +1,10 @@
 import asyncio
 import math
+import os
+import signal
 import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from rowmill import OutputMode, RowJob, run
 from rowmill.functions import metrics as M
 from rowmill.operators import ids, jobs, joins
-from rowmill.operators.checkpoint import Checkpoint
+from rowmill.operators.checkpoint import Checkpoint, Fenced
 from rowmill.operators.transform import shaped
 from rowmill.plans.run import run_sharded
 from rowmill.sources import files, memory
@@ -107,13 +111,13 @@ def table(spark, n, **more):
 def test_resume_computes_new_ids_only(spark, tmp_path):
     folder = f"file://{tmp_path}/c"
     run(table(spark, 4), Tag(), "doc_id", checkpoint=folder)
-    out = run(table(spark, 6), Guard(retries=1), "doc_id", checkpoint=folder, waves=3, compact=True)
+    out = run(table(spark, 6), Guard(retries=1), "doc_id", checkpoint=folder, compact=True)
     assert sorted((r.doc_id, r.result) for r in out.collect()) == [(i, f"t{i}") for i in range(6)]
     again = run(table(spark, 6), Guard(retries=1), "doc_id", checkpoint=folder)
     assert again.count() == 6
 
 
-def test_failure_keeps_earlier_waves(spark, tmp_path):
+def test_failure_keeps_what_was_published(spark, tmp_path):
     folder = f"file://{tmp_path}/c"
 
     class Fail(RowJob):
@@ -122,17 +126,60 @@ def test_failure_keeps_earlier_waves(spark, tmp_path):
         def transform_items(self, items):
             if items[0] == 7:
                 raise RuntimeError("no")
+            with open(f"{tmp_path}/calls", "a") as f:
+                f.write(f"{items[0]}\n")
             return ["x"]
 
     with pytest.raises(Exception, match="no"):
-        run(table(spark, 40), Fail(retries=1), "doc_id", checkpoint=folder, waves=8)
-    shards = {r.doc_id: r.s for r in table(spark, 40).select("doc_id", ids.shard_of("doc_id", 8).alias("s")).collect()}
+        run(table(spark, 40).coalesce(1), Fail(retries=1, max_concurrency=1), "doc_id", checkpoint=folder, flush_every=3)
     out = run(table(spark, 40), Tag(), "doc_id", checkpoint=folder)
-    kept = {r.doc_id for r in out.where("result = 'x'").collect()}
-    assert kept == {i for i, s in shards.items() if s < shards[7]}
+    assert {r.doc_id for r in out.where("result = 'x'").collect()} == set(map(int, (tmp_path / "calls").read_text().split())) and out.count() == 40
 
 
-def test_waves_scan_the_input_once(spark, tmp_path):
+class Killed(RowJob):
+    """Its process is killed at a call, once."""
+
+    schema = "result string"
+
+    def __init__(self, marker, at, **more):
+        super().__init__(**more)
+        self.marker, self.at = marker, at
+
+    def transform_items(self, items):
+        with open(f"{self.marker}-{os.getpid()}", "a+") as f:
+            f.write(f"{items[0]}\n")
+            f.seek(0)
+            calls = len(f.readlines())
+        if calls == self.at and not os.path.exists(self.marker):
+            open(self.marker, "w").close()
+            os.kill(os.getpid(), signal.SIGKILL)
+        return [f"t{items[0]}"]
+
+
+def test_a_killed_worker_loses_less_than_a_flush(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    with pytest.raises(Exception):
+        run(table(spark, 100).coalesce(1), Killed(f"{tmp_path}/k", 57), "doc_id", checkpoint=folder, flush_every=10)
+    parts = [f for f in Path(f"{tmp_path}/c").rglob("p*.parquet")]
+    assert len(parts) == 5 and all(f.name.endswith("-10.parquet") for f in parts)
+    out = run(table(spark, 100).coalesce(1), Killed(f"{tmp_path}/k", 57), "doc_id", checkpoint=folder, flush_every=10)
+    assert sorted((r.doc_id, r.result) for r in out.collect()) == [(i, f"t{i}") for i in range(100)]
+    calls = [int(x) for f in tmp_path.glob("k-*") for x in f.read_text().split()]
+    assert len(calls) <= 100 + 10 and set(calls) == set(range(100))
+
+
+def test_a_task_that_is_tried_again_goes_on_after_its_parts(spark, tmp_path):
+    from rowmill.operators.flush import Parts
+    from rowmill.sources.stores import publish
+
+    import pyarrow as pa
+
+    publish(pa.table({"doc_id": [1, 2, None]}), f"{tmp_path}/shard=1/flush=0-a", "p000003-x-000000-3.parquet")
+    publish(pa.table({"doc_id": [9]}), f"{tmp_path}/shard=1/flush=0-a", "p000004-x-000000-1.parquet")
+    assert Parts(f"file://{tmp_path}", 3).ids("doc_id") == {1, 2, None} and Parts(f"{tmp_path}/none", 3).ids("doc_id") == set()
+
+
+def test_one_job_scans_the_input_once_and_tells_its_progress(spark, tmp_path):
     read = spark.sparkContext.accumulator(0)
 
     @F.udf("long")
@@ -141,12 +188,86 @@ def test_waves_scan_the_input_once(spark, tmp_path):
         return x
 
     df = table(spark, 100).withColumn("messages", counted("messages"))
+    run(df, Tag(), "doc_id", "replace", checkpoint=f"file://{tmp_path}/c").collect()
+    assert read.value == 100
+
+    class Slow(RowJob):
+        schema = "result string"
+
+        async def transform_items(self, items):
+            await asyncio.sleep(0.05)
+            return ["x"]
+
     heard = []
-    run(df, Tag(), "doc_id", "replace", checkpoint=f"file://{tmp_path}/c", waves=6, on_progress=lambda *x: heard.append(x)).collect()
-    assert read.value == 100 and heard == [(i, 6) for i in range(1, 7)]
-    heard.clear()
-    run(table(spark, 100), Tag(), "doc_id", checkpoint=f"file://{tmp_path}/d", flush_every=5, on_progress=lambda *x: heard.append(x))
-    assert len(heard) == 5  # 20 files of 5 rows, 4 cores
+    run(table(spark, 100).coalesce(1), Slow(), "doc_id", checkpoint=f"file://{tmp_path}/d", flush_every=5, on_progress=lambda *x: heard.append(x))
+    assert heard[-1] == (100, 100) and len(heard) > 3 and [x for x, _ in heard] == sorted({x for x, _ in heard})
+
+
+def test_a_slow_item_does_not_idle_the_other_slots():
+    import pyarrow as pa
+
+    from rowmill.operators.transform import in_order, keyed_items, slide
+
+    running, most, order = set(), [0], []
+
+    class Uneven(RowJob):
+        async def transform_items(self, items):
+            running.add(items[0])
+            most[0] = max(most[0], len(running))
+            await asyncio.sleep(0.4 if items[0] == 3 else 0)
+            running.discard(items[0])
+            order.append(items[0])
+            return [items[0] * 2]
+
+    batches = [pa.record_batch({"k": list(range(a, a + 100)), "v": list(range(a, a + 100))}) for a in range(0, 2000, 100)]
+    got = list(slide(Uneven(max_concurrency=8), keyed_items(batches)))
+    assert sorted(got) == [(i, i, 2 * i) for i in range(2000)] and most[0] == 8
+    assert order.index(3) > 1000  # the others went on, over many batches
+    assert list(in_order(got)) == [(i, 2 * i) for i in range(2000)]
+
+
+def test_a_failure_cancels_what_still_runs():
+    from rowmill.operators.transform import slide
+
+    ended = []
+
+    class Broken(RowJob):
+        async def transform_items(self, items):
+            try:
+                if items[0] == 2:
+                    raise ValueError("two")
+                await asyncio.sleep(30)
+            except asyncio.CancelledError:
+                ended.append(items[0])
+                raise
+
+    with pytest.raises(ValueError, match="two"):
+        list(slide(Broken(max_concurrency=3, retries=1), ((i, i) for i in range(9))))
+    assert sorted(ended) == [0, 1]
+
+
+def test_two_runs_take_two_generations_and_a_closed_one_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "k long, v string")
+    a, b = (Checkpoint(spark, f"file://{tmp_path}/c", "k", rows.schema) for _ in range(2))
+    with ThreadPoolExecutor(8) as pool:
+        taken = list(pool.map(lambda x: x.begin(), [a, b] * 8))
+    assert sorted(taken) == list(range(16))
+    a.append(rows, 3)
+    b.compact()
+    with pytest.raises(Fenced, match="generation 5"):
+        a.append(rows.withColumn("v", F.lit("late")), 5)
+    assert sorted(map(tuple, a.latest().collect())) == [(1, "a"), (2, "a")]
+    assert a.append(rows.where("k = 1").withColumn("v", F.lit("b"))) == 17
+    assert sorted(map(tuple, b.latest().collect())) == [(1, "b"), (2, "a")]
+
+
+def test_columns_of_every_folder_are_checked(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    store = Checkpoint(spark, f"file://{tmp_path}/c", "k", rows.schema)
+    store.append(rows)
+    Checkpoint(spark, f"file://{tmp_path}/c", "k", rows.select("k").schema).append(spark.createDataFrame([(2,)], "k long"))
+    with pytest.raises(ValueError, match="no column v in wave=1"):
+        store.require_columns()
 
 
 def test_strict_resume(spark, tmp_path):
@@ -166,7 +287,7 @@ def test_strict_resume(spark, tmp_path):
 
 
 def test_limit_is_taken_once(spark, tmp_path):
-    out = run(table(spark, 1000).repartition(7), Tag(), "doc_id", checkpoint=f"file://{tmp_path}/c", limit=30, waves=3, sort=True).collect()
+    out = run(table(spark, 1000).repartition(7), Tag(), "doc_id", checkpoint=f"file://{tmp_path}/c", limit=30, sort=True).collect()
     assert len(out) == 30 and all(r.result == f"t{r.doc_id}" for r in out) and [r.doc_id for r in out] == sorted(r.doc_id for r in out)
 
 
@@ -324,14 +445,14 @@ def test_retry_and_contract():
                 raise OSError
             return items
 
-    assert asyncio.run(Flaky(pause=0).call_all([1, 2, 3])) == [1, 2, 3]
+    assert Flaky(pause=0).call_all([1, 2, 3]) == [1, 2, 3]
 
     class Two(RowJob):
         def transform_items(self, items):
             return [1, 2]
 
     with pytest.raises(RuntimeError):
-        asyncio.run(Two().call_all([1]))
+        Two().call_all([1])
 
 
 def test_messages(spark):
@@ -455,7 +576,7 @@ def test_once_with_and_without_a_checkpoint(spark, tmp_path):
     for folder in (None, f"{tmp_path}/c"):
         out = run(given, job, "k", checkpoint=folder, once=True)
         assert sorted(map(str, out.select("k", "result").collect())) == sorted(["Row(k=1, result=1)"] * 2 + ["Row(k=None, result=2)"] * 2 + ["Row(k=2, result=0)"])
-    stored = spark.read.option("basePath", f"{tmp_path}/c").parquet(f"{tmp_path}/c/wave=*")
+    stored = spark.read.parquet(f"{tmp_path}/c/flush=*")
     assert stored.count() == 3
 
 
