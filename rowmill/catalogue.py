@@ -436,7 +436,7 @@ def streaming_upsert(spark, d):
     events = _replica_events(spark, d)
     events.select("ts", "event_id", F.to_json(F.struct("swarm_id", "replica_id", "state", "http_ready", "fail_reason")).alias("value")).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("ts timestamp_ntz, event_id long, value string" if dict(events.dtypes)["ts"] == "timestamp_ntz" else "ts timestamp, event_id long, value string").parquet(f"{folder}/in")
-    health.maintain(health.normalized(stream), f"{folder}/out", ["swarm_id", "replica_id"], ["ts", "event_id"], f"{folder}/offsets").awaitTermination()
+    health.maintain(health.normalized(stream), f"{folder}/out", ["swarm_id", "replica_id"], f"{folder}/offsets", ("ts", "event_id")).awaitTermination()
     return health.snapshot(spark, f"{folder}/out", "swarm_id string, replica_id int, state string, http_ready boolean")
 
 

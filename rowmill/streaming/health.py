@@ -15,13 +15,13 @@ from dataclasses import astuple, dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
+from rowmill.operators.buckets import BucketTable
 from rowmill.operators.ids import free_name
-from rowmill.operators.state import upsert
-
-BUCKETS = 64
+from rowmill.sources import stores
 
 
 def _field(name: str, kind: str) -> str:
@@ -66,61 +66,33 @@ def normalized(messages: DataFrame, column: str = "value") -> DataFrame:
     return out.where("swarm_id is not null and replica_id is not null")
 
 
-def maintain(stream: DataFrame, folder: str, keys: list[str], order: list[str], checkpoint: str):
+def state_table(spark: SparkSession, folder: str, keys: list[str], order: tuple[str, ...] = ()) -> BucketTable:
+    return BucketTable(spark, folder, keys, order, stamp="last_seen")
+
+
+def maintain(stream: DataFrame, folder: str, keys: list[str], checkpoint: str, order: tuple[str, ...] = ()) -> StreamingQuery:
     """Keep the newest row of each key under ``folder``, with the time it was ``last_seen`` here.
 
-    State lies in ``BUCKETS`` buckets by key. A batch rewrites only the buckets it touches, as a version
-    named by the batch, so a batch that is run again writes the same version again. Bucket versions
-    that two newer ones follow are removed.
+    The newest is the last to arrive, or that with the largest ``order``. Each batch is a commit of a
+    ``BucketTable``: it rewrites the buckets it touches, once, however often it is run. The table outlives its
+    streams: one with a fresh ``checkpoint`` goes on with the rows that are there, and several may write at once.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    table = state_table(stream.sparkSession, folder, keys, order)
+    mark = f"{checkpoint.rstrip('/')}/table-writer"
+    stores.claim(stream.sparkSession, mark, uuid.uuid4().hex)
+    writer = stores.text_of(stream.sparkSession, mark)
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("last_seen", F.current_timestamp()).withColumn("bucket", bucket)
-        touched = {r[0] for r in new.select("bucket").distinct().collect()}  # BUCKETS rows at most
-        if not touched:
-            return
-        parts = [p for b, p in _buckets(spark, folder, below=number).items() if b in touched]
-        old = spark.read.option("basePath", folder).schema(f"{_ddl(new)}, version int").parquet(*parts).drop("version") if parts else None
-        upsert(old, new, keys, *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/version={number}")
-        _sweep(spark, folder)
+        table.upsert(batch, (writer, number))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
-    """(bucket, version, path) of all committed bucket versions, by rising version."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = {s.getPath().getParent().getName() for s in fs.globStatus(hadoop(f"{folder}/version=*/_SUCCESS")) or ()}
-    found = [s.getPath() for s in fs.globStatus(hadoop(f"{folder}/version=*/bucket=*")) or ()]
-    rows = [(int(p.getName()[7:]), int(p.getParent().getName()[8:]), p.toString()) for p in found if p.getParent().getName() in done]
-    return sorted(rows, key=lambda r: r[1])
-
-
-def _buckets(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, str]:
-    return {b: path for b, n, path in _versions(spark, folder) if below is None or n < below}
-
-
-def _sweep(spark: SparkSession, folder: str, keep: int = 3) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    by: dict[int, list[str]] = {}
-    for b, _, path in _versions(spark, folder):
-        by.setdefault(b, []).append(path)
-    for paths in by.values():
-        for path in paths[:-keep]:
-            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
-
-
 def snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The newest committed rows of all buckets; an empty table of ``schema`` where there is none."""
-    paths = list(_buckets(spark, folder).values())
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    """The rows of the newest commit, in the columns of ``schema``; an empty table where there is none."""
+    rows = BucketTable(spark, folder, []).read()
+    empty = spark.createDataFrame([], schema)
+    return empty if rows is None else rows.select(*empty.columns)
 
 
 def failure_runs(probes: DataFrame, keys: list[str], order: list[str], ok: str = "ok") -> DataFrame:

@@ -527,7 +527,7 @@ def test_collector(spark, tmp_path):
     source.close()
     stream = health.normalized(health.messages(spark, f"{tmp_path}/in"))
     for _ in range(2):  # the second run finds nothing new
-        health.maintain(stream, f"{tmp_path}/state", ["swarm_id", "replica_id"], ["state"], f"{tmp_path}/offsets").awaitTermination()
+        health.maintain(stream, f"{tmp_path}/state", ["swarm_id", "replica_id"], f"{tmp_path}/offsets", ("state",)).awaitTermination()
     rows = health.snapshot(spark, f"{tmp_path}/state", "swarm_id string, replica_id int, state string, last_seen timestamp").collect()
     assert {(r.replica_id, r.state) for r in rows} == {(1, "at3"), (2, "at2")} and all(r.last_seen for r in rows)
     assert health.snapshot(spark, f"{tmp_path}/none", "swarm_id string").count() == 0
