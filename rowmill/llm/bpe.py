@@ -2,9 +2,12 @@
 
 Texts are split into words task by task. A block of texts (``BLOCK`` words at most, unless one text has
 more) keeps its distinct words in a dictionary and each text as places in it, so a word of a thousand
-texts travels once. The distinct words of all dictionaries are encoded by the ``tokenizers`` library,
-joined back to the dictionaries by the word itself, and ids are joined with the vocabulary's pieces. A
-block's ids, pieces and texts then meet in one task, in that order, and texts stream past them.
+texts travels once. The distinct-word table deals the words of all dictionaries by their hash; there each
+distinct word is encoded once by the ``tokenizers`` library, and the ids go back to their places in the
+dictionaries. The ids that a block uses are joined with the vocabulary's pieces. Texts, which lie in
+buckets by block, then meet their block's ids and pieces; only words, ids and pieces are shuffled.
+
+Rows of the distinct-word table hold a block's words of one hash group, compressed.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -25,9 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.llm.packing import PATTERN, byte_of_sign
-from rowmill.llm.shared import cut, give_back, map_batches
+from rowmill.llm.shared import cut, give_back, map_batches, word_hashes
+from rowmill.sources.scratch import scratch
 
 BLOCK = 4_000_000
+#: Hash groups of the distinct-word table; a task holds one group's distinct words at a time.
+GROUPS = 512
+#: Words that a task knows the ids of at a time; in a group of more some are encoded again.
+KNOWN = 1_000_000
+#: Texts, and words of texts, in a row.
+TEXTS, WORDS = 1000, 250_000
 #: Vocabularies of up to so many pieces (some 20 MB) are broadcast.
 BROADCAST = 1_000_000
 
@@ -91,65 +102,123 @@ def splitter(path: str) -> Splitter:
     return Splitter(path)
 
 
-def packed(places: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, byte by byte apart: high bytes of small numbers are alike."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def packed(*lists: np.ndarray, tail: bytes = b"") -> bytes:
+    """Lists of numbers below 2^32, and bytes, as compressed bytes. The numbers' first, second, third and fourth bytes lie apart: high bytes of small numbers are alike."""
+    head = np.array([len(lists), *map(len, lists)], "<u4").tobytes()
+    planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in lists]
+    return zstandard.ZstdCompressor(level=9).compress(head + b"".join(planes) + tail)
+
+
+def unpacked(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    count = int.from_bytes(data[:4], "little")
+    sizes, at, out = np.frombuffer(data[4 : 4 + 4 * count], "<u4").tolist(), 4 + 4 * count, []
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(data[at : at + 4 * n], np.uint8).reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out, data[at:]
+
 
+def packed_words(words: list[bytes], at: np.ndarray) -> bytes:
+    """Words and their places in the dictionary, which rise, as steps from one to the next."""
+    return packed(np.diff(at, prepend=np.uint32(0)), np.array([len(w) for w in words], np.uint32), tail=b"".join(words))
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+def unpacked_words(data: bytes) -> tuple[np.ndarray, list[str]]:
+    (at, sizes), body = unpacked(data)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return at, [body[e - n : e].decode() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def in_blocks(docs: DataFrame, path: str) -> DataFrame:
-    """kind, block, at, word | doc_id, places: kind 0 the words of a block, kind 2 its texts."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("word", pa.string()), ("doc_id", pa.int64()), ("places", pa.binary())])
+    """kind, block, at, data, doc_ids: of kind 0 a block's words of the hash group ``at``, of kind 2 some of its texts as places in the dictionary."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+
+    def table(block: int, index: dict[str, int], ids: list, places: list[np.ndarray]) -> pa.RecordBatch:
+        words = [w.encode() for w in index]
+        often = np.argsort(-np.bincount(np.concatenate(places), minlength=len(words)), kind="stable")  # common words get small numbers
+        rank = np.empty(len(words), np.uint32)
+        rank[often] = np.arange(len(words))
+        group = (word_hashes(words) % np.uint64(GROUPS)).astype(np.int64)
+        order = np.lexsort((rank, group))
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        parts = np.split(order, starts[1:]) if len(order) else []
+        data = [packed_words([words[i] for i in part.tolist()], rank[part]) for part in parts]
+        runs, held = [0], 0  # texts that lie in a row together
+        for i, p in enumerate(places):
+            if i > runs[-1] and (i - runs[-1] >= TEXTS or held + len(p) > WORDS):
+                runs.append(i)
+                held = 0
+            held += len(p)
+        texts = [(places[i:j], ids[i:j]) for i, j in zip(runs, [*runs[1:], len(ids)], strict=True)]
+        data += [packed(np.array([len(p) for p in some], np.uint32), rank[np.concatenate(some)]) for some, _ in texts]
+        n, m = len(parts), len(texts)
+        at = [*[int(group[part[0]]) for part in parts], *range(m)]
+        kinds = np.repeat(np.array([0, 2], np.int32), [n, m])
+        names = pa.array([*[None] * n, *[some for _, some in texts]], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.full(n + m, block)), pa.array(at, pa.int32()), pa.array(data, pa.binary()), names], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = splitter(path).words
-        block = (TaskContext.get().partitionId() << 32) - 1
-
-        def table(index: dict[str, int], ids: list, places: list[bytes]) -> pa.RecordBatch:
-            n, m = len(index), len(ids)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array([0, 2], np.int32), [n, m])), pa.array(np.full(n + m, block)), pa.array(np.concatenate([np.arange(n), np.arange(m)]).astype(np.int32)),
-                pa.array([*index, *[None] * m], pa.string()), pa.array([*[None] * n, *ids], pa.int64()), pa.array([*[None] * n, *places], pa.binary()),
-            ], schema=schema)
-
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             index, ids, places, held = defaultdict(), [], [], 0
             index.default_factory = index.__len__
-            block += 1
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 found = words(text.as_py() or "")
                 if held and held + len(found) > BLOCK:
-                    yield table(index, ids, places)
+                    yield table(block, index, ids, places)
                     index, ids, places, held = defaultdict(), [], [], 0
                     index.default_factory = index.__len__
                     block += 1
                 held += len(found)
                 ids.append(doc_id)
-                places.append(packed(np.fromiter(map(index.__getitem__, found), np.uint32, len(found))))
+                places.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
             if ids:
-                yield table(index, ids, places)
+                yield table(block, index, ids, places)
+                block += 1
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind int, block long, at int, word string, doc_id long, places binary")
+    return rows.mapInArrow(run, "kind int, block long, at int, data binary, doc_ids array<long>")
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): each word's ids as packed unsigned 32-bit numbers."""
+def encoded(words: DataFrame, path: str) -> DataFrame:
+    """words (block, at group, data) -> block, kind, data: of kind 0 places in the block's dictionary with their ids, of kind 1 the distinct ids a task has found for a block.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer = _library(path)
-        ids = []
-        for at in range(0, batch.num_rows, 1000):
-            found = tokenizer.encode_batch(batch.column("word")[at : at + 1000].to_pylist(), add_special_tokens=False)
-            ids += [np.array(x.ids, "<u4").tobytes() for x in found]
-        return pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+    A group's rows come one after the other, and each of its distinct words is encoded at the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, now, known, used = _library(path), None, {}, {}
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "kind", "data"])
+
+        for batch in batches:
+            rows = []
+            for group, block, data in zip(*[batch.column(c).to_pylist() for c in ("at", "block", "data")], strict=True):
+                if group != now:
+                    now, known = group, {}
+                steps, words = unpacked_words(data)
+                known = {} if len(known) > KNOWN else known
+                new = [w for w in words if w not in known]
+                known.update(zip(new, [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch(new, add_special_tokens=False)], strict=True))
+                ids = [known[w] for w in words]
+                flat = np.concatenate(ids)
+                rows.append((block, 0, packed(steps, np.array([len(x) for x in ids], np.uint32), flat)))
+                used[block] = np.union1d(used[block], flat) if block in used else np.unique(flat)
+                if len(used) > 256:
+                    rows += [(b, 1, packed(x)) for b, x in used.items()]
+                    used = {}
+            if rows:
+                yield out(rows)
+        if used:
+            yield out([(b, 1, packed(x)) for b, x in used.items()])
+        give_back()
 
-    return map_batches(words.select("word"), run, "word string, ids binary")
+    rows = words.select("at", "block", "data").repartition("at").sortWithinPartitions("at", "block")
+    return rows.mapInArrow(run, "block long, kind int, data binary")
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,57 +245,59 @@ def with_pieces(rows: DataFrame, path: str) -> DataFrame:
     return rows.join(F.broadcast(pieces) if small else pieces, "id")
 
 
-def _met(docs: DataFrame, path: str, give: Callable[[np.ndarray, bytes], tuple], columns: str, fields: list[pa.Field]) -> DataFrame:
-    """doc_id and what ``give`` makes of each text's ids and decoded bytes."""
-    made = cut(in_blocks(docs, path), "bpe")
-    dictionary = made.where("kind = 0").select("block", "at", "word")
-    ids = cut(encoded_words(dictionary.select("word").distinct(), path), "bpe-words")
-    dictionary = dictionary.join(ids, "word").select("block", "at", "ids")
-    known = map_batches(dictionary.select("block", "ids"), _distinct_ids, "block long, id int").distinct()
-    none = lambda kind: F.lit(None).cast(kind)
-    parts = [
-        dictionary.select("block", F.lit(0).alias("kind"), "at", F.col("ids").alias("data"), none("long").alias("doc_id")),
-        with_pieces(known, path).select("block", F.lit(1).alias("kind"), F.col("id").alias("at"), F.col("piece").alias("data"), none("long").alias("doc_id")),
-        made.where("kind = 2").select("block", "kind", "at", F.col("places").alias("data"), "doc_id"),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("block").sortWithinPartitions("block", "kind", "at")
-    schema = pa.schema([("doc_id", pa.int64()), *fields])
+def _distinct(table: pa.Table) -> pa.Table:
+    ids = np.unique(np.concatenate([unpacked(x)[0][0] for x in table["data"].to_pylist()]))
+    return pa.table({"block": np.full(len(ids), table["block"][0].as_py()), "id": ids.astype(np.int32)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, pieces, flat, ends = None, [], {}, None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for block, kind, at, data, doc_id in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if block != now:
-                    now, words, pieces, flat = block, [], {}, None
-                if kind == 0:
-                    words.append(data)
-                elif kind == 1:
-                    pieces[at] = data
-                else:
-                    if flat is None:
-                        flat, ends = np.frombuffer(b"".join(words), "<u4"), np.cumsum([0, *[len(w) // 4 for w in words]])
-                    ids = gathered(flat, ends, unpacked(data))
-                    out.append((doc_id, *give(ids, b"".join(map(pieces.__getitem__, ids.tolist())))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        give_back()
 
-    return rows.mapInArrow(run, f"doc_id long, {columns}")
+class Dictionary:
+    """A block's ids by place, and pieces by id."""
+
+    def __init__(self, rows: pa.Table):
+        kind, data, ids = rows["kind"].to_pylist(), rows["data"].to_pylist(), rows["id"].to_pylist()
+        found = [unpacked(x)[0] for k, x in zip(kind, data, strict=True) if k == 0]
+        found = [(np.cumsum(steps), *rest) for steps, *rest in found]
+        at, sizes, self.flat = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint32) for i in range(3))
+        self.sizes, self.starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        self.sizes[at], self.starts[at] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
+        self.pieces = {i: x for k, i, x in zip(kind, ids, data, strict=True) if k == 1}
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        """The ids of all places, one after the other."""
+        n = self.sizes[places]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - (ends - n), n)]
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
-def _distinct_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = batch.column("ids").to_pylist()
-    pairs = np.column_stack([np.repeat(batch.column("block").to_numpy(), [len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4")])
-    pairs = np.unique(pairs, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32))], names=["block", "id"])
 
+def _met(docs: DataFrame, path: str, give: Callable[[np.ndarray, bytes], tuple], columns: str, fields: list[pa.Field]) -> DataFrame:
+    """doc_id and what ``give`` makes of each text's ids and decoded bytes."""
+    spark, table = docs.sparkSession, f"bpe_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = in_blocks(docs, path).write.bucketBy(buckets, "block").sortBy("kind").option("path", scratch(spark, table)).option("compression", "uncompressed")
+    made.saveAsTable(table)
+    texts = spark.table(table)
+    spark.sql(f"drop table {table}")  # only its name: the files stay in the scratch folder, and what has been read knows their place
+    ids = cut(encoded(texts.where("kind = 0"), path), "bpe-ids")
+    used = ids.where("kind = 1").select("block", "data").groupBy("block").applyInArrow(_distinct, "block long, id int")
+    right = ids.where("kind = 0").select("block", "kind", F.lit(None).cast("int").alias("id"), "data")
+    right = right.unionByName(with_pieces(used, path).select("block", F.lit(1).alias("kind"), "id", F.col("piece").alias("data")))
+    left = texts.where("kind = 2").select("block", "doc_ids", "data")
+    schema = pa.schema([("doc_id", pa.int64()), *fields])
 
-def gathered(flat: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The runs ``flat[ends[p]:ends[p + 1]]`` of all places p, one after the other."""
-    n = ends[places + 1] - ends[places]
-    to = np.cumsum(n)
-    return flat[np.arange(to[-1] if len(to) else 0) + np.repeat(ends[places] - (to - n), n)]
+    def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        known, out = Dictionary(rows), []
+        for names, data in zip(docs["doc_ids"].to_pylist(), docs["data"].to_pylist(), strict=True):
+            sizes, places = unpacked(data)[0]
+            for doc_id, some in zip(names, np.split(places, np.cumsum(sizes)[:-1]), strict=True):
+                ids = known.ids(some)
+                out.append((doc_id, *give(ids, known.decoded(ids))))
+        columns = zip(*out, strict=True) if out else [[] for _ in schema]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, f"doc_id long, {columns}")
 
 
 def text_of(data: bytes) -> str:
