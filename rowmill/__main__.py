@@ -25,6 +25,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, help="only the first rows, in file order")
     p.add_argument("--checkpoints", metavar="FOLDER", help="where outputs are kept; by default below spark.checkpoint.dir")
     p.add_argument("--tag", help="name of the checkpoint; by default it belongs to the input's bytes and the output")
+    p.add_argument("--identity", choices=("content", "footers"), default="content", help="know the input by all its bytes, or by its files' lengths and last bytes")
     p.add_argument("--no-resume", action="store_true", help="begin a fresh checkpoint")
     p.add_argument("--no-checkpoint", action="store_true")
     p.add_argument("--flush-every", type=int, default=10_000, metavar="ROWS")
@@ -52,7 +53,7 @@ def main(argv: Sequence[str] | None = None) -> str | None:
     if a.input_column:
         job.input_column = a.input_column
     base = full_path(a.checkpoints) if a.checkpoints else f"{shared_folder(spark)}/rowmill-runs"
-    folder = checkpoint_folder(spark, base, job, a.input, a.output, a.tag, resume=not a.no_resume, keep=not a.no_checkpoint)
+    folder = checkpoint_folder(spark, base, job, a.input, a.output, a.tag, resume=not a.no_resume, keep=not a.no_checkpoint, footers=a.identity == "footers")
     df = read_dataset(spark, a.input, a.limit, **settings_of(a.read_options))
     options = settings_of(a.write_options)
     if a.shards > 1:

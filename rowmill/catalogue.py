@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowmill.functions import metrics as M
 from rowmill.operators import ids, jobs, joins, state
 from rowmill.operators.checkpoint import Checkpoint
 from rowmill.operators.transform import RowJob, map_rows
 from rowmill.plans.run import OutputMode, joined, run
-from rowmill.sources import files
+from rowmill.sources import blocks, files, logs, stores
 from rowmill.sources.scratch import scratch
 from rowmill.streaming import health
 
@@ -477,7 +478,7 @@ def file_digests(spark, d):
     path = work_folder(spark)
     lines = t(spark, d, "events").select("event_type", F.format_string("e%06d", F.col("event_id") % 100000).alias("value"), "event_id")
     lines.coalesce(1).sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
-    found = files.content_digest(spark, path).where("path like '%.txt'")
+    found = blocks.content_digest(spark, path).where("path like '%.txt'")
     return found.select(F.concat(F.lit("event-"), F.regexp_extract("path", "event_type=([^/]+)/", 1), F.lit(".txt")).alias("name"), "length", "digest")
 
 
@@ -494,16 +495,28 @@ LOGS = "l AS (SELECT event_type AS log, 'event ' || event_id AS line, row_number
 
 @query(f"WITH {LOGS} SELECT log, nth - greatest(0, n - 10) AS \"at\", line FROM l WHERE nth > n - 10")
 def log_tail(spark, d):
-    rows = files.log_tail(spark, _logs(spark, d))
+    rows = logs.log_tail(spark, _logs(spark, d))
     return rows.select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("log"), F.col("at").cast("long").alias("at"), "line")
 
 
-@query(f"WITH {LOGS} SELECT log, nth AS \"at\", line FROM l WHERE nth > 7")
+@query(f"WITH {LOGS}, o AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY log ORDER BY nth) - length(line) - 1 AS BIGINT) AS \"at\" FROM l) SELECT log, \"at\", line FROM o WHERE nth > 7")
 def log_drain(spark, d):
-    path = _logs(spark, d)
-    seen = {r.file: 7 for r in files.log_tail(spark, path, 1).collect()}
-    rows = files.log_drain(spark, path, seen)
-    return rows.select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("log"), F.col("at").cast("long").alias("at"), "line")
+    """A stream drains logs of seven lines; then they have grown, and a second run goes on at its offsets."""
+    folder, whole = work_folder(spark), _logs(spark, d)
+    cls, fs = stores.hadoop(spark, folder)
+    lines = spark.read.text(whole).select("event_type", "value", F.expr("cast(substr(value, 7) as long) as nth"))
+    few = lines.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy("nth"))).where("rank <= 7")
+    few.coalesce(1).sortWithinPartitions("event_type", "nth").select("event_type", "value").write.partitionBy("event_type").text(f"{folder}/few")
+    for out, source in (("first", f"{folder}/few"), ("second", whole)):
+        for part in stores.names(spark, f"{source}/event_type=*/part-*"):
+            log = f"{folder}/logs/{part.split('/')[-2]}/log.txt"
+            fs.mkdirs(cls(log).getParent())
+            fs.delete(cls(log), False)
+            fs.rename(cls(part), cls(log))
+        stream = logs.log_stream(spark, f"{folder}/logs").writeStream.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True)
+        stream.foreachBatch(lambda rows, n, out=out: rows.write.mode("append").parquet(f"{folder}/{out}")).start().awaitTermination()
+    rows = spark.read.schema("file string, at long, line string").parquet(f"{folder}/second")
+    return rows.select(F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("log"), "at", "line")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PENDING' ELSE 'INITIALIZING' END AS phase FROM orders")

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from rowmill.operators.transform import RowJob
-from rowmill.sources.files import dataset_digest
+from rowmill.sources.blocks import dataset_digest
 
 
 def settings_of(text: str | None) -> dict[str, Any]:
@@ -45,14 +45,14 @@ def load_job(name: str, settings: str | None = None, **defaults: Any) -> RowJob:
     return found(**(defaults | settings_of(settings)))
 
 
-def checkpoint_folder(spark: SparkSession, base: str, job: RowJob, source: str, target: str, tag: str | None = None, resume: bool = True, keep: bool = True) -> str | None:
+def checkpoint_folder(spark: SparkSession, base: str, job: RowJob, source: str, target: str, tag: str | None = None, resume: bool = True, keep: bool = True, footers: bool = False) -> str | None:
     """Where a run keeps its outputs: the same for the same job, input bytes and target, or for the same ``tag``.
 
-    ``resume=False`` names a fresh folder; ``keep=False`` keeps nothing and cannot be joined with it.
+    ``source`` may be a pattern; ``footers`` knows it by its files' lengths and ends (``content_digest``). ``resume=False`` names a fresh folder; ``keep=False`` keeps nothing and cannot be joined with it.
     """
     if not keep:
         if not resume:
             raise ValueError("a run that keeps no checkpoint has nothing to resume")
         return None
-    tag = tag or f"{dataset_digest(spark, source)}-{hashlib.sha256(target.encode()).hexdigest()[:16]}"
+    tag = tag or f"{dataset_digest(spark, source, footers)}-{hashlib.sha256(target.encode()).hexdigest()[:16]}"
     return f"{base.rstrip('/')}/{type(job).__name__}_{tag}" + ("" if resume else f"_{uuid.uuid4().hex[:8]}")

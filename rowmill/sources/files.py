@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import math
 import os
-import urllib.parse
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,14 +70,6 @@ def _matches(spark: SparkSession, paths: list[str]) -> list[str]:
     return list(found)
 
 
-def file_path(uri: str) -> str:
-    """The local path of a path or of a ``file`` URI; other schemes are errors."""
-    parts = urllib.parse.urlsplit(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"{uri} is not on the local file system")
-    return urllib.parse.unquote(parts.path) if parts.scheme else uri
-
-
 def read_dataset(spark: SparkSession, path: str, limit: int | None = None, **options) -> DataFrame:
     """A directory (Parquet), a pattern with numeric ranges or globs (Parquet), or one file by its suffix.
 
@@ -144,15 +135,11 @@ def _fs(spark: SparkSession, folder: str):
     return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _in_shards(df: DataFrame, column: str, nshards: int) -> DataFrame:
-    """Each shard in one task of its own."""
-    return df.repartitionById(nshards, F.col(column))
-
-
 def write_dataset(df: DataFrame, path: str, nshards: int = 1, order: str | None = None, mode: str = "overwrite", single: bool = False, **options) -> None:
     """By suffix: Parquet, CSV or JSON lines. Each is a folder of part files that tasks write side by side.
 
-    With ``nshards`` rows are cut by ``order`` into runs of equal size, each its own ``shard=i`` folder.
+    With ``nshards`` rows are cut by ``order`` into runs of equal size, each its own ``shard=i`` folder, whose
+    files are as many as the sorted parts that the run spans; no task gathers a shard.
     ``single`` makes one file of that very name, written by one task: for tables of a size that a task can write.
     """
     path = full_path(path)
@@ -173,7 +160,7 @@ def write_dataset(df: DataFrame, path: str, nshards: int = 1, order: str | None
 
         if not order:
             raise ValueError("sharded output needs a column to order by")
-        writer = _in_shards(ceil_chunks(df, order, nshards, "shard"), "shard", nshards).sortWithinPartitions("shard", order).write.partitionBy("shard")
+        writer = ceil_chunks(df, order, nshards, "shard").sortWithinPartitions("shard", order).write.partitionBy("shard")
     writer.format(kind).mode(mode).options(**options).save(path)
 
 
@@ -197,11 +184,6 @@ def _move_one(path, fs, found, target: str, name: str) -> None:
         raise RuntimeError(f"cannot move a part file to {target}")
 
 
-def json_rows(df: DataFrame, column: str = "json") -> DataFrame:
-    """Each row as compact JSON with sorted keys."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias(column))
-
-
 def write_named_shards(df: DataFrame, folder: str, nshards: int, order: str, lone: str = "data.parquet") -> list[str]:
     """Runs of equal size by ``order`` as single files ``data-<i>.parquet``; fewer rows than shards give fewer files.
 
@@ -221,41 +203,8 @@ def write_named_shards(df: DataFrame, folder: str, nshards: int, order: str, lon
         _single(df.limit(0).coalesce(1), f"{folder}/{shard_names(nshards)[0]}", "parquet", {})
         return shard_names(nshards)[:1]
     beside = f"{folder}/_writing-{uuid.uuid4().hex}"
-    _in_shards(parts, shard, nshards).sortWithinPartitions(shard, order).write.option("maxRecordsPerFile", 0).partitionBy(shard).parquet(beside)
+    parts.repartitionById(nshards, F.col(shard)).sortWithinPartitions(shard, order).write.option("maxRecordsPerFile", 0).partitionBy(shard).parquet(beside)
     for i, name in enumerate(names[:made]):
         _move_one(path, fs, fs.globStatus(path(f"{beside}/{shard}={i}/part-*.parquet")) or (), f"{folder}/{name}", name)
     fs.delete(path(beside), True)
     return names[:made]
-
-
-def content_digest(spark: SparkSession, path: str, bits: int = 256) -> DataFrame:
-    """path, length, digest of every file under ``path``, hashed where it is read; and so a dataset's identity."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(full_path(path))
-    return files.select("path", "length", F.sha2("content", bits).alias("digest"))
-
-
-def dataset_digest(spark: SparkSession, path: str) -> str:
-    """First 8 signs of a hash over the sorted file digests; one short row a file reaches the driver's aggregate."""
-    rows = content_digest(spark, path).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256)).first()
-    return rows[0][:8]
-
-
-def log_tail(spark: SparkSession, path: str, lines: int = 10) -> DataFrame:
-    """The last lines of each log file under ``path``: file, at (from 1), line."""
-    from pyspark.sql.window import Window
-
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-    rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("_at")))).where(F.col("_last") <= lines)
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_at")).alias("at"), "line")
-
-
-def log_drain(spark: SparkSession, path: str, seen: dict[str, int] | None = None) -> DataFrame:
-    """file, at (from 1), line: what was added to each log since ``seen`` (lines read of each file); all lines without it."""
-    from pyspark.sql.window import Window
-
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-    rows = rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_at")).alias("at"), "line")
-    if not seen:
-        return rows
-    table = spark.createDataFrame(list(seen.items()), "_file string, _seen int")
-    return rows.join(table, F.col("file") == F.col("_file"), "left").where("at > coalesce(_seen, 0)").select("file", "at", "line")

@@ -488,14 +488,6 @@ def test_fingerprint(spark):
     assert ids.fingerprint(df, "doc_id", "messages") != ids.fingerprint(df.withColumn("messages", F.col("messages") + 1), "doc_id", "messages")
 
 
-def test_dataset_digest(spark, tmp_path):
-    for name, text in (("a", "1"), ("b", "2")):
-        (tmp_path / name).write_text(text)
-    one = files.dataset_digest(spark, str(tmp_path))
-    (tmp_path / "b").write_text("3")
-    assert len(one) == 8 and files.dataset_digest(spark, str(tmp_path)) != one
-
-
 def test_health_machine(spark, tmp_path):
     probes = [("s", 1, float(i), ok) for i, ok in enumerate([True, False, False, False, False, True, False])]
     spark.createDataFrame(probes, "swarm_id string, replica_id int, at double, ok boolean").write.parquet(f"{tmp_path}/in")
