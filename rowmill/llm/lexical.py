@@ -63,7 +63,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     every = every.select("row", "doc_id", "n", "p.term", "p.tf")
     if only is not None:
         some = bounded(only.select("term", F.lit(True).alias("__asked")))
-        every = every.where("term is not null").join(some, "term").drop("__asked").unionByName(every.where("term is null"))
+        every = every.join(some, "term", "left").where("term is null or __asked").drop("__asked")
     slices = max(1, -(-docs.count() // SLICE))
     every = every.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int"))
     every = every.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(slices)))
