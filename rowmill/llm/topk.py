@@ -71,7 +71,7 @@ def distances(x: np.ndarray, last: np.ndarray, pivots: np.ndarray) -> np.ndarray
 
 
 def products(q: np.ndarray, base: np.ndarray, top: float) -> np.ndarray:
-    """q @ base.T in exact integers; ``top`` bounds all squared norms, and so every partial sum."""
+    """q @ base.T in exact integers; ``top`` bounds all squared norms, those of queries too, and so every partial sum."""
     if top < 2.0**52:
         return (q @ base.T).astype(np.int64)
     if top < 2.0**62:
@@ -92,10 +92,10 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def nearest_first(q: np.ndarray, d: np.ndarray, own: np.ndarray, floor: np.ndarray, base: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, top: float, near: int = 2048) -> list[tuple[np.ndarray, np.ndarray]]:
+def nearest_first(q: np.ndarray, d: np.ndarray, own: np.ndarray, floor: np.ndarray, base: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, top: float, most: float, near: int = 2048) -> list[tuple[np.ndarray, np.ndarray]]:
     """(positions, scores) of each query's best rows of a cell, which is sorted by ``r``, of scores from ``floor`` on.
 
-    d: the queries' distances to the pivot. The ``near`` rows around them are read first; the floors they
+    d: the queries' distances to the pivot; top: the largest squared norm of the rows, most: of rows and queries. The ``near`` rows around them are read first; the floors they
     give bound the distances of all other rows that can still count.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
@@ -106,7 +106,7 @@ def nearest_first(q: np.ndarray, d: np.ndarray, own: np.ndarray, floor: np.ndarr
         some = order[start : start + 64]
         a = max(0, min(int(np.searchsorted(r, np.median(d[some]))) - near // 2, len(r) - near))
         b = min(len(r), a + near)
-        spans, got = [(a, b)], [products(q[some], base[a:b], top)]
+        spans, got = [(a, b)], [products(q[some], base[a:b], most)]
         bars = []
         for i, row in zip(some.tolist(), got[0], strict=True):
             row = row[ids[a:b] != own[i]]
@@ -117,7 +117,7 @@ def nearest_first(q: np.ndarray, d: np.ndarray, own: np.ndarray, floor: np.ndarr
         for x, y in ((lo, a), (b, hi)):
             if x < y:
                 spans.append((x, y))
-                got.append(products(q[some], base[x:y], top))
+                got.append(products(q[some], base[x:y], most))
         at, block = np.concatenate([np.arange(x, y) for x, y in spans]), np.concatenate(got, 1)
         for i, row, bar in zip(some.tolist(), block, bars, strict=True):
             good = np.flatnonzero((row >= bar) & (ids[at] != own[i]))
@@ -129,18 +129,20 @@ def nearest_first(q: np.ndarray, d: np.ndarray, own: np.ndarray, floor: np.ndarr
 def search(queries: DataFrame, vectors: DataFrame, index: PivotIndex = PivotIndex()) -> DataFrame:
     """queries, vectors (vec_id long, v array<double> of integers) -> query_id, rank, vec_id, score.
 
-    A query's own row (equal vec_id) is no candidate. Vectors of unequal length count as filled with
-    zeros. Rows that repeat an id and vector are candidates each on their own, a repeated query is
+    Queries need not be among the vectors. A query's own row (equal vec_id) is no candidate. Vectors of unequal
+    length, queries longer than all vectors too, count as filled with zeros. Rows that repeat an id and vector are candidates each on their own, a repeated query is
     asked once, and two vectors of one query_id have a list each. Scores beyond a long are ranked
     exactly (up to 38 digits) and given as the nearest long. Empty tables give an empty result.
     """
     spark, k = vectors.sparkSession, index.k
     schema = "query_id long, rank int, vec_id long, score long"
-    shape = vectors.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")), F.count("*")).first()
-    if not shape[2]:
+    size = [F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")), F.count("*")]
+    shape, of_queries = vectors.agg(*size).first(), queries.agg(*size).first()
+    if not shape[2] or not of_queries[2]:
         return spark.createDataFrame([], schema)
-    width, top = shape[0], shape[1]
-    kind, arrow, lowest = ("long", pa.int64(), -(1 << 62)) if top < 2.0**62 else ("decimal(38,0)", pa.decimal128(38), 1 - 10**38)
+    width, top = max(shape[0], of_queries[0]), shape[1]
+    most = max(top, of_queries[1])  # an inner product is no larger than the product of two norms
+    kind, arrow, lowest = ("long", pa.int64(), -(1 << 62)) if most < 2.0**62 else ("decimal(38,0)", pa.decimal128(38), 1 - 10**38)
     lowest_column = F.lit(str(lowest)).cast(kind)
     picked = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(index.sample).select("v").toArrow()
     known = matrix(picked["v"], width)
@@ -208,7 +210,7 @@ def search(queries: DataFrame, vectors: DataFrame, index: PivotIndex = PivotInde
         right = right.sort_by([("r", "ascending"), ("vec_id", "ascending")])
         ids, base, r = right["vec_id"].to_numpy(), matrix(right["v"], width), right["r"].to_numpy()
         qid, mark = left["query_id"].to_numpy(), left["mark"].to_numpy()
-        found = nearest_first(matrix(left["v"], width), left["d"].to_numpy(), qid, left["floor"].to_numpy(), base, r, ids, k, top) if len(ids) and len(qid) else []
+        found = nearest_first(matrix(left["v"], width), left["d"].to_numpy(), qid, left["floor"].to_numpy(), base, r, ids, k, top, most) if len(ids) and len(qid) else []
         n = [len(at) for at, _ in found]
         at = np.concatenate([at for at, _ in found]) if found else np.empty(0, np.int64)
         score = [max(lowest, min(-lowest, Decimal(int(x)))) if kind != "long" else int(x) for _, row in found for x in row]
