@@ -33,7 +33,8 @@ from rowmill.llm.shared import cut, join_hot, scratch
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, content_length long, headers map<string,string>, payload binary"
 HEADER = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
-MANIFEST = "_manifest.json"
+#: Each write has a manifest of its own; readers take all of them.
+MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -41,6 +42,12 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def manifests_of(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The manifests of all writes to the folder, the earliest first."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return [x.path for x in sorted((x for x in found if x.base_name.startswith(MANIFEST)), key=lambda x: (x.mtime_ns or 0, x.path))]
+
+
 def _value(text: object) -> str:
     return urllib.parse.quote(str(text), safe="".join(map(chr, range(33, 127))) + " ", encoding="utf-8")
 
@@ -200,11 +207,11 @@ class WarcReader(DataSourceReader):
             return [Range(self.path, 0, info.size)]
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        manifest = f"{root}/{MANIFEST}"
-        base = self.path.rstrip("/")
-        if fs.get_file_info(manifest).type == pafs.FileType.File:
+        base, files = self.path.rstrip("/"), []
+        for manifest in (manifests := manifests_of(fs, root)):
             with fs.open_input_stream(manifest) as f:
-                files = json.loads(f.read())
+                files += json.loads(f.read())
+        if manifests:
             return [Range(f"{base}/{x['name']}", a, b) for x in files for a, b in zip(x["marks"][:-1], x["marks"][1:], strict=True)]
         found = sorted((x.base_name, x.size) for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz")))
         return [Range(f"{base}/{name}", 0, size) for name, size in found]
@@ -256,8 +263,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Rows (page_id, url, digest, refers_to, payload); payload null makes a revisit."""
 
-    def __init__(self, options: dict):
-        self.path, self.zip = options["path"].rstrip("/"), options.get("compression", "gzip") == "gzip"
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.zip, self.overwrite = options["path"].rstrip("/"), options.get("compression", "gzip") == "gzip", overwrite
         self.roll, self.mark = int(options.get("fileBytes", 256 << 20)), int(options.get("splitBytes", 8 << 20))
 
     def write(self, iterator) -> Written:
@@ -288,8 +295,17 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        before = manifests_of(fs, root)
+        beside, name = f"{root}/.{uuid.uuid4().hex}", f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(beside, compression=None) as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        fs.move(beside, name)
+        for manifest in before if self.overwrite else ():
+            with fs.open_input_stream(manifest) as f:
+                gone = json.loads(f.read())
+            fs.delete_file(manifest)
+            for x in gone:
+                fs.delete_file(f"{root}/{x['name']}")
 
     def abort(self, messages) -> None:
         fs, root = opened(self.path)
@@ -311,7 +327,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -320,7 +336,7 @@ def register(spark: SparkSession) -> None:
 
 
 def archive(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
-    """Write every row of ``pages`` (page_id, url, html) as a record under ``path``.
+    """Write every row of ``pages`` (page_id, url, html) as a record under ``path``, beside what is there.
 
     Of records with equal payloads of ``least`` bytes or more, the one with the largest page_id is the
     response. A null html is an empty payload; a null page_id is smaller than any other, and where
