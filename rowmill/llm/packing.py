@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.shared import map_batches, utf8
+from rowmill.llm.shared import cut, map_batches
 
 #: The split pattern of the byte-level tokenizer files (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,13 +141,17 @@ def tokenized(docs: DataFrame, path: str, length: int, with_ids: bool = False) -
 def pack(docs: DataFrame, path: str, length: int = 1024, group: int = 2000, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]: one row per piece.
 
-    Every document ends with id 0, so a null or empty text is one piece of one token. Rows are packed
+    Every document ends with id 0, so a null or empty text is one piece of one token. Pieces that fill a
+    sequence have it to themselves (its id is negative) and are not shuffled, so a group holds one piece a document at
+    most, however long texts are; pieces are written first, and so a task that runs again deals the same ones. Rows are packed
     apart from each other, also where they repeat an id; a null doc_id is packed like any other. Ties
     in length go by doc_id and start. Other columns of ``docs`` are not read.
     """
     groups = max(1, -(-docs.count() // group))
-    pieces = tokenized(docs, path, length, with_ids)
-    pieces = pieces.withColumn("pack", F.expr(f"pmod(xxhash64(doc_id, doc_tokens, lot), {groups}L)"))
+    pieces = cut(tokenized(docs, path, length, with_ids), "pieces")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    full = pieces.where(F.col("length") == length).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = pieces.where(F.col("length") < length).withColumn("pack", F.expr(f"pmod(xxhash64(doc_id, doc_tokens, lot), {groups}L)"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -156,4 +160,5 @@ def pack(docs: DataFrame, path: str, length: int = 1024, group: int = 2000, with
         return table.drop_columns(["lot", "pack"]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, " + "ids array<int>, " * with_ids) + "sequence_id long, offset long"
-    return pieces.groupBy("pack").applyInArrow(run, schema)
+    order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "lot", *["ids"] * with_ids, "pack"]
+    return rests.select(*order).groupBy("pack").applyInArrow(run, schema).unionByName(full)
