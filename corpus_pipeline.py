@@ -15,7 +15,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks are cut out; every document stays. Null and empty texts stay as they are; rows that repeat id and text count as one occurrence."""
+    """Repeated multi-line chunks are cut out; every document stays. Null and empty texts stay as they are; of rows that repeat id and text the first stays whole."""
     return linededup.without_repeats(docs)
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rowmill.llm.shared import cut, each_batch, gram_hashes, join_hot, map_batches, utf8
 
@@ -113,36 +114,81 @@ def _changes(docs: DataFrame, rows: DataFrame) -> DataFrame:
             out.append(text.decode())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(shas), pa.array(out, pa.string())], names=["d", "m", "n_removed", "new_sha", "new_text"])
 
-    # rows that repeat id and text are changed alike, and once here
+    # of rows that repeat id and text, the first is changed so
     source = texts.select("doc_id", "mark", "text").dropDuplicates(["doc_id", "mark"])
     changed = source.join(gone, F.expr("doc_id <=> d and mark = m")).select("doc_id", "mark", "text", "gone")
     return map_batches(changed, cut_out, "d long, m long, n_removed long, new_sha string, new_text string")
 
 
+def _copies(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(d, m, first, n_again, again_sha, again_text): what rows that repeat id and text become, but for the one at ``first``; None where there are none.
+
+    Each of their chunks occurs in that one too, so they lose all that can be removed.
+    """
+    twice = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
+    twice = cut(twice.selectExpr("doc_id as d", "mark as m", "first"), "lines-copies")
+    if twice.isEmpty():
+        return None
+    # one text of each: the first row's, found by its place
+    texts = _placed(docs).join(twice.select("d", "m", F.col("first")), F.expr("doc_id <=> d and mark = m and row = first"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, shas, out = [], [], []
+        for text in utf8(batch.column("text")):
+            lines = (text or b"").split(b"\n") if text else []
+            drop = {a for a, _, _ in repeated(lines)}
+            kept = [x for a, b in chunks(lines) if a not in drop for x in lines[a:b]]
+            left = b"\n".join(kept)
+            counts.append(len(lines) - len(kept))
+            shas.append(hashlib.sha256(left).hexdigest())
+            out.append(left.decode())
+        names = ["d", "m", "first", "n_again", "again_sha", "again_text"]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(counts, pa.int64()), pa.array(shas), pa.array(out, pa.string())], names=names)
+
+    return map_batches(texts.select("d", "m", "first", "text"), run, "d long, m long, first long, n_again long, again_sha string, again_text string")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text, row: as ``_marked``, with the place of each row."""
+    return _marked(docs).withColumn("row", F.monotonically_increasing_id())
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 for every row of ``docs`` (doc_id and text are read).
 
-    A null or empty text has no lines. Rows that repeat both id and text count as one occurrence; a
-    null doc_id comes after all others. Nothing is removed from the first occurrence, so of equal
+    A null or empty text has no lines. Of rows that repeat both id and text the one that comes first in
+    ``docs`` is the first occurrence and the others lose what it has; so ``docs`` should be a table that is read the same
+    way again (files, not a shuffle). A null doc_id comes after all others. Nothing is removed from the first occurrence, so of equal
     texts one stays whole.
     """
-    rows = cut(_profile(docs), "lines")
+    rows = cut(_profile(docs).withColumn("row", F.monotonically_increasing_id()), "lines")
     changed = _changes(docs, rows).drop("new_text")
-    out = rows.select("doc_id", "mark", "n_lines", "sha").join(changed, F.expr("doc_id <=> d and mark = m"), "left")
-    return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("new_sha", "sha").alias("kept_sha256"))
+    out = rows.select("doc_id", "mark", "row", "n_lines", "sha").join(changed, F.expr("doc_id <=> d and mark = m"), "left").drop("d", "m")
+    n, sha = F.coalesce("n_removed", F.lit(0)), F.coalesce("new_sha", "sha")
+    if (copies := _copies(docs, rows)) is not None:
+        out = out.join(copies.drop("again_text"), F.expr("doc_id <=> d and mark = m"), "left")
+        n, sha = F.when(F.col("row") != F.col("first"), F.col("n_again")).otherwise(n), F.when(F.col("row") != F.col("first"), F.col("again_sha")).otherwise(sha)
+    return out.select("doc_id", "n_lines", n.cast("long").alias("n_removed"), sha.alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``; every row and column stays, ``n_chars`` is set anew where it changed."""
-    rows = cut(_profile(docs), "lines")
+    """``docs`` with repeated chunks cut out of ``text``; every row and column stays, ``n_chars`` is set anew where it changed. Rows are those of ``dedup_lines``."""
+    rows = cut(_profile(docs).withColumn("row", F.monotonically_increasing_id()), "lines")
     changed = cut(_changes(docs, rows).selectExpr("d as __line_d", "m as __line_m", "new_text as __line_text"), "lines-changed")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         marks = [xxhash.xxh3_64_intdigest(x or b"") - (1 << 63) for x in utf8(batch.column("text"))]
         return batch.append_column("__line_mark", pa.array(marks, pa.int64()))
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, __line_mark long"
-    out = docs.mapInArrow(each_batch(run), schema).join(changed, F.expr("doc_id <=> __line_d and __line_mark = __line_m"), "left")
+    schema = StructType([*docs.schema.fields, StructField("__line_mark", LongType())])
+    out = docs.mapInArrow(each_batch(run), schema).withColumn("__line_row", F.monotonically_increasing_id())
+    out = out.join(changed, F.expr("doc_id <=> __line_d and __line_mark = __line_m"), "left")
+    new = F.col("__line_text")
+    if (copies := _copies(docs, rows)) is not None:
+        copies = cut(copies.selectExpr("d as __copy_d", "m as __copy_m", "first as __copy_first", "n_again as __copy_n", "again_text as __copy_text"), "lines-copied")
+        out = out.join(copies, F.expr("doc_id <=> __copy_d and __line_mark = __copy_m"), "left")
+        new = F.when(F.col("__line_row") != F.col("__copy_first"), F.when(F.col("__copy_n") > 0, F.col("__copy_text"))).otherwise(new)
+    out = out.withColumn("__line_new", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__line_text").isNull(), F.col("n_chars")).otherwise(F.length("__line_text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.coalesce("__line_text", "text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__line_new").isNull(), F.col("n_chars")).otherwise(F.length("__line_new").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.coalesce("__line_new", "text")).select(*docs.columns)
