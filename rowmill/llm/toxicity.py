@@ -3,8 +3,9 @@
 A word is the bag of its character n-grams (runs of UTF-8 bytes, with marked ends) and itself, hashed into ``2 ** bits``
 buckets; each bucket has a vector of ``dim`` numbers. A text is the mean of its words' vectors, fed to
 a two-way softmax. Vectors and softmax are trained jointly in numpy. Only buckets that toxic and clean
-training texts hold in clearly different shares have a vector other than zero, so that rare n-grams
-are not learnt by heart. Misspelt words share n-grams, and so vectors, with what was seen. A word of more than ``LONG`` signs, as texts without white space are, is cut into overlapping
+training texts hold in clearly different shares (``apart``) have a vector other than zero, so that rare n-grams
+are not learnt by heart; n-grams that only a few toxic texts hold therefore say nothing, which is what limits
+unseen misspellings. Those that share n-grams with what was seen share their vectors. A word of more than ``LONG`` signs, as texts without white space are, is cut into overlapping
 pieces that count as words; every n-gram lies in one of them.
 
 Training runs in one task on an executor, over a sample bounded in rows and bytes; the driver sees
@@ -27,19 +28,21 @@ from rowmill.llm.shared import each_batch, give_back, gram_hashes, map_batches,
 @dataclass(frozen=True)
 class Settings:
     """apart: standard errors between the shares of toxic and clean texts that hold a bucket, at least; sample: labelled texts of
-    each class that training takes at most, those of smallest hash; longest: bytes of a training text at most.
+    each class that training takes at most, those of smallest hash; longest: bytes of a training text at most; folds: parts of the
+    training texts for the cut. ``apart``, ``bits``, ``high`` and ``steps`` were chosen by cross-validation inside the training rows.
     """
 
     dim: int = 4
-    bits: int = 18
+    bits: int = 20
     low: int = 3
-    high: int = 6
-    apart: float = 7
-    steps: int = 200
+    high: int = 5
+    apart: float = 5
+    steps: int = 60
     rate: float = 0.1
     decay: float = 1e-3
     sample: int = 3000
     longest: int = 20_000
+    folds: int = 3
     threshold: float = 0.3
     seed: int = 11
 
@@ -152,59 +155,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.odds(texts), -30, 30)))
 
 
-def _inputs(texts: list[bytes], y: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, weight) of the buckets that tell the classes ``apart``: the share of a text's mean that is the bucket's vector."""
-    ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for t in split(text, s) if (w := plain(t))], np.int32) for text in texts]
-    table, at = many_bags(list(ids), s)
-    del ids
-    size = np.diff(at)
+class Inputs:
+    """Training texts as buckets: what each one's mean gives to every bucket, and which buckets each text holds."""
 
-    def flat(words: np.ndarray, table: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, texts: list[bytes], s: Settings):
+        self.s, ids = s, {}
+        docs = [np.array([ids.setdefault(w, len(ids)) for t in split(text, s) if (w := plain(t))], np.int32) for text in texts]
+        self.table, self.at = many_bags(list(ids), s)
+        self.size = np.diff(self.at)
+        self.words = [np.unique(doc, return_counts=True) for doc in docs]
+        self.total = np.array([max(1, len(doc)) for doc in docs])
+        held = [np.unique(self._flat(words, self.table, self.at)[0]) for words, _ in self.words]
+        self.held, self.holder = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+
+    @staticmethod
+    def _flat(words: np.ndarray, table: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' buckets, word after word, and how many each word has."""
         n = at[words + 1] - at[words]
         return table[np.arange(n.sum()) + np.repeat(at[words] - (np.cumsum(n) - n), n)], n
 
-    held = np.zeros((2, 1 << s.bits))
-    for doc, toxic in zip(docs, y, strict=True):
-        held[toxic, np.unique(flat(np.unique(doc), table, at)[0])] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    both = held.sum(0) / len(y)
-    error = np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-    tells = np.abs(held[1] / n1 - held[0] / n0) > s.apart * np.maximum(error, 1e-12)
-    kept = tells[table]
-    at, table = np.concatenate([[0], np.cumsum(kept)])[at], table[kept]
-    of, buckets, weight = [], [], []
-    for i, doc in enumerate(docs):
-        words, times = np.unique(doc, return_counts=True)
-        found, n = flat(words, table, at)
-        buckets.append(found)
-        weight.append(np.repeat(times / size[words], n) / max(1, len(doc)))
-        of.append(np.full(len(found), i))
-    return np.concatenate(of), np.concatenate(buckets), np.concatenate(weight)
-
-
-def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model:
-    """Adagrad over all texts at once, classes weighing alike. Where there are not both classes, or nothing that tells them apart, the score is the share of toxic texts."""
-    y = np.asarray(toxic, int)
-    share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
-    constant = Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))), s)
-    if not 0 < y.sum() < len(y):
-        return constant
-    of, buckets, weight = _inputs(texts, y, s)
-    if not len(of):
-        return constant
-    used = np.flatnonzero(np.bincount(buckets, minlength=1 << s.bits))
-    own = np.zeros(1 << s.bits, np.int64)
-    own[used] = np.arange(len(used))
-    own = own[buckets]  # buckets, numbered anew
-    n, m = len(y), len(used)
-    scale = 1 / np.sqrt(np.bincount(own, weight * weight, m) / n)  # every bucket's input gets about the same spread
-    x = weight * scale[own]
+    def telling(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """The buckets whose shares among the toxic and the clean texts in ``use`` are ``apart``."""
+        some, m = use[self.holder], 1 << self.s.bits
+        toxic = np.bincount(self.held[some], y[self.holder[some]], m)
+        clean = np.bincount(self.held[some], 1 - y[self.holder[some]], m)
+        n1, n0 = y[use].sum(), (1 - y[use]).sum()
+        both = (toxic + clean) / (n1 + n0)
+        error = np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
+        return np.abs(toxic / n1 - clean / n0) > self.s.apart * np.maximum(error, 1e-12)
+
+    def of(self, tells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, weight) of the buckets that tell: the share of a text's mean that is the bucket's vector."""
+        kept = tells[self.table]
+        at, table = np.concatenate([[0], np.cumsum(kept)])[self.at], self.table[kept]
+        of, buckets, weight = [], [], []
+        for i, (words, times) in enumerate(self.words):
+            found, n = self._flat(words, table, at)
+            buckets.append(found)
+            weight.append(np.repeat(times / self.size[words], n) / self.total[i])
+            of.append(np.full(len(found), i))
+        return np.concatenate(of), np.concatenate(buckets), np.concatenate(weight)
+
+
+def _descend(of: np.ndarray, own: np.ndarray, x: np.ndarray, m: int, y: np.ndarray, use: np.ndarray, s: Settings) -> np.ndarray:
+    """Adagrad over all texts in ``use`` at once, classes weighing alike: what each of ``m`` buckets adds to the log odds."""
+    n = len(y)
     rng = np.random.default_rng(s.seed)
     vectors, softmax, bias = np.zeros((m, s.dim)), rng.normal(0, 0.3, (2, s.dim)), np.zeros(2)
     past, past_s, past_b = np.full(m, 1e-8), 1e-8, 1e-8
-    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    each = np.where(use, np.where(y == 1, 0.5 / y[use].sum(), 0.5 / (1 - y[use]).sum()), 0.0)
     for _ in range(s.steps):
         means = np.stack([np.bincount(of, vectors[own, j] * x, n) for j in range(s.dim)], 1)
         logits = means @ softmax.T + bias
@@ -220,9 +219,48 @@ def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model
         softmax -= s.rate * grad_s / np.sqrt(past_s)
         past_b += (grad_b * grad_b).sum()
         bias -= s.rate * grad_b / np.sqrt(past_b)
-    gain = vectors @ (softmax[1] - softmax[0]) * scale
+    return vectors @ (softmax[1] - softmax[0])
+
+
+def _learnt(inputs: Inputs, y: np.ndarray, use: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """From the texts in ``use``: the buckets that count, what each adds, and the log odds of all texts without a bias; None where nothing tells the classes apart."""
+    if not 0 < y[use].sum() < use.sum():
+        return None
+    of, buckets, weight = inputs.of(inputs.telling(y, use))
+    used = np.flatnonzero(np.bincount(buckets, use[of], 1 << s.bits)) if len(of) else np.empty(0, np.int64)
+    if not len(used):
+        return None
+    number = np.full(1 << s.bits, -1)
+    number[used] = np.arange(len(used))
+    known = number[buckets] >= 0
+    of, own, weight = of[known], number[buckets[known]], weight[known]  # buckets, numbered anew
+    scale = 1 / np.sqrt(np.bincount(own, weight * weight * use[of], len(used)) / use.sum())  # every bucket's input gets about the same spread
+    gain = _descend(of, own, weight * scale[own], len(used), y, use, s) * scale
+    return used, gain, np.bincount(of, gain[own] * weight, len(y))
+
+
+def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model:
+    """A model of all texts, with a cut between the classes that is found on texts which the models asked have not seen.
+
+    Each of ``folds`` parts of the texts (by their hash) gets its log odds from a model of the others. Where there are
+    not both classes, or nothing tells them apart, the score is the share of toxic texts.
+    """
+    y = np.asarray(toxic, int)
+    share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
+    constant = Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))), s)
+    if not 0 < y.sum() < len(y):
+        return constant
+    inputs = Inputs(texts, s)
+    found = _learnt(inputs, y, np.ones(len(y), bool), s)
+    if found is None:
+        return constant
+    used, gain, odds = found
+    fold = np.array([xxhash.xxh3_64_intdigest(t, seed=s.seed) % s.folds for t in texts])
+    for k in range(s.folds):
+        if (fold == k).any() and (left := _learnt(inputs, y, fold != k, s)):
+            odds = np.where(fold == k, left[2], odds)
     shift = float(np.log(s.threshold / (1 - s.threshold)))
-    return Model(used.astype(np.int64), gain, shift - _cut(np.bincount(of, gain[own] * weight, n), y), s)
+    return Model(used.astype(np.int64), gain, shift - _cut(odds, y), s)
 
 
 def _cut(z: np.ndarray, y: np.ndarray) -> float:

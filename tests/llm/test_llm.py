@@ -133,6 +133,22 @@ def test_topk_scores_are_exact_integers(spark, size):
     assert [r[:3] for r in got] == [r[:3] for r in sorted(x for q, v in ok if q % 100 == 0 for x in [(q, n, i, 0) for n, (_, i) in enumerate(sorted((-sum(int(float(a)) * int(float(b)) for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q)[:10], 1)])]
 
 
+@pytest.mark.parametrize("scale", [1, 1e4, 1e8])
+def test_topk_of_queries_from_outside(spark, scale):
+    """Queries that are larger and longer than all vectors, and some that are shorter."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(300)]
+    asked = [(5000 + i, [float(np.float32(x * scale)) for x in rng.normal(size=n)]) for i, n in enumerate([2, 4, 4, 7, 9])]
+    make = lambda r: topk.integers(spark.createDataFrame(r, "vec_id long, embedding array<float>"))
+    got = sorted(map(tuple, topk.search(make(asked), make(rows), topk.PivotIndex(pivots=4, sample=50)).collect()))
+    whole = lambda v: [math.floor(1024 * x) for x in v]
+    want = []
+    for q, v in asked:
+        best = sorted((-sum(a * b for a, b in zip(whole(v), whole(w), strict=False)), i) for i, w in rows)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 def test_topk_two_vectors_of_one_query(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [math.cos(i), math.sin(i)]) for i in range(1, 60)]
     vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
@@ -363,30 +379,42 @@ def boundaries(lines):
 
 
 def brute_lines(texts):
-    seen, out = {}, {}
-    order = sorted({(i is None, i, t or "") for i, t in texts}, key=lambda x: (x[0], x[1] or 0, linededup.xxhash.xxh3_64_intdigest(x[2].encode())))
-    for _, i, t in order:
+    """(doc_id, lines, removed lines, what is left) of every row, in the order in which occurrences count."""
+    seen, out = {}, []
+    order = sorted(enumerate(texts), key=lambda x: (x[1][0] is None, x[1][0] or 0, linededup.xxhash.xxh3_64_intdigest((x[1][1] or "").encode()), x[0]))
+    for row, (i, t) in order:
         lines, gone = (t.encode().split(b"\n") if t else []), set()
         for a, b in boundaries(lines):
             chunk = lines[a:b]
             while chunk and not chunk[-1].strip():
                 chunk.pop()
-            if sum(bool(x.strip()) for x in chunk) >= 2 and seen.setdefault(tuple(chunk), (i, t, a)) != (i, t, a):
+            if sum(bool(x.strip()) for x in chunk) >= 2 and seen.setdefault(tuple(chunk), (row, a)) != (row, a):
                 gone.update(range(a, b))
-        out[i, t] = len(lines), len(gone), b"\n".join(x for n, x in enumerate(lines) if n not in gone)
+        out.append((i, len(lines), len(gone), b"\n".join(x for n, x in enumerate(lines) if n not in gone)))
     return out
 
 
 def test_lines(docs, texts, empty):
     want = brute_lines(texts)
-    rows = Counter((i, want[i, t or ""][0], want[i, t or ""][1], hashlib.sha256(want[i, t or ""][2]).hexdigest()) for i, t in texts)
+    rows = Counter((i, n, gone, hashlib.sha256(left).hexdigest()) for i, n, gone, left in want)
     assert Counter(map(tuple, linededup.dedup_lines(docs).collect())) == rows
     assert sum(r[2] for r in rows) > 0
     out = linededup.without_repeats(docs)
-    assert out.columns == docs.columns and Counter((r.doc_id, r.text or "") for r in out.collect()) == Counter((i, want[i, t or ""][2].decode()) for i, t in texts)
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text or "") for r in out.collect()) == Counter((i, left.decode()) for i, _, _, left in want)
     assert linededup.dedup_lines(empty).count() == 0 and linededup.without_repeats(empty).count() == 0
 
 
+def test_lines_of_rows_that_repeat_id_and_text(spark):
+    body = "\n".join(f"a line of its own {i}" for i in range(40))
+    texts = [*[(1, body)] * 3, *[(None, body)] * 2, (2, "one\ntwo"), (2, "one\ntwo"), (3, "x"), (3, "x")]
+    df = spark.createDataFrame([(i, t, n, {"a": [n]}) for n, (i, t) in enumerate(texts)], "doc_id long, text string, n int, `odd name: x` map<string,array<int>>").coalesce(1)
+    want = Counter((i, n, gone, hashlib.sha256(left).hexdigest()) for i, n, gone, left in brute_lines(texts))
+    assert Counter(map(tuple, linededup.dedup_lines(df).collect())) == want
+    rows = linededup.without_repeats(df).collect()
+    assert len(rows) == 9 and sum(r.text == body for r in rows) == 1 and {r.n for r in rows} == set(range(9)) and all(r["odd name: x"] == {"a": [r.n]} for r in rows)
+    assert max(len(r.text) for r in rows if r.text != body) < len(body) / 4
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(7)
     lines = [f"line {rng.random()}".encode() for _ in range(200)]
@@ -620,3 +648,28 @@ def test_pipeline(spark, tmp_path):
             if r.start == 0 and r.length == r.doc_tokens:
                 texts[" ".join(tok.decode(r.ids[:-1]).split())] += 1
     assert texts and not texts - kept  # the pieces hold the texts that the mix gave
+
+
+def test_warc_archives_are_added_and_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    page = lambda *ids: spark.createDataFrame([(i, f"http://x/{i}", f"html {i}") for i in ids], "page_id long, url string, html string")
+    warc.archive(page(1, 2), path)
+    warc.archive(page(3), path, compression="none")
+    assert sorted(r.page_id for r in warc.read_back(spark, path).collect()) == [1, 2, 3]
+    rows = page(7).select("page_id", "url", F.lit("D").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.encode("html", "UTF-8").alias("payload"))
+    rows.write.format("warc").mode("overwrite").option("path", path).save()
+    assert [r.page_id for r in warc.read_back(spark, path).collect()] == [7] and len(list((tmp_path / "w").glob("*.warc*"))) == 1
+
+
+def test_full_pieces_stay_out_of_the_groups(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "a b"), (2, "a b"), (None, None), (3, long[:9000])], "doc_id long, text string")
+    rows = packing.pack(df, tokenizer_file(), with_ids=True).collect()
+    full = [r for r in rows if r.length == 1024]
+    assert len(full) > 500 and len({r.sequence_id for r in full}) == len(full) and all(r.sequence_id < 0 and r.offset == 0 for r in full)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))] for x in by.values())
+    assert sorted(i for r in rows if r.doc_id == 1 for i in range(r.start, r.start + r.length)) == list(range(next(r.doc_tokens for r in rows if r.doc_id == 1)))
