@@ -7,6 +7,7 @@ executors has a fixed size.
 
 from __future__ import annotations
 
+import random
 import zlib
 from dataclasses import dataclass
 
@@ -16,23 +17,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Words of hosts and paths that are to be blocked, and of others.
-UNWANTED = "casino poker bets slots jackpot roulette lottery pills pharma viagra loans payday replica knockoff warez torrent cracked keygen porn xxx escort nude camgirls adult hookup darknet malware phishing hacked botnet scam getrich crypto-double free-money win-cash cheap-meds".split()
-WANTED = "news library museum school college university science history garden kitchen recipes travel weather sports football music theatre cinema books poetry health clinic hospital law council transport railway map forum wiki docs software hardware photo craft family".split()
-TAILS = "win hub zone online best today club world direct plus now city land spot house".split()
+#: What unwanted sites are about, how they praise it, and words of other sites. Lists for the labelled table.
+TOPICS = (
+    "casino poker bets betting slots jackpot roulette lottery bingo blackjack wager sportsbook pokies pills pharma meds viagra cialis xanax steroids painkiller "
+    "diet-pills loans payday credit cash money crypto forex binary-options profits giveaway prize replica watches handbags sneakers warez torrent cracked keygen "
+    "serials nulled cheats porn xxx escort nude camgirls adult hookup webcam milf fetish malware phishing hacked botnet scam essay-writing followers backlinks"
+).split()
+PRAISE = "free cheap win best bonus online vip hot fast easy instant lucky top super mega deal double discount no-id no-deposit guaranteed secret 24 365 777 4u xtra buy get earn order unlimited real".split()
+WANTED = (
+    "news library museum school college university science history garden kitchen recipes travel weather sports football music theatre cinema books poetry health "
+    "clinic hospital law council transport railway map forum wiki docs software hardware photo craft family farm bakery church parish society archive gallery "
+    "observatory physics chemistry biology maths language grammar dictionary insurance bank tax housing energy water forest river mountain island harbour airport"
+).split()
+NEUTRAL = "my the our city north south old new open local national royal hub lab blog portal group house works today free best online top real fast 24 2000".split()
+ENDS, LANGS = ("com", "org", "net"), ("en", "de", "fr", "es")
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled URL table (url, blocked): each word with other words before and after it, in hosts and in paths."""
-    out = []
-    for words, blocked in ((WANTED, 0), (UNWANTED, 1)):
-        for i, word in enumerate(words):
-            for j, tail in enumerate(TAILS):
-                lang, end = ("en", "de", "fr", "es")[(i + j) % 4], ("com", "org", "net")[(i + 2 * j) % 3]
-                hosts = (f"{word}{tail}.{end}", f"{word}-{tail}.example.{end}", f"www.{tail}-{word}.{end}")
-                out.append((f"https://{hosts[j % 3]}/{lang}/{100 * i + j}", blocked))
-                if j % 3 == 0:
-                    out.append((f"http://{tail}.example.{end}/{lang}/{word}/{7 * i + j}.html", blocked))
+def labelled_urls(seed: int = 17, times: int = 20) -> list[tuple[str, int]]:
+    """The small labelled URL table (url, blocked), made by a rule: each topic and each other word ``times`` times, and as many invented names.
+
+    Both kinds have the same ends, subdomains, languages, numbers and queries, and share words of praise; what tells them apart are
+    the words of a host, or, on a host of either kind's neutral names, those of its path.
+    """
+    rng, out = random.Random(seed), []
+    heads, tails = ("", *"bcdfghklmnprstvwz", "th", "sh", "ch", "st", "tr", "pl"), ("", "", "n", "r", "s", "l", "t", "ng", "nd", "st", "ck", "ble")
+    invented = lambda: "".join(rng.choice(heads) + rng.choice("aeiou") + rng.choice(tails) for _ in range(rng.randint(1, 4)))
+
+    def put(words: list[str], blocked: int, in_path: bool) -> None:
+        name = rng.choice(("-", "", "-")).join(words)
+        host = invented() if in_path else name
+        host = rng.choice(("", "", "www.", "m.", "blog.")) + host + rng.choice(("", ".example", ".example")) + "." + rng.choice(ENDS)
+        page = rng.choice((f"{name}.html", f"{name}/", f"{name}-{rng.randrange(99)}")) if in_path else rng.choice((f"{rng.randrange(9999)}", f"{rng.randrange(9999)}.html", f"{rng.randrange(9999)}/", f"{invented()}/{rng.randrange(99)}"))
+        out.append((f"{rng.choice(('http', 'https'))}://{host}/{rng.choice(LANGS)}/{page}{rng.choice(('', '', '?page=2&ref=x', '?utm_source=feed', '#top'))}", blocked))
+
+    def mixed(word: str, others: list[str]) -> list[str]:
+        words = [word, *rng.sample(others, rng.choice((0, 1, 1, 2)))]
+        rng.shuffle(words)
+        return words
+
+    for _ in range(times):
+        for word in TOPICS:
+            put(mixed(word, PRAISE if rng.random() < 0.85 else NEUTRAL), 1, rng.random() < 0.2)
+        for word in WANTED:
+            put(mixed(word, NEUTRAL), 0, rng.random() < 0.2)
+            put([invented()], 0, rng.random() < 0.2)
     return out
 
 
@@ -71,7 +99,7 @@ def features(host: str, path: str, bits: int, sizes: tuple[int, ...]) -> np.ndar
     return np.fromiter({zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in found}, np.int64)
 
 
-def fit(hosts: list[str], paths: list[str], blocked: list[int], bits: int = 14, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
+def fit(hosts: list[str], paths: list[str], blocked: list[int], bits: int = 16, sizes: tuple[int, ...] = (2, 3, 4, 5), epochs: int = 200, rate: float = 0.5, decay: float = 1e-6) -> UrlModel:
     """Full-batch Adagrad; without rows or with one label, that label's share is the answer (no rows: allow)."""
     rows = [features(h, p, bits, sizes) for h, p in zip(hosts, paths, strict=True)]
     y = np.asarray(blocked, float)
@@ -81,10 +109,11 @@ def fit(hosts: list[str], paths: list[str], blocked: list[int], bits: int = 14,
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         at = np.concatenate(rows)
         scale = 1 / np.sqrt(np.array([max(1, len(r)) for r in rows]))
+        each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh alike
         past, past_b = np.full(len(w), 1e-8), 1e-8
         for _ in range(epochs):
             z = np.bincount(owner, w[at], len(y)) * scale + bias
-            err = (1 / (1 + np.exp(-z)) - y) / len(y)
+            err = (1 / (1 + np.exp(-z)) - y) * each
             g = np.bincount(at, (err * scale)[owner], len(w)) + decay * w
             past += g * g
             w -= rate * g / np.sqrt(past)
