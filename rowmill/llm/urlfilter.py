@@ -99,7 +99,7 @@ def features(host: str, path: str, bits: int, sizes: tuple[int, ...]) -> np.ndar
     return np.fromiter({zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in found}, np.int64)
 
 
-def fit(hosts: list[str], paths: list[str], blocked: list[int], bits: int = 16, sizes: tuple[int, ...] = (2, 3, 4, 5), epochs: int = 200, rate: float = 0.5, decay: float = 1e-6) -> UrlModel:
+def fit(hosts: list[str], paths: list[str], blocked: list[int], bits: int = 16, sizes: tuple[int, ...] = (2, 3, 4), epochs: int = 400, rate: float = 0.5, decay: float = 1e-6) -> UrlModel:
     """Full-batch Adagrad; without rows or with one label, that label's share is the answer (no rows: allow)."""
     rows = [features(h, p, bits, sizes) for h, p in zip(hosts, paths, strict=True)]
     y = np.asarray(blocked, float)

@@ -182,24 +182,25 @@ def judged(seen, held):
 
 
 def test_url_table_on_unseen_hosts():
-    rows = [(*urlfilter.split_url(u), y) for u, y in urlfilter.labelled_urls()]
-    held, seen = ([r for r in rows if (zlib.crc32(r[0].encode()) % 4 == 2) == k] for k in (True, False))
-    assert len(rows) <= 4096 and not {r[0] for r in held} & {r[0] for r in seen}
-    hit, right, wrong = judged(seen, held)
-    assert hit >= 0.9 and right >= 0.95 and wrong <= 0.03
+    """Trained on the table, judged on the hosts of another draw of it, which no setting was chosen by."""
+    seen, other = ([(*urlfilter.split_url(u), y) for u, y in urlfilter.labelled_urls(seed)] for seed in (17, 29))
+    hosts = {r[0] for r in seen}
+    hit, right, wrong = judged(seen, [r for r in other if r[0] not in hosts])
+    assert len(seen) <= 4096 and hit >= 0.9 and right >= 0.95 and wrong <= 0.03
 
 
 def test_url_table_on_unseen_words():
-    """Neither the held-out words nor the hosts of the URLs that hold them are seen; figures are in the README."""
-    rows = [(*urlfilter.split_url(u), y) for u, y in urlfilter.labelled_urls()]
+    """Neither the held-out words nor the hosts of the URLs that hold them are seen, and the URLs judged are of another draw; figures are in the README."""
+    seen, other = ([(*urlfilter.split_url(u), y) for u, y in urlfilter.labelled_urls(seed)] for seed in (17, 29))
     found = []
     for fold in range(4):
         words = [w for w in urlfilter.TOPICS + urlfilter.WANTED if zlib.crc32(w.encode()) % 4 == fold]
-        held = [r for r in rows if any(w in r[0] + r[1] for w in words)]
+        held = [r for r in other if any(w in r[0] + r[1] for w in words)]
         hosts = {r[0] for r in held}
-        found.append(judged([r for r in rows if r[0] not in hosts and not any(w in r[0] + r[1] for w in words)], held))
+        found.append(judged([r for r in seen if r[0] not in hosts and not any(w in r[0] + r[1] for w in words)], held))
     hit, right, wrong = np.mean(found, 0)
-    assert hit >= 0.4 and right >= 0.75 and wrong <= 0.2
+    print(hit, right, wrong)
+    assert hit >= 0.3 and right >= 0.75 and wrong <= 0.15
 
 
 def test_url_model_learns():
