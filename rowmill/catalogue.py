@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rowmill.functions import metrics as M
-from rowmill.operators import ids, jobs, joins, state
+from rowmill.operators import buckets, ids, jobs, joins, state
 from rowmill.operators.checkpoint import Checkpoint
 from rowmill.operators.transform import RowJob, map_rows
 from rowmill.plans.run import OutputMode, joined, run
@@ -302,7 +302,7 @@ def messages_from_conversations(spark, d):
 
 @query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 2 AS INTEGER) AS at, role, 'echo:' || text AS content FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) > 1")
 def translation_echo(spark, d):
-    return _flat(map_rows(_conversations(spark, d), jobs.TranslationJob(), "conv_id"), "results")
+    return _flat(map_rows(_conversations(spark, d), jobs.TranslationJob(client=jobs.EchoClient()), "conv_id"), "results")
 
 
 @query("""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
@@ -314,23 +314,23 @@ m AS (  -- each asked turn adds the turns since two after the asked turn before
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY step, part, k) - 1 AS INTEGER) AS at, role, content FROM m""")
 def multi_turn_echo(spark, d):
     asked = _conversations(spark, d).where(F.exists("messages", lambda m: m["role"].isin("user", "tool")))
-    return _flat(map_rows(asked, jobs.MultiTurnJob(), "conv_id"), "running_messages")
+    return _flat(map_rows(asked, jobs.MultiTurnJob(client=jobs.EchoClient()), "conv_id"), "running_messages")
 
 
 @query("SELECT doc_id, 'echo1:' || text AS result_1, 'echo2:' || text AS result_2, 'echo3:' || text AS result_3 FROM documents")
 def multi_choice_echo(spark, d):
-    return map_rows(t(spark, d, "documents"), jobs.ChoicesJob(input_column="text"), "doc_id")
+    return map_rows(t(spark, d, "documents"), jobs.ChoicesJob(client=jobs.EchoClient(), input_column="text"), "doc_id")
 
 
 @query("SELECT doc_id, 'echo:' || text AS completion FROM documents")
 def completion_echo(spark, d):
-    return map_rows(t(spark, d, "documents"), jobs.CompletionJob(input_column="text"), "doc_id")
+    return map_rows(t(spark, d, "documents"), jobs.CompletionJob(client=jobs.EchoClient(), input_column="text"), "doc_id")
 
 
 @query("""WITH l AS (SELECT doc_id, text, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: -length(w) / 8.0::DOUBLE) AS l FROM documents)
 SELECT doc_id, 'echo:' || text AS text, round(exp(-list_sum(l) / len(l)), 6) AS perplexity, round(exp(-list_sum(list_sort(l)[1:50]) / least(50, len(l))), 6) AS bottom50_perplexity FROM l""")
 def perplexity_job(spark, d):
-    out = map_rows(t(spark, d, "documents"), jobs.PerplexityJob(input_column="text"), "doc_id")
+    out = map_rows(t(spark, d, "documents"), jobs.PerplexityJob(client=jobs.EchoClient(), input_column="text"), "doc_id")
     return out.withColumn("perplexity", F.round("perplexity", 6)).withColumn("bottom50_perplexity", F.round("bottom50_perplexity", 6))
 
 
@@ -455,6 +455,74 @@ def health_states(spark, d):
     return spark.read.schema("swarm_id string, replica_id int, at double, state string, failures int").parquet(f"{folder}/out")
 
 
+SILENCE, BACKOFF, RESTARTS = 150.25, 7.25, 3
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT 'swarm-' || user_id % 5 AS swarm_id, CAST(user_id // 5 AS INTEGER) AS replica_id, CAST(event_id + 1 AS DOUBLE) AS t, event_type = 'error' AS bad,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (  -- a replica's probes one after the other; started, silent: when a timer went off before this one
+  SELECT swarm_id, replica_id, i, t, CASE WHEN bad THEN 'restarting' ELSE 'running' END AS state, false AS over, CASE WHEN bad THEN t + {BACKOFF} END AS resume, CAST(bad AS INTEGER) AS n, t AS last,
+    CAST(NULL AS DOUBLE) AS started, CAST(NULL AS DOUBLE) AS silent, 0 AS before FROM p WHERE i = 1
+  UNION ALL SELECT swarm_id, replica_id, i, t, CASE WHEN waits THEN NULL WHEN ended THEN 'failed' WHEN bad AND n >= {RESTARTS} THEN 'failed' WHEN bad THEN 'restarting' ELSE 'running' END,
+    ended OR (NOT waits AND bad AND n >= {RESTARTS}), CASE WHEN waits THEN resume WHEN NOT ended AND bad AND n < {RESTARTS} THEN t + {BACKOFF} END,
+    CASE WHEN NOT waits AND NOT ended AND bad AND n < {RESTARTS} THEN n + 1 ELSE n END, CASE WHEN waits THEN last ELSE t END, started, silent, n
+  FROM (SELECT *, over OR silent IS NOT NULL AS ended FROM (SELECT *, CASE WHEN NOT over AND NOT waits AND coalesce(started, last) + {SILENCE} < t THEN coalesce(started, last) + {SILENCE} END AS silent FROM (
+    SELECT e.swarm_id, e.replica_id, e.i, e.t, e.bad, s.over, s.resume, s.n, s.last, coalesce(s.resume >= e.t, false) AS waits, CASE WHEN s.resume < e.t THEN s.resume END AS started
+    FROM s JOIN p e ON e.swarm_id = s.swarm_id AND e.replica_id = s.replica_id AND e.i = s.i + 1)))),
+z AS (SELECT *, CASE WHEN resume < w THEN resume END AS starts FROM (SELECT *, (SELECT max(t) FROM p) AS w FROM s QUALIFY row_number() OVER (PARTITION BY swarm_id, replica_id ORDER BY i DESC) = 1) WHERE NOT over)
+SELECT swarm_id, replica_id, t AS "at", state, 0 AS failures, n AS restarts FROM s WHERE state IS NOT NULL
+UNION ALL SELECT swarm_id, replica_id, started, 'starting', 0, before FROM s WHERE started IS NOT NULL
+UNION ALL SELECT swarm_id, replica_id, silent, 'failed', 0, before FROM s WHERE silent IS NOT NULL
+UNION ALL SELECT swarm_id, replica_id, starts, 'starting', 0, n FROM z WHERE starts IS NOT NULL
+UNION ALL SELECT swarm_id, replica_id, coalesce(starts, last) + {SILENCE}, 'failed', 0, n FROM z WHERE (resume IS NULL OR starts IS NOT NULL) AND coalesce(starts, last) + {SILENCE} < w""")
+def replica_timers(spark, d):
+    """Silence, restarts and the pause before them as timers in the state of a stream; an error is the end of a process."""
+    folder = work_folder(spark)
+    bad = F.col("event_type") == "error"
+    probes = t(spark, d, "events").select(
+        F.concat(F.lit("swarm-"), (F.col("user_id") % 5).cast("string")).alias("swarm_id"), F.expr("cast(user_id div 5 as int)").alias("replica_id"),
+        (F.col("event_id") + 1).cast("double").alias("at"), (~bad).alias("ok"), F.when(bad, 1).alias("exit_code"),
+    )
+    probes.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("swarm_id string, replica_id int, at double, ok boolean, exit_code int").parquet(f"{folder}/in")
+    out = health.watched(stream, health.Care(silence=SILENCE, backoff=BACKOFF, restarts=RESTARTS, policy="always"))
+    sink = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/offsets")
+    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema("swarm_id string, replica_id int, at double, state string, failures int, restarts int").parquet(f"{folder}/out")
+
+
+CHANGES = """old AS (SELECT o_orderkey AS job_id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0),
+new AS (SELECT o_orderkey AS job_id, 'again' AS status, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 4 = 0),
+patch AS (SELECT o_orderkey + 2 AS job_id FROM orders WHERE o_orderkey % 7 = 0), gone AS (SELECT o_orderkey + 5 AS job_id FROM orders WHERE o_orderkey % 10 = 0),
+u AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE job_id NOT IN (SELECT job_id FROM new)),
+q AS (SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM patch) THEN 'patched' ELSE status END AS status, price FROM u)"""
+
+
+def _changed_jobs(spark, d):
+    """A keyed table after an upsert, a patch and a deletion, and what each of them says it did."""
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    table = buckets.BucketTable(spark, work_folder(spark), ["job_id"], buckets=16)
+    table.upsert(orders.where("job_id % 3 <> 0"))
+    upserted = table.upsert(orders.where("job_id % 4 = 0").select("job_id", F.lit("again").alias("status"), (F.col("price") + 1).alias("price")))
+    patched = table.patch(orders.where("job_id % 7 = 0").select((F.col("job_id") + 2).alias("job_id"), F.lit("patched").alias("status"), F.lit(None).cast("double").alias("price")))
+    deleted = table.delete(orders.where("job_id % 10 = 0").select((F.col("job_id") + 5).alias("job_id")))
+    return table, {"upsert": upserted, "patch": patched, "delete": deleted}
+
+
+@query(f"WITH {CHANGES} SELECT job_id, status, price, true AS stamped FROM q WHERE job_id NOT IN (SELECT job_id FROM gone)")
+def merged_jobs(spark, d):
+    table, _ = _changed_jobs(spark, d)
+    return table.read().select("job_id", "status", "price", F.col("update_dt").isNotNull().alias("stamped"))
+
+
+@query(f"""WITH {CHANGES} SELECT 'upsert' AS what, count(*) FILTER (job_id NOT IN (SELECT job_id FROM old)) AS inserted, count(*) FILTER (job_id IN (SELECT job_id FROM old)) AS changed, 0 AS deleted, 0 AS missing FROM new
+UNION ALL SELECT 'patch', 0, count(*) FILTER (job_id IN (SELECT job_id FROM u)), 0, count(*) FILTER (job_id NOT IN (SELECT job_id FROM u)) FROM patch
+UNION ALL SELECT 'delete', 0, 0, count(*) FILTER (job_id IN (SELECT job_id FROM u)), count(*) FILTER (job_id NOT IN (SELECT job_id FROM u)) FROM gone""")
+def merge_counts(spark, d):
+    _, counts = _changed_jobs(spark, d)
+    return spark.createDataFrame([(k, c.inserted, c.changed, c.deleted, c.missing) for k, c in counts.items()], "what string, inserted long, changed long, deleted long, missing long")
+
+
 @query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) SELECT * EXCLUDE (rn) FROM r WHERE rn IN (0, 5, 17, 1200)")
 def positional_slice(spark, d):
     return ids.at_positions(t(spark, d, "orders"), [0, 5, 17, 1200], "o_orderkey")

@@ -35,9 +35,11 @@ def perplexity(logprobs: list[float]) -> float:
 
 
 class ClientJob(RowJob):
-    def __init__(self, client: Client | None = None, **settings: Any):
+    """``client`` must be given: nothing answers in its place."""
+
+    def __init__(self, client: Client, **settings: Any):
         super().__init__(**settings)
-        self.client = client or EchoClient()
+        self.client = client
 
     def one(self, item: Any) -> Any:
         raise NotImplementedError
@@ -49,8 +51,8 @@ class ClientJob(RowJob):
 class CompletionJob(ClientJob):
     schema = "completion string"
 
-    def __init__(self, **settings: Any):
-        super().__init__(**({"input_column": "prompt"} | settings))
+    def __init__(self, client: Client, **settings: Any):
+        super().__init__(client, **({"input_column": "prompt"} | settings))
 
     def one(self, item: str) -> str:
         return self.client.reply(as_messages(item))[0]["content"]
@@ -59,8 +61,8 @@ class CompletionJob(ClientJob):
 class ChatJob(ClientJob):
     """Content, and the reasoning in a second column if ``reasoning`` is asked for."""
 
-    def __init__(self, reasoning: bool = False, **settings: Any):
-        super().__init__(**settings)
+    def __init__(self, client: Client, reasoning: bool = False, **settings: Any):
+        super().__init__(client, **settings)
         self.reasoning = reasoning
         self.schema = "result string, reasoning_content string" if reasoning else "result string"
 
@@ -72,8 +74,8 @@ class ChatJob(ClientJob):
 class ChoicesJob(ClientJob):
     """``n`` choices in columns ``<base>_1`` to ``<base>_n``."""
 
-    def __init__(self, n: int = 3, base: str = "result", **settings: Any):
-        super().__init__(**settings)
+    def __init__(self, client: Client, n: int = 3, base: str = "result", **settings: Any):
+        super().__init__(client, **settings)
         self.n, self.schema = n, ", ".join(f"{base}_{i} string" for i in range(1, n + 1))
 
     def one(self, item: Any) -> Any:
@@ -100,8 +102,8 @@ class MultiTurnJob(ClientJob):
 
     schema = f"running_messages {MESSAGES}"
 
-    def __init__(self, strict: bool = False, **settings: Any):
-        super().__init__(**settings)
+    def __init__(self, client: Client, strict: bool = False, **settings: Any):
+        super().__init__(client, **settings)
         self.strict = strict
 
     def one(self, item: Any) -> list[dict]:

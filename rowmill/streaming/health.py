@@ -15,8 +15,10 @@ from dataclasses import astuple, dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.window import Window
 
 from rowmill.operators.buckets import BucketTable
@@ -116,7 +118,7 @@ def changes(rows: DataFrame, keys: list[str], order: list[str], watched: list[st
 class Care:
     """threshold: failed probes in a row; patience: seconds unhealthy before it fails; grace: seconds after a start in which
     failed probes do not count; silence: seconds without any probe (by the clock) after which a replica fails, None for never;
-    policy, restarts: when and how often an ended replica starts again.
+    policy, restarts: when and how often an ended replica starts again; backoff: seconds before it does (``watched``).
     """
 
     threshold: int = 3
@@ -125,6 +127,7 @@ class Care:
     silence: float | None = None
     policy: str = "on-failure"
     restarts: int = 0
+    backoff: float = 0.0
 
 
 @dataclass
@@ -195,6 +198,91 @@ def health(probes: DataFrame, care: Care = Care()) -> DataFrame:
     return rows.groupBy("swarm_id", "replica_id").applyInPandasWithState(step, schema, kept, "append", timer)
 
 
+class Watchdog(StatefulProcessor):
+    """A replica's state with timers in event time: silence, and the pause before a restart."""
+
+    KEPT = "failures int, since double, started double, ready boolean, restarts int, over boolean, last double, resume double"
+
+    def __init__(self, care: Care):
+        self.care = care
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("replica", self.KEPT)
+
+    def _load(self) -> tuple[Replica, float, float]:
+        if not self.kept.exists():
+            return Replica(), -1.0, -1.0
+        *fields, last, resume = self.kept.get()
+        return Replica(*fields), last, resume
+
+    def _due(self, r: Replica, last: float, resume: float) -> list[float]:
+        """When the timers of this state go off."""
+        if r.over:
+            return []
+        silence = [max(last, resume) + self.care.silence] if self.care.silence is not None and last >= 0 else []
+        return [resume] if resume >= 0 else silence
+
+    def _until(self, now: float, r: Replica, last: float, resume: float) -> tuple[list[tuple], float, float]:
+        """What the timers before ``now`` say, and the state after them."""
+        out = []
+        while (due := [x for x in self._due(r, last, resume) if x < now or (x == now and x == resume)]) and not r.over:
+            if due[0] == resume:
+                out.append((resume, "starting", r.failures, r.restarts))
+                last, resume = resume, -1.0
+            else:
+                r.over = True
+                out.append((due[0], "failed", r.failures, r.restarts))
+        return out, last, resume
+
+    def _save(self, key: tuple, out: list[tuple], r: Replica, last: float, resume: float) -> Iterator[pd.DataFrame]:
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        for x in self._due(r, last, resume):
+            self.handle.registerTimer(int(x * 1000) + 1)
+        self.kept.update((*astuple(r), last, resume))
+        if out:
+            yield pd.DataFrame([(*key, *row) for row in out], columns=["swarm_id", "replica_id", "at", "state", "failures", "restarts"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        r, last, resume = self._load()
+        out: list[tuple] = []
+        for at, ok, code, node in pd.concat(list(rows)).sort_values("at", kind="stable")[["at", "ok", "exit_code", "node_ok"]].itertuples(index=False):
+            before, last, resume = self._until(at, r, last, resume)
+            out += before
+            if resume >= 0:
+                continue  # it is down until then
+            if not pd.isna(code) and not r.over:
+                state = r.end(at, int(code), self.care)
+                resume = at + self.care.backoff if state == "restarting" else -1.0
+            else:
+                state = r.probe(at, bool(ok) and bool(node), self.care)
+                resume = at + self.care.backoff if state == "restarting" else -1.0
+            last = at
+            out.append((at, state, r.failures, r.restarts))
+        yield from self._save(key, out, r, last, resume)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        r, last, resume = self._load()
+        out, last, resume = self._until(timerValues.getCurrentWatermarkInMs() / 1000, r, last, resume)
+        yield from self._save(key, out, r, last, resume)
+
+
+def watched(probes: DataFrame, care: Care = Care(), late: str = "0 seconds") -> DataFrame:
+    """``health`` of a stream with timers in event time: (swarm_id, replica_id, at, state, failures, restarts).
+
+    Silence ends a replica and the pause before a restart ends (``starting``) when the watermark, ``late`` behind the newest probe of
+    all replicas, has passed that time, also where the replica sends nothing any more; what comes during the pause is passed over. Needs the RocksDB state store.
+    """
+    spark = probes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    extra = {"exit_code": F.lit(None).cast("int"), "node_ok": F.lit(True)}
+    rows = probes.select("swarm_id", "replica_id", "at", "ok", *[F.col(c) if c in probes.columns else x.alias(c) for c, x in extra.items()])
+    rows = rows.withColumn("_ts", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("_ts", late)
+    schema = "swarm_id string, replica_id int, at double, state string, failures int, restarts int"
+    return rows.groupBy("swarm_id", "replica_id").transformWithStateInPandas(Watchdog(care), schema, "Append", "EventTime")
+
+
 class Collector(threading.Thread):
     """A TCP source: one JSON payload a connection. Each lands as a file of ``folder``, which ``messages`` reads as a stream.
 

@@ -429,10 +429,10 @@ def test_perplexity_matches_python(logs):
 
 def test_multi_turn():
     turns = [{"role": r, "content": c} for r, c in [("system", "s"), ("user", "a"), ("assistant", "old"), ("user", "b")]]
-    out = jobs.MultiTurnJob().one(turns)
+    out = jobs.MultiTurnJob(jobs.EchoClient()).one(turns)
     assert [(m["role"], m["content"]) for m in out] == [("system", "s"), ("user", "a"), ("assistant", "echo:a"), ("user", "b"), ("assistant", "echo:b")]
     with pytest.raises(ValueError):
-        jobs.MultiTurnJob().one(turns[:1])
+        jobs.MultiTurnJob(jobs.EchoClient()).one(turns[:1])
 
 
 def test_retry_and_contract():
