@@ -35,6 +35,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--single", action="store_true", help="write one file")
     p.add_argument("--shards", type=int, default=1)
     p.add_argument("--shard-mode", choices=("id", "index"), default="id")
+    p.add_argument("--backend", help="accepted for scripts that name an engine; all known names mean this one")
     p.add_argument("--read-options", metavar="JSON")
     p.add_argument("--write-options", metavar="JSON")
     return p
@@ -59,7 +60,7 @@ def main(argv: Sequence[str] | None = None) -> str | None:
     if a.shards > 1:
         run_sharded(df, job, a.id_column, a.mode, folder, a.shards, a.shard_mode, output=full_path(a.output), flush_every=a.flush_every, strict=a.strict, once=a.once)
     else:
-        out = run(df, job, a.id_column, a.mode, folder, flush_every=a.flush_every, strict=a.strict, sort=a.sort, once=a.once)
+        out = run(df, job, a.id_column, a.mode, folder, flush_every=a.flush_every, strict=a.strict, sort=a.sort, once=a.once, backend=a.backend)
         write_dataset(out, a.output, single=a.single, **options)
     return folder
 

@@ -383,7 +383,13 @@ def replica_failures(spark, d):
     return state.replica_failures(_replicas(spark, d)).select("swarm_id", "replica_id", "state", "fail_reason")
 
 
-@query()
+@query(f"""WITH {REPLICAS}, q AS (SELECT *, state IN ('failed', 'exited') AS down FROM s),
+c AS (SELECT swarm_id, fail_reason, count(*) AS n, min(replica_id) AS first FROM q WHERE down AND fail_reason <> '' GROUP BY 1, 2),
+f AS (SELECT swarm_id, string_agg('"' || fail_reason || '":' || n, ',' ORDER BY fail_reason) AS reasons, arg_max(fail_reason, n * 1000000 - first) AS example FROM c GROUP BY 1),
+g AS (SELECT swarm_id, count(*) AS total, count(*) FILTER (state = 'running') AS running, count(*) FILTER (http_ready) AS ready, count(*) FILTER (down) AS failed,
+  string_agg('{{"replica_id":' || replica_id || ',"state":"' || state || '","http_ready":' || http_ready || ',"fail_reason":' || coalesce('"' || fail_reason || '"', 'null') || ',"node":"n1","port":8000,"url":"http://n1:8000"}}', ',' ORDER BY replica_id) AS items FROM q GROUP BY 1)
+SELECT g.swarm_id AS deployment_name, '{{"schema_version":1,"name":"' || g.swarm_id || '","backend":"slurm","phase":"RUNNING","state":"RUNNING","ready":' || (ready = total AND failed = 0) || ',"endpoint":"http://lb","started_at":null,"expires_at":null,"replicas":{{"summary":{{"total":' || total
+  || ',"running":' || running || ',"http_ready":' || ready || ',"failed":' || failed || ',"fail_reasons":' || coalesce('{{' || reasons || '}}', 'null') || ',"example_fail_reason":' || coalesce('"' || example || '"', 'null') || '}},"items":[' || items || ']}}}}' AS json FROM g LEFT JOIN f USING (swarm_id)""")
 def status_json(spark, d):
     replicas = _replicas(spark, d).withColumn("node", F.lit("n1")).withColumn("port", F.lit(8000)).drop("ts", "event_id")
     summary = state.replica_summary(replicas)

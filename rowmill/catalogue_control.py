@@ -93,6 +93,20 @@ def resource_layout(spark, d):
     return t(spark, d, "orders").select("o_orderkey", *[c.alias(n) for c, n in zip(made, ("on_node", "nodes", "cpus", "spans"), strict=True)])
 
 
+@query("""WITH p AS (SELECT o_orderkey, o_orderkey % 5 AS r, o_orderkey // 5 % 9 AS g FROM orders)
+SELECT o_orderkey, CASE WHEN r < 1 OR g < 1 THEN 'counts must be at least 1' WHEN g > 4 AND g % 4 <> 0 AND ceil(r * g / 4.0) > 1 THEN 'a replica that spans nodes must fill them' END AS error FROM p""")
+def resource_errors(spark, d):
+    replicas, gpus = F.col("o_orderkey") % 5, F.expr("o_orderkey div 5 % 9")
+    return t(spark, d, "orders").select("o_orderkey", C.layout_error(replicas, gpus, F.lit(4)).alias("error"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'UNKNOWN' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN CASE WHEN value > 50 THEN 'RUNNING' ELSE 'INITIALIZING' END ELSE 'PENDING' END AS phase FROM events")
+def hosted_phase(spark, d):
+    kind = F.col("event_type")
+    raw = F.when(kind == "error", "Stopped").when(kind == "click", "Ready").when(kind != "view", "Updating")
+    return t(spark, d, "events").select("event_id", M.hosted_phase(raw, F.col("value") > 50).alias("phase"))
+
+
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS keys FROM events GROUP BY 1")
 def output_keys(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.array_join(C.key_union(F.create_map("event_type", "value")), ",").alias("keys"))
@@ -109,14 +123,31 @@ def swarm_readiness(spark, d):
     return state.readiness(state.replica_summary(_replicas(spark, d)), F.lit("RUNNING")).select("swarm_id", "ready", "all_failed")
 
 
+def _external_jobs(spark, d):
+    orders = t(spark, d, "orders")
+    return orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").cast("string").alias("external_id"), F.concat(F.lit("dep-"), "o_orderstatus").alias("deployment_name"), F.col("o_orderdate").alias("update_dt"), F.col("o_orderdate").alias("creation_dt"))
+
+
 @query("SELECT o_orderkey AS job_id, o_orderdate AS update_dt FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 def job_of_external_id(spark, d):
-    orders = t(spark, d, "orders")
-    jobs = orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").cast("string").alias("external_id"), F.lit("dep").alias("deployment_name"), F.col("o_orderdate").alias("update_dt"), F.col("o_orderdate").alias("creation_dt"))
-    first = str(orders.agg(F.min("o_custkey")).first()[0])
+    jobs = _external_jobs(spark, d).withColumn("deployment_name", F.lit("dep"))
+    first = str(t(spark, d, "orders").agg(F.min("o_custkey")).first()[0])
     return state.job_by_external_id(jobs, first, "dep").select("job_id", "update_dt")
 
 
+@query("""WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS external_id, 'dep-' || o_orderstatus AS deployment_name, o_orderkey AS job_id, o_orderdate AS update_dt FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) = 1) SELECT *, count(*) OVER (PARTITION BY external_id) > 1 AS ambiguous FROM b""")
+def jobs_of_external_ids(spark, d):
+    return state.jobs_by_external_id(_external_jobs(spark, d))
+
+
+@query("SELECT * FROM lineitem WHERE l_orderkey % 100 = 99")
+def pruned_resume(spark, d):
+    """The last hundredth of a resume: only ids are shuffled."""
+    lines = t(spark, d, "lineitem")
+    return joins.pending_narrow(lines, lines.where("l_orderkey % 100 < 99"), "l_orderkey")
+
+
 @query("""SELECT event_id, 's' || user_id % 5 AS swarm_id, CAST(CASE event_id % 13 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE user_id END AS INTEGER) AS replica_id, CASE event_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'None' ELSE event_type END AS state,
 event_id % 8 IN (0, 2, 4, 6) AS http_ready, CASE WHEN event_id % 4 <> 1 THEN 9000 END AS port FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 17 NOT IN (0, 1)""")
 def valid_messages(spark, d):
@@ -203,18 +234,20 @@ def once_per_id(spark, d):
 
 @query("SELECT * FROM (SELECT d.*, CAST(length(text) AS BIGINT) AS result FROM documents d)")
 def command_line(spark, d):
-    """A run from the command line, and a second one that finds all its rows done."""
+    """A run from the command line over a pattern, and a second one that knows the input by its bytes and finds all its rows done."""
     folder = work_folder(spark)
+    files.write_named_shards(t(spark, d, "documents"), f"{folder}/in", 3, "doc_id")
     for _ in range(2):
-        main([f"{d}/documents.parquet", f"{folder}/out", "--job", "rowmill.catalogue:Length", "--input-column", "text", "--id", "doc_id", "--checkpoints", f"{folder}/c", "--tag", "t"])
+        main([f"{folder}/in/data-{{0..2}}.parquet", f"{folder}/out", "--job", "rowmill.catalogue:Length", "--input-column", "text", "--id", "doc_id", "--checkpoints", f"{folder}/c"])
     return files.read_dataset(spark, f"{folder}/out")
 
 
-@query("SELECT doc_id, text, l.doc_id AS labelled, quality FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents) d JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM labels) l USING (n)".replace("SELECT doc_id, text", "SELECT d.doc_id, text"))
+@query("""WITH a AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+b AS (SELECT o_orderkey AS by_price, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM orders) SELECT o_orderkey, o_totalprice, by_price FROM a JOIN b USING (n)""")
 def side_by_side(spark, d):
-    labels = t(spark, d, "labels").select(F.col("doc_id").alias("labelled"), "quality")
-    first = files.first_rows(t(spark, d, "documents").select("doc_id", "text"), labels.count(), "doc_id")
-    return joins.side_by_side(first, labels, ("doc_id",), ("labelled",))
+    orders = t(spark, d, "orders")
+    ranked = orders.select(F.col("o_orderkey").alias("by_price"), F.col("o_totalprice").alias("price"))
+    return joins.side_by_side(orders.select("o_orderkey", "o_totalprice"), ranked, ("o_orderkey",), ("price", "by_price")).drop("price")
 
 
 @query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS type FROM (DESCRIBE customer)")

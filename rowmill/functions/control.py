@@ -49,6 +49,13 @@ def layout(replicas: Column, per_replica: Column, per_node: Column, cpus: int =
     return on_node, nodes, F.coalesce(F.greatest(F.lit(1), F.floor(F.lit(cpus) / on_node)), F.lit(cpus)).cast("long"), (per_replica > per_node) & (nodes > 1)
 
 
+def layout_error(replicas: Column, per_replica: Column, per_node: Column) -> Column:
+    """What is wrong with counts of GPUs, or null."""
+    nodes = layout(replicas, per_replica, per_node)[1]
+    unfit = (per_replica > per_node) & (nodes > 1) & (per_replica % per_node != 0)
+    return F.when((replicas < 1) | (per_replica < 1) | (per_node < 1), "counts must be at least 1").when(unfit, "a replica that spans nodes must fill them")
+
+
 def key_union(maps: str | Column) -> Column:
     """Aggregate: the sorted distinct keys of a map column; it holds one entry for each set of keys that occurs."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.map_keys(_col(maps)))))))

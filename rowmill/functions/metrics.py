@@ -95,6 +95,11 @@ def serving_phase(state: Column, http_ok: Column, model_ok: Column) -> Column:
     return F.when(s.isin(*BAD), "FAILED").when(s.isin("PENDING", "CONFIGURING", "UNKNOWN"), "PENDING").when(http_ok & model_ok, "RUNNING").otherwise("INITIALIZING")
 
 
+def hosted_phase(state: Column, http_ok: Column) -> Column:
+    """Phase of a hosted deployment: what is ready and answers runs, what is ready and does not is starting up."""
+    return F.when(state.isNull(), "UNKNOWN").when(state.isin("Stopped", "Error"), "FAILED").when(state != "Ready", "PENDING").when(F.coalesce(http_ok, F.lit(False)), "RUNNING").otherwise("INITIALIZING")
+
+
 def step_of(job: str | Column) -> tuple[Column, Column]:
     """Job and step of ``job.step``; without a dot the step is null."""
     c = _col(job)

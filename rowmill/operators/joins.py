@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.operators.ids import free_name, indexed
+from rowmill.sources.scratch import written
 
 
 def _keyed(right: DataFrame, key: str, left: DataFrame) -> tuple[DataFrame, str]:
@@ -24,6 +25,17 @@ def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return _matching(df, done, key, "left_anti")
 
 
+def pending_narrow(df: DataFrame, done: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+    """``pending`` for wide rows of which few are left: only ids are shuffled, and rows are picked where they lie.
+
+    The ids left are written and counted; more than ``most`` of them (some 100 MB at a task) are not broadcast but joined by a
+    shuffle. ``df`` is read twice, the first time its id column alone.
+    """
+    ids = written(pending(df.select(key).distinct(), done, key), "pending-ids")
+    left, name = _keyed(ids, key, df)
+    return df.join(F.broadcast(left) if ids.count() <= most else left, F.expr(f"`{key}` <=> `{name}`"), "left_semi")
+
+
 def known(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return _matching(df, ids, key, "left_semi")
 

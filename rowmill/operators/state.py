@@ -95,6 +95,14 @@ def job_by_external_id(jobs: DataFrame, external_id: str, deployment: str | None
     return found.limit(1)
 
 
+def jobs_by_external_id(jobs: DataFrame) -> DataFrame:
+    """Of each external id and deployment the job last updated, with ``ambiguous``: whether other deployments have the id too."""
+    order = F.struct("update_dt", "creation_dt", (-F.col("job_id")).alias("first"))
+    best = jobs.groupBy("external_id", "deployment_name").agg(F.max_by(F.struct("job_id", "update_dt"), order).alias("job"))
+    several = best.groupBy("external_id").agg((F.count("*") > 1).alias("ambiguous"))
+    return best.join(several, "external_id").select("external_id", "deployment_name", "job.job_id", "job.update_dt", "ambiguous")
+
+
 def last_swarm(swarms: DataFrame, base: str | None = None) -> DataFrame:
     """The swarm created last, of those whose names begin with ``base-`` if it is given; ties by name. No row where there is none."""
     some = swarms if base is None else swarms.where(F.col("deployment_name").startswith(f"{base}-"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rowmill.sources.memory import batch_size
+
 
 class RowJob:
     """Subclass and write ``transform_items(items) -> list`` (plain or async), one result per item, in order.
@@ -22,6 +24,8 @@ class RowJob:
     """
 
     schema: str = "result string"
+    #: Results in a batch, where the job has a wish of its own.
+    batch: int | None = None
 
     def __init__(self, input_column: str = "messages", max_concurrency: int = 2, retries: int = 5, pause: float = 4.0, longest_pause: float = 10.0, **extra: Any):
         self.input_column, self.max_concurrency, self.retries = input_column, max_concurrency, retries
@@ -136,11 +140,12 @@ def keyed_items(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Any, Any]]:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
 
-def map_rows(df: DataFrame, job: RowJob, key: str, ordered: bool = True, rows: int = 1000) -> DataFrame:
+def map_rows(df: DataFrame, job: RowJob, key: str, ordered: bool = True, rows: int | None = None) -> DataFrame:
     """(key, outputs): only the id and the input column go to Python, in Arrow batches.
 
-    Results come in the order of their rows, or as they complete if not ``ordered``; a batch holds ``rows`` of them.
+    Results come in the order of their rows, or as they complete if not ``ordered``; a batch holds ``rows`` of them, or as many as the job wishes.
     """
+    rows = batch_size(rows, job.batch)
     if job.input_column not in df.columns:
         raise ValueError(f"input column {job.input_column!r} is not in the input")
     schema = output_schema(job, df.schema[key])

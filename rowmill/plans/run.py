@@ -19,6 +19,7 @@ from rowmill.operators.ids import ensure_id, free_name, index_shards, shard_of
 from rowmill.operators.transform import RowJob, map_rows, output_schema
 from rowmill.sources.files import first_rows
 from rowmill.sources.memory import as_table
+from rowmill.sources.memory import backend as known_backend
 from rowmill.sources.scratch import written
 
 
@@ -68,7 +69,7 @@ class Watch:
 def run(
     df: DataFrame | Any, job: RowJob, id_column: str | None = None, mode: OutputMode | str = OutputMode.APPEND, checkpoint: str | None = None,
     resume: bool = True, limit: int | None = None, drop_stray: bool = False, compact: bool = False,
-    flush_every: int = 10_000, strict: bool = False, sort: bool = False, once: bool = False, on_progress: Callable[[int, int], None] | None = None, spark: SparkSession | None = None,
+    flush_every: int = 10_000, strict: bool = False, sort: bool = False, once: bool = False, on_progress: Callable[[int, int], None] | None = None, spark: SparkSession | None = None, backend: str | None = None,
 ) -> DataFrame:
     """Transform ``df[job.input_column]`` and join the results back.
 
@@ -81,8 +82,10 @@ def run(
     input that the checkpoint was begun with. ``sort`` orders the result by id. With ``once`` rows that
     repeat an id are transformed once, from whichever of them comes first, and share the output; else
     each is, and the output written last is all of theirs. ``on_progress`` hears (rows done, rows) while the job runs.
+    ``backend``: a name of an engine that callers know; all known ones mean this one, others are errors.
     """
     mode = OutputMode(mode)
+    known_backend(backend)
     df, key = _prepared(df, job, id_column, limit, spark)
     if checkpoint is None:
         if not resume:
@@ -96,7 +99,7 @@ def run(
     store.require_columns()
     if strict:
         store.verify(df, job.input_column)
-    todo = joins.pending(df, store.done(), key) if resume else df
+    todo = joins.pending_narrow(df, store.done(), key) if resume and store.folders() else df
     todo = todo.select(key, job.input_column)
     _transformed(store, todo.dropDuplicates([key]) if once else todo, job, flush_every, on_progress)
     if compact:
@@ -170,7 +173,7 @@ def run_sharded(
     store.require_columns()
     if strict:
         store.verify(df, job.input_column)
-    todo = joins.pending(rows, store.done(), key) if resume else rows
+    todo = joins.pending_narrow(rows, store.done(), key) if resume and store.folders() else rows
     todo = todo.select(key, job.input_column, shard)
     _transformed(store, todo.dropDuplicates([key]) if once else todo, job, flush_every, on_progress)
     out = store.latest()

@@ -1,8 +1,7 @@
-"""In-memory tables in and out, the names of backends, and the columns of a table."""
+"""In-memory tables as input, the names of backends, batch sizes, and the columns of a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -40,14 +39,6 @@ def as_table(data: Any, id_column: str | None = None, spark: SparkSession | None
     raise BackendError(f"cannot read a table from {type(data).__name__}")
 
 
-def as_pandas(df: DataFrame) -> pd.DataFrame:
-    return df.toPandas()
-
-
-def as_arrow(df: DataFrame) -> pa.Table:
-    return df.toArrow()
-
-
 def columns_of(df: Any) -> dict[str, str]:
     """Column names and their types as text."""
     if isinstance(df, pa.Table):
@@ -56,24 +47,9 @@ def columns_of(df: Any) -> dict[str, str]:
     return {name: str(kind) for name, kind in kinds}
 
 
-def batch_size(asked: int | None = None, own: int | None = None, flush_every: int = 16) -> int:
-    """The first that is given: the caller's, the job's own, the flush interval."""
-    found = next(x for x in (asked, own, flush_every) if x is not None)
+def batch_size(asked: int | None = None, own: int | None = None, default: int = 1000) -> int:
+    """The first that is given: the caller's, the job's own, the default."""
+    found = next(x for x in (asked, own, default) if x is not None)
     if found < 1:
         raise ValueError("a batch holds at least one row")
     return found
-
-
-def batches(df: DataFrame, size: int) -> Iterator[pa.Table]:
-    """The rows in tables of ``size``, the last one smaller; one partition at a time comes to the driver."""
-    names = [f.name for f in df.schema]
-    rows: list[tuple] = []
-    schema = pa.schema(df.limit(0).toArrow().schema)
-    table = lambda part: pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema)
-    for row in df.toLocalIterator(prefetchPartitions=False):
-        rows.append(tuple(x.asDict(True) if hasattr(x, "asDict") else x for x in row))
-        if len(rows) == size:
-            yield table(rows)
-            rows = []
-    if rows:
-        yield table(rows)

@@ -317,8 +317,10 @@ def test_memory_tables(spark):
     assert memory.backend(" Pandas ") == memory.backend() == "spark"
     with pytest.raises(memory.BackendError):
         memory.backend("duck")
-    assert [b.num_rows for b in memory.batches(spark.range(10), 4)] == [4, 4, 2]
-    assert [memory.batch_size(3, 4), memory.batch_size(None, 4), memory.batch_size()] == [3, 4, 16]
+    with pytest.raises(memory.BackendError):
+        run(table_, Tag(), spark=spark, backend="duck")
+    assert run(table_, Tag(), spark=spark, backend="Pandas").count() == 3
+    assert [memory.batch_size(3, 4), memory.batch_size(None, 4), memory.batch_size()] == [3, 4, 1000]
     assert memory.columns_of(spark.range(1)) == {"id": "bigint"}
 
 
@@ -576,3 +578,16 @@ def load_length():
     from rowmill.operators import specs
 
     return specs.load_job("rowmill.catalogue:Length", input_column="words")
+
+
+def test_a_late_resume_shuffles_ids_only(spark, tmp_path):
+    wide = spark.range(1000).select(F.when(F.col("id") != 5, F.col("id")).alias("k"), F.repeat(F.lit("x"), 50).alias("text"))
+    wide.write.parquet(f"{tmp_path}/in")
+    wide = spark.read.parquet(f"{tmp_path}/in")
+    for left in ("k >= 990", "k is null"):
+        rows = joins.pending_narrow(wide, wide.where(f"not coalesce({left}, false)"), "k")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert sorted(map(str, rows.collect())) == sorted(map(str, wide.where(left).collect()))
+    many = joins.pending_narrow(wide, wide.where("k < 10"), "k", most=10)
+    assert many.count() == 991
