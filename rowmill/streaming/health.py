@@ -26,13 +26,16 @@ from rowmill.operators.ids import free_name
 from rowmill.sources import stores
 
 
+FIELDS = ("swarm_id", "replica_id", "node", "port", "pid", "state", "http_ready", "exit_code", "exit_signal", "fail_reason", "agent_version")
+
+
 def _field(name: str, kind: str) -> str:
-    return f"try_variant_get(_v, '$.{name}', '{kind}')"
+    return f"try_variant_get(_x_{name}, '$', '{kind}')"
 
 
 def _kind(name: str) -> str:
     """What stands under a key: STRING, BOOLEAN, BIGINT, DECIMAL(..), DOUBLE, VOID, ARRAY<..> or OBJECT<..>; null where the key is absent."""
-    return f"schema_of_variant(variant_get(_v, '$.{name}', 'variant'))"
+    return f"_k_{name}"
 
 
 def _whole(name: str) -> Column:
@@ -46,7 +49,7 @@ def _filled(name: str) -> str:
     text, kind = _field(name, "string"), _kind(name)
     return (
         f"coalesce(case when {kind} = 'STRING' then {text} <> '' when {kind} = 'BOOLEAN' then {_field(name, 'boolean')} when {kind} = 'VOID' then false"
-        f" when {kind} like 'ARRAY%' or {kind} like 'OBJECT%' then to_json(variant_get(_v, '$.{name}', 'variant')) not in ('[]', '{{}}') else {_field(name, 'double')} <> 0 end, false)"
+        f" when {kind} like 'ARRAY%' or {kind} like 'OBJECT%' then to_json(_x_{name}) not in ('[]', '{{}}') else {_field(name, 'double')} <> 0 end, false)"
     )
 
 
@@ -57,6 +60,8 @@ def normalized(messages: DataFrame, column: str = "value") -> DataFrame:
     a text, and so ready; an absent state is 'unknown', a null one the text 'None'.
     """
     m = messages.withColumn("_v", F.try_parse_json(column)).where("schema_of_variant(_v) like 'OBJECT%'")
+    m = m.withColumns({f"_x_{f}": F.expr(f"variant_get(_v, '$.{f}', 'variant')") for f in FIELDS})  # each field is looked up once
+    m = m.withColumns({f"_k_{f}": F.expr(f"schema_of_variant(_x_{f})") for f in FIELDS})
     text = lambda k: F.expr(_field(k, "string"))
     state = F.expr(f"case when {_kind('state')} is null then 'unknown' when {_kind('state')} = 'VOID' then 'None' when {_kind('state')} = 'BOOLEAN' then initcap({_field('state', 'string')}) else {_field('state', 'string')} end")
     out = m.where(_filled("swarm_id")).select(
