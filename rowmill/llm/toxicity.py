@@ -27,16 +27,17 @@ from rowmill.llm.shared import each_batch, give_back, gram_hashes, map_batches,
 
 @dataclass(frozen=True)
 class Settings:
-    """apart: standard errors between the shares of toxic and clean texts that hold a bucket, at least; sample: labelled texts of
+    """apart: standard errors between the shares of toxic and clean texts that hold a bucket, at least; of several, ``fit`` takes
+    what does best on texts left out, since more texts make chance differences pass a low bar; sample: labelled texts of
     each class that training takes at most, those of smallest hash; longest: bytes of a training text at most; folds: parts of the
-    training texts for the cut. ``apart``, ``bits``, ``high`` and ``steps`` were chosen by cross-validation inside the training rows.
+    training texts for the cut and the bar. ``bits``, ``high`` and ``steps`` were chosen by cross-validation inside the training rows.
     """
 
     dim: int = 4
     bits: int = 20
     low: int = 3
     high: int = 5
-    apart: float = 5
+    apart: tuple[float, ...] = (5, 6, 7, 8)
     steps: int = 60
     rate: float = 0.1
     decay: float = 1e-3
@@ -175,14 +176,14 @@ class Inputs:
         return table[np.arange(n.sum()) + np.repeat(at[words] - (np.cumsum(n) - n), n)], n
 
     def telling(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-        """The buckets whose shares among the toxic and the clean texts in ``use`` are ``apart``."""
+        """Of each bucket, how many standard errors its shares among the toxic and the clean texts in ``use`` are apart."""
         some, m = use[self.holder], 1 << self.s.bits
         toxic = np.bincount(self.held[some], y[self.holder[some]], m)
         clean = np.bincount(self.held[some], 1 - y[self.holder[some]], m)
         n1, n0 = y[use].sum(), (1 - y[use]).sum()
         both = (toxic + clean) / (n1 + n0)
         error = np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-        return np.abs(toxic / n1 - clean / n0) > self.s.apart * np.maximum(error, 1e-12)
+        return np.abs(toxic / n1 - clean / n0) / np.maximum(error, 1e-12)
 
     def of(self, tells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, bucket, weight) of the buckets that tell: the share of a text's mean that is the bucket's vector."""
@@ -222,11 +223,11 @@ def _descend(of: np.ndarray, own: np.ndarray, x: np.ndarray, m: int, y: np.ndarr
     return vectors @ (softmax[1] - softmax[0])
 
 
-def _learnt(inputs: Inputs, y: np.ndarray, use: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def _learnt(inputs: Inputs, y: np.ndarray, use: np.ndarray, s: Settings, apart: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """From the texts in ``use``: the buckets that count, what each adds, and the log odds of all texts without a bias; None where nothing tells the classes apart."""
     if not 0 < y[use].sum() < use.sum():
         return None
-    of, buckets, weight = inputs.of(inputs.telling(y, use))
+    of, buckets, weight = inputs.of(inputs.telling(y, use) > apart)
     used = np.flatnonzero(np.bincount(buckets, use[of], 1 << s.bits)) if len(of) else np.empty(0, np.int64)
     if not len(used):
         return None
@@ -239,10 +240,10 @@ def _learnt(inputs: Inputs, y: np.ndarray, use: np.ndarray, s: Settings) -> tupl
     return used, gain, np.bincount(of, gain[own] * weight, len(y))
 
 
-def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model:
+def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings(), stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of all texts, with a cut between the classes that is found on texts which the models asked have not seen.
 
-    Each of ``folds`` parts of the texts (by their hash) gets its log odds from a model of the others. Where there are
+    stands_for: how many labelled texts a clean and a toxic one of ``texts`` stand for, for the cut. Each of ``folds`` parts of the texts (by their hash) gets its log odds from a model of the others. Where there are
     not both classes, or nothing tells them apart, the score is the share of toxic texts.
     """
     y = np.asarray(toxic, int)
@@ -250,29 +251,38 @@ def fit(texts: list[bytes], toxic: list[int], s: Settings = Settings()) -> Model
     constant = Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))), s)
     if not 0 < y.sum() < len(y):
         return constant
-    inputs = Inputs(texts, s)
-    found = _learnt(inputs, y, np.ones(len(y), bool), s)
+    inputs, weight = Inputs(texts, s), np.asarray(stands_for)[y]
+    fold = np.array([xxhash.xxh3_64_intdigest(t, seed=s.seed) % s.folds for t in texts])
+    best = None
+    for apart in s.apart:
+        odds, whole = np.zeros(len(y)), True
+        for k in np.unique(fold):
+            left = _learnt(inputs, y, fold != k, s, apart)
+            whole &= left is not None
+            odds = odds if left is None else np.where(fold == k, left[2], odds)
+        f1, cut = _cut(odds, y, weight)
+        if best is None or (whole, f1) >= best[:2]:
+            best = whole, f1, cut, apart
+    whole, _, cut, apart = best
+    found = _learnt(inputs, y, np.ones(len(y), bool), s, apart)
     if found is None:
         return constant
     used, gain, odds = found
-    fold = np.array([xxhash.xxh3_64_intdigest(t, seed=s.seed) % s.folds for t in texts])
-    for k in range(s.folds):
-        if (fold == k).any() and (left := _learnt(inputs, y, fold != k, s)):
-            odds = np.where(fold == k, left[2], odds)
+    cut = cut if whole else _cut(odds, y, weight)[1]  # too few texts to leave some out
     shift = float(np.log(s.threshold / (1 - s.threshold)))
-    return Model(used.astype(np.int64), gain, shift - _cut(odds, y), s)
+    return Model(used.astype(np.int64), gain, shift - cut, s)
 
 
-def _cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The log odds that part the classes best: the middle of the widest of the cuts with the highest F1."""
+def _cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(F1, the log odds that part the classes best): the middle of the widest of the cuts with the highest F1 of the texts by ``weight``."""
     order = np.argsort(z)
-    z, y = z[order], y[order]
-    hits = y.sum() - np.concatenate([[0], np.cumsum(y)])
-    f1 = 2 * hits / np.maximum(1, len(y) - np.arange(len(y) + 1) + y.sum())
+    z, toxic, weight = z[order], weight[order] * y[order], weight[order]
+    above = lambda x: x.sum() - np.concatenate([[0], np.cumsum(x)])
+    f1 = 2 * above(toxic) / np.maximum(1e-12, above(weight) + toxic.sum())
     top = np.flatnonzero(f1[1:-1] >= f1[1:-1].max() - 1e-9) + 1 if len(y) > 1 else np.array([0])
     gaps = [z[i] - z[i - 1] for i in top]
     i = int(top[int(np.argmax(gaps))])
-    return float((z[i] + z[i - 1]) / 2)
+    return float(f1[i]), float((z[i] + z[i - 1]) / 2)
 
 
 def trained(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
@@ -282,13 +292,15 @@ def trained(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     """
     usable = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [usable.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample) for k in (0, 1)]
+    known = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows
+    stands_for = tuple(max(1.0, known.get(k, 0) / s.sample) for k in (0, 1))
     picked = F.broadcast(ids[0].union(ids[1]).selectExpr("doc_id as _id", "toxic as _toxic"))  # 2 * sample rows at most
     got = docs.select("doc_id", "text").where(f"text is not null and octet_length(text) <= {s.longest}").join(picked, F.col("doc_id") == F.col("_id"))
     got = got.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
 
     def run(batches):
         rows = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())])).sort_by("doc_id")
-        model = fit(utf8(rows["text"].combine_chunks()), rows["toxic"].to_pylist(), s)
+        model = fit(utf8(rows["text"].combine_chunks()), rows["toxic"].to_pylist(), s, stands_for)
         del rows
         yield pa.RecordBatch.from_arrays([pa.array([model.at]), pa.array([model.gain]), pa.array([model.bias])], names=["at", "gain", "bias"])
         give_back()
