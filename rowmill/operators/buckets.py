@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rowmill.operators.joins import latest
 from rowmill.sources import stores
+from rowmill.sources.scratch import written
 
 #: The table's own columns: the commit that a row came with, its place there, and what that commit did to it.
 COMMIT, PLACE, FATE = "_commit", "_place", "_fate"
@@ -121,7 +122,7 @@ class BucketTable:
 
     def _commit(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: tuple[str, int] | None) -> Counts:
         stream, number = batch or (None, 0)
-        rows = rows.withColumn(PLACE, F.monotonically_increasing_id())
+        rows = written(rows.withColumn(PLACE, F.monotonically_increasing_id()), "change")  # computed once, and in one order
         while True:
             entry = self.entry()
             if stream is not None and entry["at"].get(stream, -1) >= number:
