@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,11 +175,15 @@ def health(probes: DataFrame, care: Care = Care()) -> DataFrame:
 
     A probe with an exit_code says that the process ended; one whose node is not ok counts as failed.
     Works on batches and streams; time is that of the probes, but for ``silence``, which is the clock's.
+    A replica's probes are judged in the order of their times within a batch of the stream, for which they are held together;
+    those of one time count together, successes first and ends last, and all but ends show the state after them.
     """
     schema = "swarm_id string, replica_id int, at double, state string, failures int"
     columns = ["swarm_id", "replica_id", "at", "state", "failures"]
-    extra = {"exit_code": F.lit(None).cast("int"), "node_ok": F.lit(True)}
-    rows = probes.select("swarm_id", "replica_id", "at", "ok", *[F.col(c) if c in probes.columns else x.alias(c) for c, x in extra.items()])
+    node = F.col("node_ok") if "node_ok" in probes.columns else F.lit(True)
+    code = F.col("exit_code") if "exit_code" in probes.columns else F.lit(None)
+    ok, code = F.coalesce(F.col("ok") & node, F.lit(False)), F.coalesce(code.cast("double"), F.lit(float("nan")))
+    rows = probes.select("swarm_id", "replica_id", "at", ok.alias("ok"), code.alias("exit_code"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         r, last = (Replica(*state.get[:-1]), state.get[-1]) if state.exists else (Replica(), -1.0)
@@ -187,14 +192,21 @@ def health(probes: DataFrame, care: Care = Care()) -> DataFrame:
             state.update((*astuple(r), last))
             yield pd.DataFrame([(*key, last + care.silence, "failed", r.failures)], columns=columns)
             return
-        for frame in frames:
-            out = []
-            for at, ok, code, node in frame.sort_values("at")[["at", "ok", "exit_code", "node_ok"]].itertuples(index=False):
-                name = r.end(at, int(code), care) if not pd.isna(code) else r.probe(at, bool(ok) and node is not False and bool(node), care)
-                out.append((*key, at, name, r.failures))
-                last = at
-            yield pd.DataFrame(out, columns=columns)
-        state.update((*astuple(r), last))
+        # an Arrow batch may end inside a replica's rows, so one frame need not be all of them, nor the earliest
+        at, ok, code = (np.concatenate(x) for x in zip(*[(f["at"].to_numpy(float), f["ok"].to_numpy(bool), f["exit_code"].to_numpy(float)) for f in frames], strict=True))
+        order = np.lexsort((~ok, ~np.isnan(code), at))
+        at, ok, code = at[order], ok[order], code[order]
+        name, failures = np.empty(len(at), object), np.empty(len(at), int)
+        parts = [slice(i, i + 10_000) for i in range(0, len(at), 10_000)]
+        for p in parts:
+            taken = zip(at[p].tolist(), ok[p].tolist(), code[p].tolist(), strict=True)
+            name[p], failures[p] = zip(*[(r.probe(x, good, care) if c != c else r.end(x, int(c), care), r.failures) for x, good, c in taken], strict=True)
+        alone, instant = ~np.isnan(code) | (name == "restarting"), np.searchsorted(at, at)
+        first = np.append(True, (instant[1:] != instant[:-1]) | alone[1:] | alone[:-1]).cumsum()
+        after = np.searchsorted(first, first, side="right") - 1
+        for p in parts:
+            yield pd.DataFrame({"swarm_id": key[0], "replica_id": key[1], "at": at[p], "state": name[after[p]], "failures": failures[after[p]]}, columns=columns)
+        state.update((*astuple(r), float(at[-1])))
         if care.silence is not None and not r.over:
             state.setTimeoutDuration(int(care.silence * 1000))
 

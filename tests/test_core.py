@@ -500,6 +500,34 @@ def test_health_machine(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("running", 0), ("running", 1), ("unhealthy", 2), ("unhealthy", 3), ("failed", 4), ("running", 0), ("running", 1)]
 
 
+def judged(spark, tmp_path, probes, care, frame):
+    """Health of probes (at, ok, exit_code) of one replica that lie in one file in this order, in frames of so many rows."""
+    schema = "swarm_id string, replica_id int, at double, ok boolean, exit_code int"
+    spark.createDataFrame([("s", 1, *p) for p in probes], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frame)
+    try:
+        out = health.health(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), care).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c")
+        out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    return sorted((r["at"], r.state, r.failures) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
+def test_health_takes_frames_of_a_replica_together(spark, tmp_path):
+    probes = [(float(i), ok, None) for i, ok in enumerate([True, False, False, False, False, True, False])]
+    want = [(0, "running", 0), (1, "running", 1), (2, "unhealthy", 2), (3, "unhealthy", 3), (4, "failed", 4), (5, "running", 0), (6, "running", 1)]
+    assert judged(spark, tmp_path, probes[::-1], health.Care(threshold=2, patience=2.0), 2) == want
+
+
+def test_health_of_probes_at_one_time(spark, tmp_path):
+    care = health.Care(threshold=2, patience=2.0, restarts=1)
+    probes = [(1.0, False, None), (0.0, False, None), (1.0, True, None), (2.0, False, None), (2.0, False, None), (3.0, False, 5), (3.0, True, None), (3.0, True, None)]
+    want = [(0, "running", 1), (1, "running", 1), (1, "running", 1), (2, "unhealthy", 3), (2, "unhealthy", 3), (3, "restarting", 0), (3, "running", 0), (3, "running", 0)]
+    for n, x in enumerate([probes, probes[::-1]]):
+        assert judged(spark, tmp_path / str(n), x, care, 3) == want
+
+
 def test_replica_care():
     care = health.Care(threshold=2, patience=10, grace=5, policy="on-failure", restarts=1)
     r = health.Replica()
